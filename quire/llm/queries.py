@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm import skeleton, terms
+from quire.llm import mixing, sentences, skeleton, terms, tokens
 from quire.runtime import table
 
 
@@ -48,7 +48,59 @@ def p4_terms(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p3_canonical, p4_found, p4_terms)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as ids of byte_bpe_50k."""
+    return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of the documents by language: documents, tokens, longest."""
+    n = p8_ids(spark, d).select("doc_id", F.size("ids").alias("n"))
+    lang = table(spark, d, "documents").select("doc_id", "lang")
+    return n.join(lang, "doc_id").groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.max("n").alias("longest"))
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixing.Source]]:
+    docs = mixing.with_tokens(p8_ids(spark, d), table(spark, d, "documents"))
+    sources = mixing.plan(mixing.measure(docs, table(spark, d, "mix_target")))
+    return mixing.select(docs, sources), sources
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The selection at the targets of mix_target, as large as the repetition limits allow: doc_id, source, n_tokens, copies."""
+    return _mixture(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return mixing.report(*_mixture(spark, d))
+
+
+def p9_temperature(spark: SparkSession, d: str) -> DataFrame:
+    """Natural shares of the sources, and the shares of the one exponent that gives them the entropy of the targets."""
+    docs = mixing.with_tokens(p8_ids(spark, d), table(spark, d, "documents"))
+    sources = [s for s in mixing.measure(docs, table(spark, d, "mix_target")) if s.n_tokens]
+    total, norm = sum(s.n_tokens for s in sources), sum(s.weight for s in sources)
+    shares = [s.n_tokens / total for s in sources]
+    exponent = mixing.exponent_for_entropy(shares, mixing.entropy([s.weight / norm for s in sources]))
+    rows = [(s.name, p, s.weight / norm, exponent, w) for s, p, w in zip(sources, shares, mixing.tempered(shares, exponent))]
+    return spark.createDataFrame(rows, "source string, share double, target double, exponent double, tempered double")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of every document."""
+    return sentences.split_sentences(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Sentence units with their text, numbered within the document."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    one = sentences.split_sentences(docs, "doc_id", "text").join(docs, "doc_id")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("start_pos"))
+    return one.select("doc_id", number.alias("number"), F.expr("substring(text, start_pos + 1, end_pos - start_pos)").alias("sentence"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p3_canonical, p4_found, p4_terms, p8_ids, p8_lengths, p9_mix, p9_shares, p9_temperature, p10_found, p10_texts)}
 
 _P4 = r"""pieces as (
    select 'normalized_tokens' as field, row_number() over () as r, unnest(normalized_tokens) as term from search_run
