@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm import mixing, sentences, skeleton, terms, tokens
+from quire.llm import mixing, sentences, skeleton, spans, terms, tokens
 from quire.runtime import table
 
 
@@ -48,6 +48,26 @@ def p4_terms(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d)
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """page_text with one key of two integers."""
+    both = F.shiftleft(F.col("book_id").cast("long"), 32) + F.col("page_id").cast("long").bitwiseAND(0xFFFFFFFF)
+    return table(spark, d, "page_text").select(both.alias("key"), "body", "foot")
+
+
+def _unpack(key: str, suffix: str = "") -> list:
+    return [F.shiftright(key, 32).cast("int").alias(f"book_id{suffix}"), F.col(key).bitwiseAND(0xFFFFFFFF).cast("int").alias(f"page_id{suffix}")]
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of pages with a common span of 120 code points or more in body or foot."""
+    return spans.shared_pairs(_pages(spark, d), "key", ["body", "foot"]).select(*_unpack("a", "_a"), *_unpack("b", "_b"))
+
+
+def p7_shared(spark: SparkSession, d: str) -> DataFrame:
+    """For each page that shares a passage, how many of its code points stand elsewhere, in how many passages."""
+    return spans.shared_amount(_pages(spark, d), "key", ["body", "foot"]).select(*_unpack("key"), "shared_chars", "n_spans")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Every document as ids of byte_bpe_50k."""
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
@@ -100,7 +120,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
     return one.select("doc_id", number.alias("number"), F.expr("substring(text, start_pos + 1, end_pos - start_pos)").alias("sentence"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p3_canonical, p4_found, p4_terms, p8_ids, p8_lengths, p9_mix, p9_shares, p9_temperature, p10_found, p10_texts)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p3_canonical, p4_found, p4_terms, p7_found, p7_shared, p8_ids, p8_lengths, p9_mix, p9_shares, p9_temperature, p10_found, p10_texts)}
 
 _P4 = r"""pieces as (
    select 'normalized_tokens' as field, row_number() over () as r, unnest(normalized_tokens) as term from search_run
