@@ -87,7 +87,7 @@ def _table() -> tuple[dict[str, str], re.Pattern]:
     return out, re.compile("[" + "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in runs) + "]")
 
 
-_YEH = re.compile("ی(?=([ً-ٰٟۖ-ۭ]*[ء-يٱ-ە])?)")
+_YEH = re.compile("ی(?=([ً-ٰٟۖ-ۭ]*[ء-يٱ-ە])?)")
 
 
 def skeleton(text: str | None) -> str | None:
