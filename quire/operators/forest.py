@@ -1,14 +1,16 @@
 """Parent-child links to full hierarchies: root, depth, path and descendants of every node; loops reported.
 
 Method: a deterministic hash of the node chooses splitters (about one in SPLIT). Every node walks to its
-next splitter or root, by pointer doubling that stops there, so walks take a logarithm of the gap in
-joins. The splitters alone form a reduced pointer graph, solved the same way over 1/SPLIT of the rows, and
-exact paths are expanded from the legs between splitters. Nodes that walk into a loop without a splitter
-are recognised by a repeated node in the walked leg; loops through splitters by a repeated splitter in the
-reduced path. Each round's open rows only are joined again, and each round is a written table.
+next splitter or root: first inside its cell (a bounded range of ids of one group, streamed from a sorted
+partition), then, for walks that leave the cell, by pointer doubling that stops at splitters, a logarithm
+of the gap in joins. The splitters alone form a reduced pointer graph, solved the same way over 1/SPLIT of
+the rows, and exact paths are expanded from the legs between splitters. Nodes that walk into a loop
+without a splitter are recognised by a repeated node in the walked leg; loops through splitters by a
+repeated splitter in the reduced path. Only open walks are joined again, and each round is a written table.
 
-No group of a tree is ever gathered: the joins are on node keys. A parent with very many children is one
-hot key of the left side only, which adaptive skew joins split.
+No group of a tree is ever gathered: a cell holds at most CELL nodes, however large its group, and the
+joins are on node keys. A parent with very many children is one hot key of the left side only, which
+adaptive skew joins split.
 
 Defined results: a parent that is null, 0 or no node of its group makes a root; a node that is its own
 parent stands in a loop; of several rows of one node the last by the order column counts (ties: the greater
@@ -17,6 +19,9 @@ parent); rows with a null group or id are no nodes; an empty table gives no rows
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +29,8 @@ from quire.runtime import materialize
 
 #: One node in so many, about, is a splitter.
 SPLIT = 16
+#: Ids of a group that are walked together.
+CELL = 1 << 15
 
 
 def last_rows(df: DataFrame, group: str, node: str, parent: str, order: str) -> DataFrame:
@@ -36,33 +43,78 @@ def last_rows(df: DataFrame, group: str, node: str, parent: str, order: str) ->
     )
 
 
-def _node(grp: str, node: str) -> Column:
-    return F.struct(F.col(grp).alias("g"), F.col(node).alias("i"))
+def _splits(node: str) -> Column:
+    return F.pmod(F.xxhash64("g", node), F.lit(SPLIT)) == 0
 
 
-def _walk(start: DataFrame, name: str, stops: Column | None) -> DataFrame:
-    """start: node, target (null: root). Result: node, target, seg, loop.
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walks inside the cells of a partition sorted by g and cell; rows: g, i, t, seg, loop, done.
 
-    seg: the nodes above, nearest first, up to and with target, which is a stop or a root. stops: a
-    condition on the column target; None: only roots stop.
+    seg: the nodes above, nearest first, up to and with t, where the walk stands. Done walks stand at a
+    stop, at a root, or in a loop.
     """
-    stop = F.lit(False) if stops is None else stops
-    first = start.select("node", "target", F.when(F.col("target").isNull(), F.array().cast("array<struct<g:bigint,i:bigint>>")).otherwise(F.array("target")).alias("seg"), F.lit(False).alias("loop"), (F.col("target").isNull() | stop).alias("done"))
-    first = materialize(first, f"{name}-0")
+
+    def solve(rows: list[tuple], out: list[list]) -> None:
+        up = {i: (t, stop) for _, i, _, t, stop in rows}
+        for g, i, _, t, stop in rows:
+            seg, loop, done, seen = [], False, t is None, {i}
+            while not done:
+                seg.append(t)
+                if t in seen:
+                    loop = done = True
+                elif stop:
+                    done = True
+                elif t not in up:
+                    break
+                else:
+                    nxt, stop = up[t]
+                    if nxt is None:
+                        done = True
+                    else:
+                        seen.add(t)
+                        t = nxt
+            for column, value in zip(out, (g, i, t, seg, loop, done)):
+                column.append(value)
+
+    def solved(rows: list[tuple]) -> pa.RecordBatch:
+        out: list[list] = [[], [], [], [], [], []]
+        at = 0
+        for n in range(1, len(rows) + 1):
+            if n == len(rows) or rows[n][0] != rows[at][0] or rows[n][2] != rows[at][2]:
+                solve(rows[at:n], out)
+                at = n
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["g", "i", "t", "seg", "loop", "done"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        held += zip(*(c.to_pylist() for c in batch.columns))
+        last = len(held)
+        while last and held[last - 1][0] == held[-1][0] and held[last - 1][2] == held[-1][2]:
+            last -= 1
+        yield solved(held[:last])
+        held = held[last:]
+    if held:
+        yield solved(held)
+
+
+def _walk(start: DataFrame, name: str, stops: bool) -> DataFrame:
+    """start: g, i, t (null: root). Result: g, i, t, seg, loop. stops: whether splitters stop a walk."""
+    cell = F.floor(F.col("i") / CELL)
+    rows = start.select("g", "i", cell.alias("cell"), "t", (_splits("t") if stops else F.lit(False)).alias("stop"))
+    rows = rows.withColumn("stop", F.coalesce("stop", F.lit(False)))
+    walked = rows.repartition("g", "cell").sortWithinPartitions("g", "cell").mapInArrow(_cells, "g long, i long, t long, seg array<bigint>, loop boolean, done boolean")
+    first = materialize(walked, f"{name}-0")
     closed, opened, k = [first.where("done")], first.where("not done"), 0
     while not opened.isEmpty():
         k += 1
         all_rows = opened
         for c in closed:
             all_rows = all_rows.unionByName(c)
-        up = all_rows.select(F.col("node").alias("target"), F.col("target").alias("next"), F.col("seg").alias("more"), F.col("loop").alias("up_loop"), F.col("done").alias("up_done"))
+        up = all_rows.select("g", F.col("i").alias("t"), F.col("t").alias("next"), F.col("seg").alias("more"), F.col("loop").alias("up_loop"), F.col("done").alias("up_done"))
         seg = F.concat("seg", "more")
-        repeat = (F.size(F.array_distinct(seg)) < F.size(seg)) | F.array_contains(seg, F.col("node"))
-        new = (
-            opened.drop("done")
-            .join(up, "target")
-            .select("node", F.coalesce("next", "target").alias("target"), seg.alias("seg"), (F.col("up_loop") | repeat).alias("loop"), (F.col("up_done") | repeat).alias("done"))
-        )
+        repeat = (F.size(F.array_distinct(seg)) < F.size(seg)) | F.array_contains(seg, F.col("i"))
+        new = opened.drop("done").join(up, ["g", "t"]).select("g", "i", F.coalesce("next", "t").alias("t"), seg.alias("seg"), (F.col("up_loop") | repeat).alias("loop"), (F.col("up_done") | repeat).alias("done"))
         new = materialize(new, f"{name}-{k}")
         closed.append(new.where("done"))
         opened = new.where("not done")
@@ -77,34 +129,24 @@ def resolve_forest(nodes: DataFrame) -> DataFrame:
 
     root, depth and path are null for nodes that have no root.
     """
-    keyed = nodes.select(_node("grp", "id").alias("node"), F.when(F.col("parent") != 0, _node("grp", "parent")).alias("up"))
-    there = keyed.select(F.col("node").alias("up"), F.lit(True).alias("there"))
-    start = keyed.join(there, "up", "left").select("node", F.when(F.col("there"), F.col("up")).alias("target"))
-    split = lambda c: F.pmod(F.xxhash64(F.col(f"{c}.g"), F.col(f"{c}.i")), F.lit(SPLIT)) == 0
-    walked = _walk(start, "walk", split("target"))
+    keyed = nodes.select(F.col("grp").alias("g"), F.col("id").alias("i"), F.when(F.col("parent") != 0, F.col("parent")).alias("t"))
+    there = keyed.select("g", F.col("i").alias("t"), F.lit(True).alias("there"))
+    start = keyed.join(there, ["g", "t"], "left").select("g", "i", F.when(F.col("there"), F.col("t")).alias("t"))
+    walked = _walk(start, "walk", True)
     # the reduced graph: splitters, each pointing at the next splitter or root; legs that fell in a loop end there
-    legs = materialize(walked.where(split("node")), "legs")
-    heads = legs.where("not loop").select("node", "target")
-    marked = legs.select(F.col("node").alias("target"), F.lit(True).alias("splits"))
-    reduced = heads.join(marked, "target", "left").select("node", F.when(F.col("splits"), F.col("target")).alias("target"))
-    solved = _walk(reduced.unionByName(legs.where("loop").select("node", F.col("node").alias("target"))), "reduced", None)
+    legs = walked.where(_splits("i"))
+    marked = legs.select("g", F.col("i").alias("t"), F.lit(True).alias("splits"))
+    reduced = legs.where("not loop").select("g", "i", "t").join(marked, ["g", "t"], "left").select("g", "i", F.when(F.col("splits"), F.col("t")).alias("t"))
+    solved = _walk(reduced.unionByName(legs.where("loop").select("g", "i", F.col("i").alias("t"))), "reduced", False)
     # a splitter's ancestors: the legs of itself and of every splitter above it, in order
-    starts = solved.where("not loop").select("node", F.posexplode(F.concat(F.array("node"), F.col("seg"))).alias("pos", "leg"))
-    ancestors = (
-        starts.join(legs.select(F.col("node").alias("leg"), "seg"), "leg")
-        .groupBy("node")
-        .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "seg"))), lambda x: x["seg"])).alias("above"))
-    )
-    above = solved.where("loop").select("node", F.lit(None).cast("array<struct<g:bigint,i:bigint>>").alias("above"), F.lit(True).alias("up_loop")).unionByName(ancestors.select("node", "above", F.lit(False).alias("up_loop")))
-    joined = walked.join(above.withColumnRenamed("node", "target"), "target", "left")
-    chain = F.concat(F.array("node"), F.col("seg"), F.coalesce("above", F.array().cast("array<struct<g:bigint,i:bigint>>")))
+    starts = solved.where("not loop").select("g", F.col("i").alias("top"), F.posexplode(F.concat(F.array("i"), "seg")).alias("pos", "i"))
+    ancestors = starts.join(legs.select("g", "i", "seg"), ["g", "i"]).groupBy("g", F.col("top").alias("t")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "seg"))), lambda x: x["seg"])).alias("above"))
+    lost = solved.where("loop").select("g", F.col("i").alias("t"), F.lit(None).cast("array<bigint>").alias("above"), F.lit(True).alias("up_loop"))
+    above = lost.unionByName(ancestors.select("g", "t", "above", F.lit(False).alias("up_loop")))
+    chain = F.concat(F.array("i"), F.col("seg"), F.coalesce("above", F.array().cast("array<bigint>")))
     looped = F.col("loop") | F.coalesce("up_loop", F.lit(False))
-    return joined.select(
-        F.col("node.g").alias("grp"),
-        F.col("node.i").alias("id"),
-        looped.alias("in_loop"),
-        F.when(~looped, F.transform(F.reverse(chain), lambda x: x["i"])).alias("path"),
-    ).select("grp", "id", "in_loop", F.col("path")[0].alias("root"), (F.size("path") - 1).alias("depth"), "path").withColumn("depth", F.when(~F.col("in_loop"), F.col("depth")))
+    out = walked.join(above, ["g", "t"], "left").select(F.col("g").alias("grp"), F.col("i").alias("id"), looped.alias("in_loop"), F.when(~looped, F.reverse(chain)).alias("path"))
+    return out.select("grp", "id", "in_loop", F.col("path")[0].alias("root"), F.when(~F.col("in_loop"), F.size("path") - 1).alias("depth"), "path")
 
 
 def descendants(resolved: DataFrame) -> DataFrame:

@@ -53,8 +53,9 @@ def test_last_row_counts_and_repeats(spark):
     assert got[1, 1] is None and got[1, 2] is None
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_random_graphs(spark, seed):
+@pytest.mark.parametrize(("seed", "cell"), [(1, 1 << 15), (2, 4), (3, 1)])
+def test_random_graphs(spark, monkeypatch, seed, cell):
+    monkeypatch.setattr(forest, "CELL", cell)
     rnd = random.Random(seed)
     rows = []
     for b in range(40):
@@ -63,7 +64,9 @@ def test_random_graphs(spark, seed):
     check(spark, rows)
 
 
-def test_long_chain_and_long_loop(spark):
+@pytest.mark.parametrize("cell", [1 << 15, 64])
+def test_long_chain_and_long_loop(spark, monkeypatch, cell):
+    monkeypatch.setattr(forest, "CELL", cell)
     n = 700
     rows = [(1, i, i - 1, 0) for i in range(1, n)] + [(2, i, i % 300 + 1, 0) for i in range(1, 301)] + [(2, 400, 7, 0)]
     got = check(spark, rows)
