@@ -158,7 +158,6 @@ def report(selection: DataFrame, sources: list[Source]) -> DataFrame:
     )
 
 
-def with_tokens(encoded: DataFrame, docs: DataFrame) -> DataFrame:
-    """Token counts joined to the documents' sources, written once: the passes of select() read it again."""
-    counts = encoded.select("doc_id", F.size("ids").alias("n_tokens"))
-    return materialize(counts.join(docs.select("doc_id", "source"), "doc_id"), "tokens")
+def with_tokens(encoded: DataFrame) -> DataFrame:
+    """encoded: doc_id, source, ids. Token counts, written once: the passes of select() read them again."""
+    return materialize(encoded.select("doc_id", "source", F.size("ids").alias("n_tokens")), "tokens")

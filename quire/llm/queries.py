@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import mixing, sentences, skeleton, spans, terms, tokens
@@ -75,13 +75,16 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_lengths(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of the documents by language: documents, tokens, longest."""
-    n = p8_ids(spark, d).select("doc_id", F.size("ids").alias("n"))
-    lang = table(spark, d, "documents").select("doc_id", "lang")
-    return n.join(lang, "doc_id").groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.max("n").alias("longest"))
+    n = tokens.encode(table(spark, d, "documents"), "doc_id", "text", carry=("lang",)).select("lang", F.size("ids").alias("n"))
+    return n.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.max("n").alias("longest"))
+
+
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.with_tokens(tokens.encode(table(spark, d, "documents"), "doc_id", "text", carry=("source",)))
 
 
 def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixing.Source]]:
-    docs = mixing.with_tokens(p8_ids(spark, d), table(spark, d, "documents"))
+    docs = _counted(spark, d)
     sources = mixing.plan(mixing.measure(docs, table(spark, d, "mix_target")))
     return mixing.select(docs, sources), sources
 
@@ -98,7 +101,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_temperature(spark: SparkSession, d: str) -> DataFrame:
     """Natural shares of the sources, and the shares of the one exponent that gives them the entropy of the targets."""
-    docs = mixing.with_tokens(p8_ids(spark, d), table(spark, d, "documents"))
+    docs = _counted(spark, d)
     sources = [s for s in mixing.measure(docs, table(spark, d, "mix_target")) if s.n_tokens]
     total, norm = sum(s.n_tokens for s in sources), sum(s.weight for s in sources)
     shares = [s.n_tokens / total for s in sources]
@@ -114,10 +117,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_texts(spark: SparkSession, d: str) -> DataFrame:
     """Sentence units with their text, numbered within the document."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    one = sentences.split_sentences(docs, "doc_id", "text").join(docs, "doc_id")
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("start_pos"))
-    return one.select("doc_id", number.alias("number"), F.expr("substring(text, start_pos + 1, end_pos - start_pos)").alias("sentence"))
+    return sentences.split_sentences(table(spark, d, "documents"), "doc_id", "text", units=True).select("doc_id", "number", "sentence")
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p3_canonical, p4_found, p4_terms, p7_found, p7_shared, p8_ids, p8_lengths, p9_mix, p9_shares, p9_temperature, p10_found, p10_texts)}

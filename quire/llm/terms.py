@@ -12,13 +12,12 @@ of their own; rare wins over common where a tiny table makes both true; an empty
 
 from __future__ import annotations
 
-import os
-import shutil
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,10 +63,11 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _duck(reader: pa.RecordBatchReader, spill: str) -> Iterator[pa.RecordBatch]:
+def _duck(reader: pa.RecordBatchReader, spill: str | None) -> Iterator[pa.RecordBatch]:
     import duckdb
 
-    con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": spill})
+    config = {"threads": 1, "memory_limit": MEMORY} | ({"temp_directory": spill} if spill else {})
+    con = duckdb.connect(config=config)
     try:
         con.register("piece", reader)
         out = con.sql("select term, cast(sum(n_occurrences) as bigint) as n_occurrences, cast(sum(n_records) as bigint) as n_records from piece group by term").to_arrow_table()
@@ -76,7 +76,7 @@ def _duck(reader: pa.RecordBatchReader, spill: str) -> Iterator[pa.RecordBatch]:
     yield from out.cast(_COUNTS).to_batches(max_chunksize=50_000)
 
 
-def _radix(batches: Iterator[pa.RecordBatch], depth: int, folder: str) -> Iterator[pa.RecordBatch]:
+def _radix(batches: Iterator[pa.RecordBatch], depth: int, store: fs.FileSystem, folder: str) -> Iterator[pa.RecordBatch]:
     """Aggregates the batches, splitting them by the next hash bits while they are too many."""
     held, rows = [], 0
     for b in batches:
@@ -86,13 +86,14 @@ def _radix(batches: Iterator[pa.RecordBatch], depth: int, folder: str) -> Iterat
             break
     else:
         if rows:
-            yield from _duck(pa.RecordBatchReader.from_batches(_COUNTS, iter(held)), folder)
+            yield from _duck(pa.RecordBatchReader.from_batches(_COUNTS, iter(held)), folder if isinstance(store, fs.LocalFileSystem) else None)
         return
     from xxhash import xxh3_64_intdigest
 
     here = f"{folder}/{depth}-{uuid.uuid4().hex}"
-    os.makedirs(here)
-    files = [pa.ipc.new_stream(f"{here}/{i}.arrows", _COUNTS) for i in range(1 << RADIX)]
+    store.create_dir(here)
+    streams = [store.open_output_stream(f"{here}/{i}.arrows") for i in range(1 << RADIX)]
+    writers = [pa.ipc.new_stream(x, _COUNTS) for x in streams]
 
     def rest() -> Iterator[pa.RecordBatch]:
         yield from held
@@ -101,32 +102,34 @@ def _radix(batches: Iterator[pa.RecordBatch], depth: int, folder: str) -> Iterat
 
     for b in rest():
         digit = [(xxh3_64_intdigest(t) >> (RADIX * depth)) & ((1 << RADIX) - 1) for t in b.column(0).to_pylist()]
-        where: list[list[int]] = [[] for _ in files]
+        where: list[list[int]] = [[] for _ in writers]
         for i, k in enumerate(digit):
             where[k].append(i)
-        for f, w in zip(files, where):
+        for f, w in zip(writers, where):
             if w:
                 f.write_batch(b.take(pa.array(w, pa.int32())))
-    for f in files:
+    for f, x in zip(writers, streams):
         f.close()
+        x.close()
     for i in range(1 << RADIX):
-        with pa.ipc.open_stream(pa.memory_map(f"{here}/{i}.arrows")) as r:
-            yield from _radix(iter(r), depth + 1, folder)
-        os.remove(f"{here}/{i}.arrows")
+        with store.open_input_stream(f"{here}/{i}.arrows") as x:
+            yield from _radix(iter(pa.ipc.open_stream(x)), depth + 1, store, folder)
+        store.delete_file(f"{here}/{i}.arrows")
 
 
 def term_counts(df: DataFrame, field: str) -> DataFrame:
     """term, n_occurrences, n_records of a column of strings (pieces between U+0020, tab, CR, LF) or of lists."""
     spark = df.sparkSession
-    scratch = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    scratch = shared_dir(spark)
 
     def aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder = f"{scratch}/terms-{uuid.uuid4().hex}"
-        os.makedirs(folder)
+        store, root = fs.FileSystem.from_uri(scratch)
+        folder = f"{root}/terms-{uuid.uuid4().hex}"
+        store.create_dir(folder)
         try:
-            yield from _radix((b.cast(_COUNTS) for b in batches), 0, folder)
+            yield from _radix((b.cast(_COUNTS) for b in batches), 0, store, folder)
         finally:
-            shutil.rmtree(folder, ignore_errors=True)
+            store.delete_dir(folder)
 
     shape = "term string, n_occurrences long, n_records long"
     return df.select(F.col(field).alias("value")).mapInArrow(_combine, shape).repartition("term").mapInArrow(aggregate, shape)

@@ -145,33 +145,35 @@ def encode_text(text: str | None, path: str, part: int = PART) -> list[int]:
     return encode_tree([leaf(text[i : i + part], path) for i in range(0, len(text), part)], path) if text else []
 
 
-def encode(df: DataFrame, key: str, text: str, vocabulary: str | None = None, long: int = LONG, part: int = PART) -> DataFrame:
-    """key, ids (a list of integers) of every row."""
+def encode(df: DataFrame, key: str, text: str, vocabulary: str | None = None, carry: tuple[str, ...] = (), long: int = LONG, part: int = PART) -> DataFrame:
+    """key, the carried columns, and ids (a list of integers) of every row."""
     path = vocabulary or default_vocabulary()
-    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
+    names = [f"c{i}" for i in range(len(carry) + 1)]
+    rows = df.select(*[F.col(c).alias(n) for c, n in zip((key, *carry), names)], F.col(text).cast("string").alias("text"))
+    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, _ = encoder(path)
         for b in batches:
-            ids = [enc.encode_ordinary(t) if t else [] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
+            ids = [enc.encode_ordinary(t) if t else [] for t in b.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [leaf(t, path) for t in b.column(2).to_pylist()]
+            made = [leaf(t, path) for t in b.column(b.num_columns - 1).to_pylist()]
             arrays = [pa.array([getattr(m, n) for m in made], pa.int32()) for n in ("first_end", "first_n", "last", "last_n")]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.ids for m in made], pa.list_(pa.int32())), *arrays], ["key", "seq", "text", "ids", "first_end", "first_n", "last", "last_n"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.ids for m in made], pa.list_(pa.int32())), *arrays], [*b.schema.names, "ids", "first_end", "first_n", "last", "last_n"])
 
     def whole(table: pa.Table) -> pa.Table:
         r = table.sort_by("seq").to_pydict()
         parts = [Part(*x) for x in zip(r["text"], r["ids"], r["first_end"], r["first_n"], r["last"], r["last_n"])]
-        return pa.table({"key": table.column("key").slice(0, 1), "ids": pa.array([encode_tree(parts, path)], pa.list_(pa.int32()))})
+        return table.select(names).slice(0, 1).append_column("ids", pa.array([encode_tree(parts, path)], pa.list_(pa.int32())))
 
     size = F.coalesce(F.length("text"), F.lit(0))
-    plain = rows.where(size <= long).mapInArrow(short, f"key {kind}, ids array<int>")
-    cut = rows.where(size > long).select("key", "text", F.posexplode(F.sequence(F.lit(1), F.length("text"), F.lit(part))).alias("seq", "start")).select("key", "seq", F.expr(f"substring(text, start, {part})").alias("text"))
-    shape = f"key {kind}, seq int, text string, ids array<int>, first_end int, first_n int, last int, last_n int"
-    parts = cut.repartition("key", "seq").mapInArrow(leaves, shape)
-    joined = parts.groupBy("key").applyInArrow(whole, f"key {kind}, ids array<int>")
-    return plain.unionByName(joined).withColumnRenamed("key", key)
+    plain = rows.where(size <= long).mapInArrow(short, f"{kinds}, ids array<int>")
+    # equal keys of different rows stay apart by the row's own number
+    cut = rows.where(size > long).withColumn("row", F.monotonically_increasing_id()).select(*names, "row", "text", F.posexplode(F.sequence(F.lit(1), F.length("text"), F.lit(part))).alias("seq", "start"))
+    cut = cut.select(*names, "row", "seq", F.expr(f"substring(text, start, {part})").alias("text"))
+    parts = cut.repartition("row", "seq").mapInArrow(leaves, f"{kinds}, row long, seq int, text string, ids array<int>, first_end int, first_n int, last int, last_n int")
+    joined = parts.groupBy("row").applyInArrow(whole, f"{kinds}, ids array<int>")
+    return plain.unionByName(joined).select(*[F.col(n).alias(c) for c, n in zip((key, *carry), names)], "ids")

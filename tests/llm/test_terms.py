@@ -35,6 +35,7 @@ def test_lists(spark):
 
 def test_spilled_pieces(spark, monkeypatch):
     import pyarrow as pa
+    from pyarrow import fs
 
     rows = [(f"t{i % 997}", i % 3 + 1, 1) for i in range(20_000)] + [("hot", 1, 1)] * 9000
     batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + 1000]]), pa.array([r[1] for r in rows[i : i + 1000]], pa.int64()), pa.array([r[2] for r in rows[i : i + 1000]], pa.int64())], schema=terms._COUNTS) for i in range(0, len(rows), 1000)]
@@ -42,7 +43,7 @@ def test_spilled_pieces(spark, monkeypatch):
     import tempfile
 
     with tempfile.TemporaryDirectory() as d:
-        got = [x for b in terms._radix(iter(batches), 0, d) for x in zip(*b.to_pydict().values())]
+        got = [x for b in terms._radix(iter(batches), 0, fs.LocalFileSystem(), d) for x in zip(*b.to_pydict().values())]
         left = [f for _, _, fs in os.walk(d) for f in fs if f.endswith(".arrows")]
     want = Counter(), Counter()
     for t, o, r in rows:

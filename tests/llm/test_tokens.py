@@ -40,7 +40,8 @@ def test_distributed(spark):
     rnd = random.Random(2)
     rows = [(1, None), (2, ""), (3, " "), (4, "<|endoftext|>"), (5, "short text"), (5, "short text")]
     rows += [(10 + i, "".join(rnd.choice(POOLS[i % 7] + "x") for _ in range(rnd.randint(90, 1500)))) for i in range(30)]
-    df = spark.createDataFrame([(*r, [1], "s") for r in rows], "doc_id bigint, text string, ids array<int>, key string")
+    df = spark.createDataFrame([(*r, [1], "s") for r in rows], "doc_id bigint, text string, ids array<int>, c0 string")
     got = sorted((r.doc_id, r.ids) for r in T.encode(df, "doc_id", "text", long=100, part=64).collect())
     assert got == sorted((i, plain(t)) for i, t in rows)
+    assert {r.c0 for r in T.encode(df, "doc_id", "text", carry=("c0",), long=100, part=64).collect()} == {"s"}
     assert T.encode(df.limit(0), "doc_id", "text").count() == 0
