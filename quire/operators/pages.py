@@ -19,15 +19,25 @@ RANGE_BUDGET = 12_000
 PART_BUDGET = 4_000
 
 
+def _adjacent(df: DataFrame, keys: list[str], order: str, value: str, previous: str, following: str) -> DataFrame:
+    """Adds the value of the row before and after, by an integer order within the keys.
+
+    Rows are ordered within ranges of RANGE; only the first and last of each range are ordered per key.
+    """
+    ranged = df.withColumn("range__", F.floor(F.col(order) / RANGE))
+    own = Window.partitionBy(*keys, "range__").orderBy(order)
+    edges = ranged.groupBy(*keys, "range__").agg(F.min_by(value, order).alias("lo__"), F.max_by(value, order).alias("hi__"))
+    across = Window.partitionBy(*keys).orderBy("range__")
+    edges = edges.select(*keys, "range__", F.lag("hi__").over(across).alias("before__"), F.lead("lo__").over(across).alias("after__"))
+    first, last = F.row_number().over(own) == 1, F.lead(F.lit(1)).over(own).isNull()
+    near = ranged.select("*", F.lag(value).over(own).alias("p__"), F.lead(value).over(own).alias("n__"), first.alias("f__"), last.alias("l__")).join(edges, [*keys, "range__"])
+    out = near.withColumn(previous, F.when(F.col("f__"), F.col("before__")).otherwise(F.col("p__"))).withColumn(following, F.when(F.col("l__"), F.col("after__")).otherwise(F.col("n__")))
+    return out.drop("range__", "p__", "n__", "f__", "l__", "before__", "after__")
+
+
 def neighbours(page: DataFrame) -> DataFrame:
     """Adds prev_page_id and next_page_id: the nearest existing pages of the book."""
-    ranged = page.withColumn("range__", F.floor(F.col("page_id") / RANGE))
-    own = Window.partitionBy("book_id", "range__").orderBy("page_id")
-    edges = ranged.groupBy("book_id", "range__").agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"))
-    across = Window.partitionBy("book_id").orderBy("range__")
-    edges = edges.select("book_id", "range__", F.lag("hi").over(across).alias("before"), F.lead("lo").over(across).alias("after"))
-    near = ranged.withColumn("p", F.lag("page_id").over(own)).withColumn("n", F.lead("page_id").over(own))
-    return near.join(edges, ["book_id", "range__"]).withColumn("prev_page_id", F.coalesce("p", "before")).withColumn("next_page_id", F.coalesce("n", "after")).drop("range__", "p", "n", "before", "after")
+    return _adjacent(page, ["book_id"], "page_id", "page_id", "prev_page_id", "next_page_id")
 
 
 def page_view(page: DataFrame, text: DataFrame) -> DataFrame:
@@ -79,8 +89,8 @@ def toc(title: DataFrame, parent_id: int = 0, depth: int = 1) -> DataFrame:
 def sections(title: DataFrame, page: DataFrame) -> DataFrame:
     """Every title with its pages: from its own to the one before the next sibling's, or the book's last."""
     last = page.groupBy("book_id").agg(F.max("page_id").alias("last_page"))
-    sibling = F.lead("page").over(Window.partitionBy("book_id", "parent").orderBy("id"))
-    t = title.where("page is not null").select("book_id", "id", "page", F.coalesce("parent", F.lit(0)).alias("parent")).withColumn("next", sibling)
+    t = title.where("page is not null").select("book_id", "id", "page", F.coalesce("parent", F.lit(0)).alias("parent"))
+    t = _adjacent(t, ["book_id", "parent"], "id", "page", "sibling_before", "next")
     end = F.greatest(F.col("page"), F.coalesce(F.col("next") - 1, "last_page", F.lit(0)))
     return t.join(last, "book_id", "left").select("book_id", F.col("id").alias("title_id"), F.col("page").alias("start_page_id"), end.alias("end_page_id"), (end - F.col("page") + 1).alias("total_pages"))
 

@@ -20,15 +20,18 @@ from pyspark.sql import functions as F
 _MERGE = {"count": "sum", "sum": "sum", "min": "min", "max": "max"}
 
 
-def rounds_for(partitions: int, chunks_each: int, fan_in: int) -> int:
+def rounds_for(chunks: int, fan_in: int) -> int:
     """Rounds that bring so many chunks down to one node."""
-    return max(1, math.ceil(math.log(max(2, partitions * chunks_each), fan_in)))
+    return max(1, math.ceil(math.log(max(2, chunks), fan_in)))
 
 
-def tree_aggregate(df: DataFrame, keys: dict[str, Column], measures: dict[str, tuple[str, Column]], chunk_rows: int = 1 << 17, fan_in: int = 16, rounds: int | None = None) -> DataFrame:
-    """keys: output name to expression. measures: output name to (count | sum | min | max, expression)."""
+def tree_aggregate(df: DataFrame, keys: dict[str, Column], measures: dict[str, tuple[str, Column]], chunk_rows: int = 1 << 17, fan_in: int = 16, rows: int | None = None, rounds: int | None = None) -> DataFrame:
+    """keys: output name to expression. measures: output name to (count | sum | min | max, expression).
+
+    rows: the number of rows if known; else it is counted, which for a stored table reads its footers only.
+    """
     if rounds is None:
-        rounds = rounds_for(df.rdd.getNumPartitions(), 4, fan_in)
+        rounds = rounds_for(math.ceil((df.count() if rows is None else rows) / chunk_rows) + df.sparkSession.sparkContext.defaultParallelism, fan_in)
     # the id counts rows within a partition in its low 33 bits, so this is the chunk a row lies in
     row = F.monotonically_increasing_id()
     leaf = F.pmod(F.xxhash64(F.shiftright(row, 33), F.floor(row.bitwiseAND((1 << 33) - 1) / chunk_rows)), F.lit(fan_in**rounds))
@@ -48,6 +51,6 @@ def tree_distinct_count(df: DataFrame, keys: dict[str, Column], value: Column, n
 
 def heavy_keys(df: DataFrame, key: str, percent: int) -> DataFrame:
     """Non-null keys that hold more than `percent` of all rows (rows with a null key count in the total)."""
-    counts = tree_aggregate(df, {"key": F.col(key)}, {"n": ("count", F.lit(1))})
     total = df.count()
+    counts = tree_aggregate(df, {"key": F.col(key)}, {"n": ("count", F.lit(1))}, rows=total)
     return counts.where(F.col("key").isNotNull() & (F.col("n") * 100 > F.lit(percent * total))).select("key", "n")

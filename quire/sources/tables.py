@@ -24,11 +24,11 @@ SERVICE = "service_name STRING, key_id INT, book_id INT, page_id INT"
 
 
 def latest(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One valid row per key: not withdrawn, the last loaded. A map-side combined aggregate, not a sort."""
+    """One valid row per key: not withdrawn, the last loaded (never loaded counts first). An aggregate, not a sort."""
     if "deleted_at" in df.columns:
         df = df.where("deleted_at is null")
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "loaded_at").alias("r")).select(*keys, *[F.col(f"r.`{c}`").alias(c) for c in rest])
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("loaded_at")).alias("r")).select(*keys, *[F.col(f"r.`{c}`").alias(c) for c in rest])
 
 
 def books(df: DataFrame) -> DataFrame:

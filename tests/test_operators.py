@@ -204,6 +204,18 @@ def test_neighbours_across_ranges(spark):
     assert got == {1: (None, 2), 2: (1, 1500), 1500: (2, 5000), 5000: (1500, None)}
 
 
+def test_sections_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(pages, "RANGE", 4)
+    rnd = random.Random(8)
+    rows = [(b, i, rnd.choice([None, rnd.randint(1, 50)]), rnd.choice([None, 0, 1, 2, 9]), "") for b in (1, 2) for i in rnd.sample(range(1, 200), 60)]
+    page = spark.createDataFrame([(1, 40), (1, 3)], "book_id int, page_id int")
+    got = {(r.book_id, r.title_id): r.end_page_id for r in pages.sections(title_rows(spark, rows), page).collect()}
+    kept = sorted((b, p or 0, i, g) for b, i, g, p, _ in rows if g is not None)
+    for b, p, i, g in kept:
+        later = [x[3] for x in kept if x[:2] == (b, p) and x[2] > i]
+        assert got[b, i] == max(g, later[0] - 1 if later else 40 if b == 1 else 0)
+
+
 def test_budgets(spark):
     from pyspark.sql import Window
 

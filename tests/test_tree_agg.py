@@ -34,5 +34,5 @@ def test_empty(spark):
 
 
 def test_rounds():
-    assert rounds_for(1, 1, 16) == 1
-    assert rounds_for(4096, 1, 16) == 3
+    assert rounds_for(0, 16) == rounds_for(16, 16) == 1
+    assert rounds_for(4096, 16) == 3
