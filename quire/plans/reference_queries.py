@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import arabic
 from quire.functions.snippets import exact_snippet_column, parts_column, snippet_column
-from quire.operators import catalog, pages, scope, search, services
+from quire.operators import catalog, pages, postings, scope, search, services
 from quire.operators.citation import cite
 from quire.sources.tables import Library
 
@@ -297,13 +297,27 @@ def tradition_sources(spark: SparkSession, d: str) -> DataFrame:
     return services.tradition_search(lib.page_text, lib.page, lib.service, lib.book, lib.author, "هذا على")[1]
 
 
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return postings.postings(Library(spark, d).page_text, ["book_id", "page_id"], PAGE_FIELDS)
+
+
+def postings_search(spark: SparkSession, d: str) -> DataFrame:
+    """The search for two words over the inverted index."""
+    return postings.search(_index(spark, d), ["book_id", "page_id"], PAGE_FIELDS, "هذا على").withColumn("matched_in", F.array_join("matched_in", ","))
+
+
+def postings_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """A phrase over the inverted index."""
+    return postings.phrase(_index(spark, d), ["book_id", "page_id"], PAGE_FIELDS, "من هذا").withColumn("matched_in", F.array_join("matched_in", ","))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         search_pages, search_pages_scoped, search_pages_window, search_pages_coverage, search_pages_wildcard, search_pages_snippets, search_titles, search_books, search_books_rollup, search_authors, search_phrase, search_near,
         search_exact, search_exact_snippets, search_exact_flags, search_boolean, search_boolean_report, root_stats, resolve_names, search_verses, page_cards, page_parts, page_chains, page_services, page_ranges, toc, book_sections,
         book_parts, book_cards, book_authors, author_cards, list_categories, downloaded_books, downloaded_tally, books_by_period, scope_books, scope_diagnostics, library_health, citations, verse_entries, tradition_entries,
-        verse_coverage, verse_coverage_totals, verse_texts, tradition_matches, tradition_sources,
+        verse_coverage, verse_coverage_totals, verse_texts, tradition_matches, tradition_sources, postings_search, postings_phrase,
     )
 }
 from quire.plans.reference_sql import ORACLE  # noqa: E402, F401

@@ -128,6 +128,8 @@ ORACLE = {
     "search_pages_window": f"with {_VIEWS}, {_TOK}, {_HITS} select book_id, page_id from hits order by book_id, page_id limit 20 offset 20",
     "search_pages_coverage": f"with {_VIEWS}, {_TOK}, {_HITS}, {_coverage(_PER_BOOK, 10)}",
     "search_pages_wildcard": f"with {_VIEWS}, {_TOK}, w as (select book_id, page_id, len(list_filter(tb, lambda t: regexp_full_match(t, 'است.*اح'))) > 0 as x, len(list_filter(tf, lambda t: regexp_full_match(t, 'است.*اح'))) > 0 as y, len(list_filter(tc, lambda t: regexp_full_match(t, 'است.*اح'))) > 0 as z from tk) select book_id, page_id, concat_ws(',', case when x then 'body' end, case when y then 'foot' end, case when z then 'comment' end) as matched_in from w where x or y or z",
+    "postings_search": f"with {_VIEWS}, {_TOK}, {_HITS} select book_id, page_id, {_in('inb', 'inf')} as matched_in from hits",
+    "postings_phrase": f"with {_VIEWS}, {_TOK}, w as (select book_id, page_id, contains(' ' || array_to_string(tb, ' ') || ' ', ' من هذا ') as x, contains(' ' || array_to_string(tf, ' ') || ' ', ' من هذا ') as y from tk) select book_id, page_id, {_in('x', 'y')} as matched_in from w where x or y",
     "search_titles": f"with {_VIEWS}, w as (select *, {_tokens('body')} as tk from ti) select book_id, id as title_id, page, parent, body from w where list_contains(tk, 'في') and list_contains(tk, 'باب')",
     "search_books": f"with {_VIEWS}, w as (select *, {_tokens('book_name')} as t1, {_tokens('author_name')} as t2 from bm) select book_id, book_name, author_name, book_category as category_id, book_date from w where list_contains(t1, 'كتاب') or list_contains(t2, 'كتاب')",
     "search_books_rollup": f"with {_VIEWS}, hits as (select book_id from (select *, {_tokens('book_name')} as t1, {_tokens('author_name')} as t2 from bm) where list_contains(t1, 'كتاب') or list_contains(t2, 'كتاب')), {_coverage(_PER_BOOK, 10)} where kind in ('category', 'century')",
