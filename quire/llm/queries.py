@@ -129,7 +129,14 @@ _P4 = r"""pieces as (
  counts as (select field, term, count(*) as n_occurrences, count(distinct r) as n_records from pieces where term <> '' group by 1, 2),
  marked as (select field, term, n_occurrences, n_records, case when n_records <= 2 then 'rare' when n_records * 100 > 15 * n then 'common' end as mark from counts join totals using (field))"""
 
+_P7 = """f as (select distinct book_id, page_id, 0 as field, body as t from page_text where length(body) >= 120 union select distinct book_id, page_id, 1, foot from page_text where length(foot) >= 120),
+ w as (select book_id, page_id, field, i, md5(substr(t, i, 120)) as s from (select *, unnest(range(1, length(t) - 118)) as i from f)),
+ g as (select s from w group by s having count(distinct struct_pack(b := book_id, p := page_id)) > 1),
+ x as (select w.* from w join g using (s))"""
+
 ORACLE = {
+    "p7_found": f"with {_P7} select distinct a.book_id as book_id_a, a.page_id as page_id_a, b.book_id as book_id_b, b.page_id as page_id_b from x a join x b on a.s = b.s and (a.book_id < b.book_id or (a.book_id = b.book_id and a.page_id < b.page_id))",
+    "p7_shared": f"with {_P7}, y as (select distinct book_id, page_id, field, i from x), z as (select *, lead(i) over v - i as nxt, i - lag(i) over v as prv from y window v as (partition by book_id, page_id, field order by i)) select book_id, page_id, cast(sum(least(120, coalesce(nxt, 120))) as bigint) as shared_chars, cast(count(*) filter (prv is null or prv > 120) as bigint) as n_spans from z group by 1, 2",
     "p4_found": f"with {_P4} select field, term, mark from marked where mark is not null",
     "p4_terms": f"with {_P4} select field, term, n_occurrences, n_records, mark from marked",
 }
