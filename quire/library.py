@@ -54,7 +54,7 @@ class Toolbox:
     def search_pages(self, query: str, scope: scopes.Scope | None = None, search_in: tuple[str, ...] = ("body", "foot"), limit: int = 20, offset: int = 0, **options: bool) -> dict:
         fields = [f for f in dict.fromkeys(search_in) if f in ("body", "foot", "comment")] or ["body", "foot"]
         terms = arabic.fold_query(query)
-        hits = search.search(self._scoped(self.t.page_text, scope), fields, query, **options)
+        hits = search.search(self._scoped(self.t.page_text_rows, scope), fields, query, **options).dropDuplicates(["book_id", "page_id"])
         shown = search.enrich(hits.select("book_id", "page_id", "matched_in", *[snippet_column(F.col(f), terms).alias(f"snippet_{f}") for f in fields]), self.t.book, self.t.author, self.t.page)
         spread = search.coverage(search.hits_per_book(hits), self.t.book, self.t.author)
         return render.render(self._page(shown, ["book_id", "page_id"], limit, offset, query=query, normalized_tokens=terms, coverage=[r.asDict() for r in spread.collect()]))
@@ -75,17 +75,17 @@ class Toolbox:
         return render.render(self._page(hits.select("author_id", "author_name", "death_year", "book_count"), ["author_id"], limit, offset, query=query))
 
     def search_phrase(self, query: str, mode: str = "phrase", distance: int = 10, scope: scopes.Scope | None = None, search_in: tuple[str, ...] = ("body", "foot"), limit: int = 20, offset: int = 0) -> dict:
-        hits = search.search_phrase(self._scoped(self.t.page_text, scope), list(search_in), query, mode, distance)
+        hits = search.search_phrase(self._scoped(self.t.page_text_rows, scope), list(search_in), query, mode, distance).dropDuplicates(["book_id", "page_id"])
         return render.render(self._page(hits.select("book_id", "page_id", "matched_in"), ["book_id", "page_id"], limit, offset, query=query))
 
     def search_exact(self, query: str, scope: scopes.Scope | None = None, limit: int = 20, offset: int = 0, **preserve: bool) -> dict:
-        hits = search.search_exact(self._scoped(self.t.page_text, scope), ["body", "foot"], query, **preserve)
+        hits = search.search_exact(self._scoped(self.t.page_text_rows, scope), ["body", "foot"], query, **preserve).dropDuplicates(["book_id", "page_id"])
         return render.render(self._page(hits.select("book_id", "page_id", "matched_in"), ["book_id", "page_id"], limit, offset, query=query))
 
     def search_boolean(self, all_of: list[str] = (), any_of: list[str] = (), none_of: list[str] = (), scope: scopes.Scope | None = None, limit: int = 20, offset: int = 0) -> dict:
-        rows = self._scoped(self.t.page_text, scope)
-        hits = search.search_boolean(rows, ["body", "foot"], list(all_of), list(any_of), list(none_of))
-        report = [r.asDict() for r in search.term_report(rows, ["body", "foot"], [*all_of, *any_of, *none_of]).collect()]
+        rows = self._scoped(self.t.page_text_rows, scope)
+        hits = search.search_boolean(rows, ["body", "foot"], list(all_of), list(any_of), list(none_of)).dropDuplicates(["book_id", "page_id"])
+        report = [r.asDict() for r in search.term_report(rows, ["body", "foot"], [*all_of, *any_of, *none_of], ["book_id", "page_id"]).collect()]
         return render.render(self._page(hits.select("book_id", "page_id", "matched_terms"), ["book_id", "page_id"], limit, offset, subqueries=report))
 
     def search_quran(self, verse_table: DataFrame, query: str, wildcards: bool = False, limit: int = 20, offset: int = 0) -> dict:
@@ -93,11 +93,11 @@ class Toolbox:
         return render.render(self._page(search.verse_search(verse_table, "body", "id", query, wildcards), ["id"], limit, offset, query=query))
 
     def search_hadith(self, query: str, limit: int = 20) -> dict:
-        matches, where = services.tradition_search(self.t.page_text, self.t.page, self.t.service, self.t.book, self.t.author, query)
+        matches, where = services.tradition_search(self.t.page_text_rows, self.t.page, self.t.service, self.t.book, self.t.author, query)
         return render.render(self._page(matches, ["book_id", "page_id"], limit, 0, query=query, takhrij=render.rows(where.orderBy("key_id", "book_id", "page_id"))))
 
     def root_stats(self, root: str, scope: scopes.Scope | None = None) -> dict:
-        spread = search.root_stats(self._scoped(self.t.page_text, scope), ["body", "foot"], root, self.t.book, self.t.author)
+        spread = search.root_stats(self._scoped(self.t.page_text_rows, scope), ["body", "foot"], root, self.t.book, self.t.author)
         return render.render({"root": root, "note": "stems are approximate", "distribution": [r.asDict() for r in spread.collect()]})
 
     def resolve(self, query: str, kind: str = "any", limit: int = 10) -> dict:

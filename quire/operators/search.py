@@ -1,19 +1,22 @@
 """Text search over whole relations: terms, wildcards, stems, phrases, proximity, exactness, set algebra.
 
-Terms are tested on the token arrays of the row at hand, after a cheap substring test on the folded text;
-nothing is capped and every order is explicit. Results are DataFrames; paginate() gives the window of a
-page of results, coverage() the roll-ups of all.
+A cheap substring test on the folded text comes first; whole tokens and phrases are then found by one regular
+expression on the row's text, token arrays are built only where order and distance or every token count.
+Nothing is capped and every order is explicit. Results are DataFrames; paginate() gives the window of a page
+of results, coverage() the roll-ups of all. Repeated rows of a record match alike, so callers remove them from
+the hits, not from the texts.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.arabic import century, exact_fold, fold_exact, fold_query, fold_token, glob_pattern, index_fold, index_tokens, light_stem, query_tokens, verify_tokens
+from quire.functions.arabic import century, exact_fold, fold_exact, fold_query, fold_token, glob_pattern, index_fold, index_tokens, light_stem, query_tokens, strip_tags, verify_fold, verify_tokens
 
 
 def check_options(morphology: bool = False, wildcards: bool = False, preserve: bool = False) -> None:
@@ -28,6 +31,12 @@ def _literal(term: str) -> str:
     return max(term.replace("?", "*").split("*"), key=len)
 
 
+def _whole(words: list[str], inner: str, between: str) -> str:
+    """A pattern of whole tokens, made of characters `inner`, with anything else between them; بن also stands written ابن."""
+    one = [("ا?بن" if w == "بن" else re.escape(w)) for w in words]
+    return f"(?<![{inner}])" + between.join(one) + f"(?![{inner}])"
+
+
 def term_in(field: str, term: str, wildcards: bool = False, morphology: bool = False) -> Column:
     """Whether the field holds the (folded) term as a token."""
     text = F.coalesce(F.col(field), F.lit(""))
@@ -38,8 +47,9 @@ def term_in(field: str, term: str, wildcards: bool = False, morphology: bool = F
     if wildcards and ("*" in term or "?" in term):
         near = folded.contains(_literal(term)) if _literal(term) else F.lit(True)
         return near & F.exists(index_tokens(F.col(field)), lambda t: t.rlike(glob_pattern(term)))
-    # the one token that is replaced is also found under its written form
-    return folded.contains(term) & F.array_contains(index_tokens(F.col(field)), term)
+    if not term.isalnum():
+        return F.lit(False)  # no token holds anything but letters and digits
+    return folded.contains(term) & index_fold(strip_tags(text)).rlike(_whole([term], r"\p{L}\p{N}", ""))
 
 
 def any_field(fields: list[str], term: str, **options: bool) -> Column:
@@ -60,8 +70,7 @@ def search(df: DataFrame, fields: list[str], query: str, wildcards: bool = False
 
 def phrase_in(field: str, words: list[str]) -> Column:
     """Whether the words stand next to each other in the field."""
-    want = F.array(*map(F.lit, words))
-    return _with(verify_tokens(F.col(field)), lambda h: F.exists(_starts(h, len(words)), lambda i: F.slice(h, i, len(words)) == want))
+    return verify_fold(strip_tags(F.coalesce(F.col(field), F.lit("")))).rlike(_whole(words, "\u0600-\u06ff", "[^\u0600-\u06ff]+"))
 
 
 def near_in(field: str, words: list[str], distance: int) -> Column:
@@ -86,8 +95,8 @@ def search_phrase(df: DataFrame, fields: list[str], query: str, mode: str = "phr
         raise ValueError("BAD_ARG: mode is phrase or near, distance 1 to 50")
     if not words:
         return df.where(F.lit(False)).withColumn("matched_in", F.array().cast("array<string>"))
-    # the cheap test first: every word in some form of the text
-    rough = reduce(or_, [reduce(and_, [F.array_contains(verify_tokens(F.col(f)), w) for w in words]) for f in fields])
+    # the cheap test first: every word somewhere in the folded text
+    rough = reduce(or_, [reduce(and_, [verify_fold(F.coalesce(F.col(f), F.lit(""))).contains(w) for w in words]) for f in fields])
     test = phrase_in if mode == "phrase" else lambda f, w: near_in(f, w, distance)
     held = [F.when(test(f, words), F.lit(f)) for f in fields]
     return df.where(rough).withColumn("matched_in", F.array_compact(F.array(*held))).where(F.size("matched_in") > 0)
@@ -120,9 +129,10 @@ def search_boolean(df: DataFrame, fields: list[str], all_of: list[str] = (), any
     return df.where(keep).withColumn("matched_terms", matched)
 
 
-def term_report(df: DataFrame, fields: list[str], terms: list[str]) -> DataFrame:
-    """term, total: how many rows each query matches, all in one pass."""
-    counts = df.agg(*[F.count_if(_all_terms(fields, t)).alias(f"c{i}") for i, t in enumerate(terms)])
+def term_report(df: DataFrame, fields: list[str], terms: list[str], keys: list[str]) -> DataFrame:
+    """term, total: how many records each query matches, all in one pass; repeated rows of a record count once."""
+    found = df.groupBy(*keys).agg(*[F.max(_all_terms(fields, t)).alias(f"c{i}") for i, t in enumerate(terms)])
+    counts = found.agg(*[F.count_if(f"c{i}").alias(f"c{i}") for i in range(len(terms))])
     pairs = F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"c{i}").alias("total")) for i, t in enumerate(terms)])
     return counts.select(F.inline(pairs))
 
@@ -152,8 +162,9 @@ def enrich(hits: DataFrame, book: DataFrame, author: DataFrame, page: DataFrame
     return out
 
 
-def hits_per_book(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("book_id").agg(F.count("*").alias("n_hits"))
+def hits_per_book(hits: DataFrame, record: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """book_id, n_hits: distinct records (book_id and the record columns) per book."""
+    return hits.select("book_id", *record).distinct().groupBy("book_id").agg(F.count("*").alias("n_hits"))
 
 
 def coverage(per_book: DataFrame, book: DataFrame, author: DataFrame, top: int = 10) -> DataFrame:

@@ -84,6 +84,6 @@ def tradition_search(text: DataFrame, page: DataFrame, service: DataFrame, book:
     """Pages whose text matches, with their tradition keys; and where else each distinct key stands."""
     hits = search(text, ["body", "foot"], query)
     keys = annotations(page).select("book_id", "page_id", "hadeeth")
-    matches = hits.select("book_id", "page_id").join(keys, ["book_id", "page_id"], "left").withColumn("hadeeth", F.coalesce("hadeeth", F.array().cast("array<int>")))
+    matches = hits.select("book_id", "page_id").distinct().join(keys, ["book_id", "page_id"], "left").withColumn("hadeeth", F.coalesce("hadeeth", F.array().cast("array<int>")))
     distinct = matches.select(F.explode("hadeeth").alias("key_id")).distinct()
     return matches, entries(service, "hadeeth", book, author).join(distinct, "key_id", "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import arabic
@@ -17,40 +17,49 @@ SCOPE = scope.Scope(category_ids=(1, 2, 3, 4, 5, 6), period_from=300, period_to=
 AYA = 1
 
 
+def _hits(found: DataFrame, *more: Column) -> DataFrame:
+    """The hits' keys and further columns, once per page: text rows may be stored repeatedly."""
+    return found.select("book_id", "page_id", *more).distinct()
+
+
+def _fields() -> Column:
+    return F.array_join("matched_in", ",").alias("matched_in")
+
+
 def search_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages whose body or foot hold both words, with book, author, category and printed label."""
     lib = Library(spark, d)
-    hits = search.search(lib.page_text, PAGE_FIELDS, "هذا على").select("book_id", "page_id", F.array_join("matched_in", ",").alias("matched_in"))
+    hits = _hits(search.search(lib.page_text_rows, PAGE_FIELDS, "هذا على"), _fields())
     return search.enrich(hits, lib.book, lib.author, lib.page)
 
 
 def search_pages_scoped(spark: SparkSession, d: str) -> DataFrame:
     """The same search inside a scope of categories, period and availability."""
     lib = Library(spark, d)
-    hits = search.search(scope.within(lib.page_text, SCOPE, lib.book, lib.author), PAGE_FIELDS, "هذا على")
-    return hits.select("book_id", "page_id")
+    hits = search.search(scope.within(lib.page_text_rows, SCOPE, lib.book, lib.author), PAGE_FIELDS, "هذا على")
+    return _hits(hits)
 
 
 def search_pages_window(spark: SparkSession, d: str) -> DataFrame:
     """The second window of twenty hits, by book and page."""
     lib = Library(spark, d)
-    return search.paginate(search.search(lib.page_text, PAGE_FIELDS, "هذا على").select("book_id", "page_id"), ["book_id", "page_id"], 20, 20)
+    return search.paginate(_hits(search.search(lib.page_text_rows, PAGE_FIELDS, "هذا على")), ["book_id", "page_id"], 20, 20)
 
 
 def search_pages_coverage(spark: SparkSession, d: str) -> DataFrame:
     """All hits of a search by category, century, top books and top authors."""
     lib = Library(spark, d)
-    return search.coverage(search.hits_per_book(search.search(lib.page_text, PAGE_FIELDS, "هذا على")), lib.book, lib.author)
+    return search.coverage(search.hits_per_book(search.search(lib.page_text_rows, PAGE_FIELDS, "هذا على")), lib.book, lib.author)
 
 
 def search_pages_wildcard(spark: SparkSession, d: str) -> DataFrame:
     """Pages with a word of a pattern."""
-    return search.search(Library(spark, d).page_text, ["body", "foot", "comment"], "است*اح", wildcards=True).select("book_id", "page_id", F.array_join("matched_in", ",").alias("matched_in"))
+    return _hits(search.search(Library(spark, d).page_text_rows, ["body", "foot", "comment"], "است*اح", wildcards=True), _fields())
 
 
 def search_pages_snippets(spark: SparkSession, d: str) -> DataFrame:
     """Hits with marked excerpts."""
-    hits = search.search(Library(spark, d).page_text, PAGE_FIELDS, "هذا على")
+    hits = search.search(Library(spark, d).page_text_rows, PAGE_FIELDS, "هذا على").dropDuplicates(["book_id", "page_id"])
     terms = arabic.fold_query("هذا على")
     return hits.select("book_id", "page_id", snippet_column(F.col("body"), terms).alias("snippet_body"), snippet_column(F.col("foot"), terms).alias("snippet_foot"))
 
@@ -71,7 +80,7 @@ def search_books_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Matching books by category and century."""
     lib = Library(spark, d)
     hits = search.search(catalog.with_main_author(lib.book, lib.author), ["book_name", "author_name"], "كتاب")
-    return search.coverage(search.hits_per_book(hits), lib.book, lib.author).where("kind in ('category', 'century')")
+    return search.coverage(search.hits_per_book(hits, ()), lib.book, lib.author).where("kind in ('category', 'century')")
 
 
 def search_authors(spark: SparkSession, d: str) -> DataFrame:
@@ -83,52 +92,53 @@ def search_authors(spark: SparkSession, d: str) -> DataFrame:
 
 def search_phrase(spark: SparkSession, d: str) -> DataFrame:
     """Pages with two words next to each other."""
-    return search.search_phrase(Library(spark, d).page_text, PAGE_FIELDS, "من هذا").select("book_id", "page_id", F.array_join("matched_in", ",").alias("matched_in"))
+    return _hits(search.search_phrase(Library(spark, d).page_text_rows, PAGE_FIELDS, "من هذا"), _fields())
 
 
 def search_near(spark: SparkSession, d: str) -> DataFrame:
     """Pages with three words within ten places."""
-    return search.search_phrase(Library(spark, d).page_text, PAGE_FIELDS, "من هذا على", mode="near", distance=10).select("book_id", "page_id", F.array_join("matched_in", ",").alias("matched_in"))
+    return _hits(search.search_phrase(Library(spark, d).page_text_rows, PAGE_FIELDS, "من هذا على", mode="near", distance=10), _fields())
 
 
 def search_exact(spark: SparkSession, d: str) -> DataFrame:
     """Pages that hold a string with its hamza, marks and digits folded."""
-    return search.search_exact(Library(spark, d).page_text, PAGE_FIELDS, "إلى ما", hamza=True).select("book_id", "page_id", F.array_join("matched_in", ",").alias("matched_in"))
+    return _hits(search.search_exact(Library(spark, d).page_text_rows, PAGE_FIELDS, "إلى ما", hamza=True), _fields())
 
 
 def search_exact_snippets(spark: SparkSession, d: str) -> DataFrame:
     """The same with the raw text around the match."""
-    hits = search.search_exact(Library(spark, d).page_text, ["body"], "إلى ما", hamza=True)
+    hits = search.search_exact(Library(spark, d).page_text_rows, ["body"], "إلى ما", hamza=True).dropDuplicates(["book_id", "page_id"])
     return hits.select("book_id", "page_id", exact_snippet_column(F.col("body"), arabic.fold_exact("إلى ما", hamza=True), hamza=True).alias("snippet"))
 
 
 def search_exact_flags(spark: SparkSession, d: str) -> DataFrame:
     """Matching pages at each of the eight exactness settings, counted in one pass."""
-    text = Library(spark, d).page_text
-    counts, rows = [], []
+    tests, counts, rows = [], [], []
     for i in range(8):
         flags = {"diacritics": bool(i & 4), "hamza": bool(i & 2), "digits": bool(i & 1)}
         needle = arabic.fold_exact("إلى", **flags)
-        counts.append(F.count_if(arabic.exact_fold(F.coalesce("body", F.lit("")), **flags).contains(needle)).alias(f"c{i}"))
+        tests.append(F.max(arabic.exact_fold(F.coalesce("body", F.lit("")), **flags).contains(needle)).alias(f"c{i}"))
+        counts.append(F.count_if(f"c{i}").alias(f"c{i}"))
         rows.append(F.struct(*[F.lit(v).alias(k) for k, v in flags.items()], F.col(f"c{i}").alias("n_pages")))
-    return text.agg(*counts).select(F.inline(F.array(*rows)))
+    per_page = Library(spark, d).page_text_rows.groupBy("book_id", "page_id").agg(*tests)
+    return per_page.agg(*counts).select(F.inline(F.array(*rows)))
 
 
 def search_boolean(spark: SparkSession, d: str) -> DataFrame:
     """All of, any of and none of, with the terms that matched."""
-    hits = search.search_boolean(Library(spark, d).page_text, PAGE_FIELDS, ["هذا"], ["قبل", "بعد"], ["كان"])
-    return hits.select("book_id", "page_id", F.array_join("matched_terms", ",").alias("matched_terms"))
+    hits = search.search_boolean(Library(spark, d).page_text_rows, PAGE_FIELDS, ["هذا"], ["قبل", "بعد"], ["كان"])
+    return _hits(hits, F.array_join("matched_terms", ",").alias("matched_terms"))
 
 
 def search_boolean_report(spark: SparkSession, d: str) -> DataFrame:
     """Pages per sub-query."""
-    return search.term_report(Library(spark, d).page_text, PAGE_FIELDS, ["هذا", "قبل", "بعد", "كان"])
+    return search.term_report(Library(spark, d).page_text_rows, PAGE_FIELDS, ["هذا", "قبل", "بعد", "كان"], ["book_id", "page_id"])
 
 
 def root_stats(spark: SparkSession, d: str) -> DataFrame:
     """Distribution of the pages with words of one (approximate) stem."""
     lib = Library(spark, d)
-    return search.root_stats(lib.page_text, PAGE_FIELDS, "استفزاط", lib.book, lib.author)
+    return search.root_stats(lib.page_text_rows, PAGE_FIELDS, "استفزاط", lib.book, lib.author)
 
 
 def resolve_names(spark: SparkSession, d: str) -> DataFrame:
@@ -287,14 +297,14 @@ def verse_texts(spark: SparkSession, d: str) -> DataFrame:
 def tradition_matches(spark: SparkSession, d: str) -> DataFrame:
     """Pages that match a text, with their tradition keys."""
     lib = Library(spark, d)
-    m, _ = services.tradition_search(lib.page_text, lib.page, lib.service, lib.book, lib.author, "هذا على")
+    m, _ = services.tradition_search(lib.page_text_rows, lib.page, lib.service, lib.book, lib.author, "هذا على")
     return m.withColumn("hadeeth", F.array_join(F.col("hadeeth").cast("array<string>"), ","))
 
 
 def tradition_sources(spark: SparkSession, d: str) -> DataFrame:
     """Where else the keys of the matching pages stand."""
     lib = Library(spark, d)
-    return services.tradition_search(lib.page_text, lib.page, lib.service, lib.book, lib.author, "هذا على")[1]
+    return services.tradition_search(lib.page_text_rows, lib.page, lib.service, lib.book, lib.author, "هذا على")[1]
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:

@@ -89,6 +89,11 @@ class Library:
     def page_text(self) -> DataFrame:
         return page_texts(self._raw("page_text"))
 
+    @property
+    def page_text_rows(self) -> DataFrame:
+        """The text rows as stored, repeats included: searching a large table of them moves no text."""
+        return table(self.spark, self.folder, "page_text", ("book_id", "page_id"))
+
     @property
     def title(self) -> DataFrame:
         return titles(self._raw("title"))

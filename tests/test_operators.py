@@ -42,6 +42,14 @@ def test_stems(spark):
     assert ids(search.search(df, ["body"], "كتاب", morphology=True)) == [0, 1]
 
 
+def test_whole_tokens_only(spark):
+    df = texts(spark, [("<b>هذا</b>ن", None, None), ("هذا،", None, None), ("هذان", None, None), ("ابن زيد", None, None), ("بنت", None, None), ("لابن", None, None), ("ه<i>ذا", None, None)])
+    assert ids(search.search(df, ["body"], "هذا")) == [0, 1]
+    assert ids(search.search(df, ["body"], "بن")) == ids(search.search(df, ["body"], "إبن")) == [3]
+    assert ids(search.search(df, ["body"], "هذا،")) == []
+    assert ids(search.search_phrase(df, ["body"], "بن زيد")) == [3]
+
+
 def test_empty_query(spark):
     df = texts(spark, [("هذا", None, None)])
     assert ids(search.search(df, ["body"], " ")) == [] and ids(search.search_phrase(df, ["body"], "12")) == [] and ids(search.search_exact(df, ["body"], "")) == []
@@ -67,7 +75,7 @@ def test_boolean(spark):
     df = texts(spark, [("ا ب", None, None), ("ا ج", None, None), ("ا ب د", None, None), ("ب", None, None)])
     hits = search.search_boolean(df, ["body"], ["ا"], ["ب", "ج"], ["د"])
     assert {r.i: r.matched_terms for r in hits.collect()} == {0: ["ا", "ب"], 1: ["ا", "ج"]}
-    assert {r.term: r.total for r in search.term_report(df, ["body"], ["ا", "د"]).collect()} == {"ا": 3, "د": 1}
+    assert {r.term: r.total for r in search.term_report(df.union(df), ["body"], ["ا", "د"], ["i"]).collect()} == {"ا": 3, "د": 1}
     with pytest.raises(ValueError, match="BAD_ARG"):
         search.search_boolean(df, ["body"], none_of=["ا"])
 
