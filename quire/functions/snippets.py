@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.arabic import EASTERN_DIGITS, INDEX_BECOME, INDEX_DROP, INDEX_LETTERS, PERSIAN_DIGITS, VERIFY_DROP, VERIFY_LETTERS
+from quire.functions.arabic import INDEX_BECOME, INDEX_DROP, INDEX_LETTERS, exact_pattern
 
 _MARKS = f"[{INDEX_DROP}]*"
 
@@ -67,20 +67,14 @@ def snippet(text: str | None, terms: list[str], around: int = 80) -> str:
 
 
 @lru_cache(maxsize=256)
-def _exact_pattern(needle: str, diacritics: bool, hamza: bool, digits: bool) -> re.Pattern:
-    drop = "ـ*" if diacritics else f"(?:{VERIFY_DROP})*"
-    kin = {} if hamza else {"ا": "آأإٱ", "ي": "ىئ", "ه": "ة", "و": "ؤ"}
-    if not hamza:
-        drop = f"(?:ء|{drop[:-1]})*"
-    if not digits:
-        kin = kin | {str(i): EASTERN_DIGITS[i] + PERSIAN_DIGITS[i] for i in range(10)}
-    return re.compile(drop.join(r"\s+" if c == " " else f"[{re.escape(c)}{kin.get(c, '')}]" for c in needle))
+def _exact(needle: str, diacritics: bool, hamza: bool, digits: bool) -> re.Pattern:
+    return re.compile(exact_pattern(needle, diacritics, hamza, digits))
 
 
 def exact_snippet(text: str | None, needle: str, diacritics: bool = False, hamza: bool = False, digits: bool = False, around: int = 90) -> str:
     """The raw text around the first match at the chosen exactness; the head of the text without one."""
     clean = re.sub(r"\s+", " ", re.sub("<[^>]*>", " ", text or "")).strip()
-    m = _exact_pattern(needle, diacritics, hamza, digits).search(clean) if needle else None
+    m = _exact(needle, diacritics, hamza, digits).search(clean) if needle else None
     if not m:
         return clean if len(clean) <= 2 * around else clean[: 2 * around].strip() + " …"
     a, b = max(0, m.start() - around), min(len(clean), m.end() + around)

@@ -1,7 +1,7 @@
 """Text search over whole relations: terms, wildcards, stems, phrases, proximity, exactness, set algebra.
 
-A cheap substring test on the folded text comes first; whole tokens and phrases are then found by one regular
-expression on the row's text, token arrays are built only where order and distance or every token count.
+Whole tokens, phrases and exact strings are found by one regular expression, made from the folds, on the text
+as it is stored; token arrays are built only where distance, wildcards or stems need every token.
 Nothing is capped and every order is explicit. Results are DataFrames; paginate() gives the window of a page
 of results, coverage() the roll-ups of all. Repeated rows of a record match alike, so callers remove them from
 the hits, not from the texts.
@@ -9,14 +9,13 @@ the hits, not from the texts.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.arabic import century, exact_fold, fold_exact, fold_query, fold_token, glob_pattern, index_fold, index_tokens, light_stem, query_tokens, strip_tags, verify_fold, verify_tokens
+from quire.functions.arabic import century, exact_pattern, fold_exact, fold_query, fold_token, glob_pattern, index_part_pattern, index_pattern, index_tokens, light_stem, query_tokens, stem_of, strip_tags, verify_pattern, verify_tokens
 
 
 def check_options(morphology: bool = False, wildcards: bool = False, preserve: bool = False) -> None:
@@ -31,25 +30,18 @@ def _literal(term: str) -> str:
     return max(term.replace("?", "*").split("*"), key=len)
 
 
-def _whole(words: list[str], inner: str, between: str) -> str:
-    """A pattern of whole tokens, made of characters `inner`, with anything else between them; بن also stands written ابن."""
-    one = [("ا?بن" if w == "بن" else re.escape(w)) for w in words]
-    return f"(?<![{inner}])" + between.join(one) + f"(?![{inner}])"
-
-
 def term_in(field: str, term: str, wildcards: bool = False, morphology: bool = False) -> Column:
     """Whether the field holds the (folded) term as a token."""
     text = F.coalesce(F.col(field), F.lit(""))
     if morphology:
-        stem = light_stem(F.lit(term))
-        return F.exists(index_tokens(F.col(field)), lambda t: light_stem(t) == stem)
-    folded = index_fold(text)
+        stem = stem_of(term)  # a part of every token that has it
+        return text.rlike(index_part_pattern(stem)) & F.exists(F.filter(index_tokens(F.col(field)), lambda t: t.contains(stem)), lambda t: light_stem(t) == stem)
     if wildcards and ("*" in term or "?" in term):
-        near = folded.contains(_literal(term)) if _literal(term) else F.lit(True)
+        near = text.rlike(index_part_pattern(_literal(term))) if _literal(term) else F.lit(True)
         return near & F.exists(index_tokens(F.col(field)), lambda t: t.rlike(glob_pattern(term)))
     if not term.isalnum():
         return F.lit(False)  # no token holds anything but letters and digits
-    return folded.contains(term) & index_fold(strip_tags(text)).rlike(_whole([term], r"\p{L}\p{N}", ""))
+    return strip_tags(text).rlike(index_pattern(term))
 
 
 def any_field(fields: list[str], term: str, **options: bool) -> Column:
@@ -70,7 +62,7 @@ def search(df: DataFrame, fields: list[str], query: str, wildcards: bool = False
 
 def phrase_in(field: str, words: list[str]) -> Column:
     """Whether the words stand next to each other in the field."""
-    return verify_fold(strip_tags(F.coalesce(F.col(field), F.lit("")))).rlike(_whole(words, "\u0600-\u06ff", "[^\u0600-\u06ff]+"))
+    return strip_tags(F.coalesce(F.col(field), F.lit(""))).rlike(verify_pattern(words))
 
 
 def near_in(field: str, words: list[str], distance: int) -> Column:
@@ -95,10 +87,12 @@ def search_phrase(df: DataFrame, fields: list[str], query: str, mode: str = "phr
         raise ValueError("BAD_ARG: mode is phrase or near, distance 1 to 50")
     if not words:
         return df.where(F.lit(False)).withColumn("matched_in", F.array().cast("array<string>"))
-    # the cheap test first: every word somewhere in the folded text
-    rough = reduce(or_, [reduce(and_, [verify_fold(F.coalesce(F.col(f), F.lit(""))).contains(w) for w in words]) for f in fields])
-    test = phrase_in if mode == "phrase" else lambda f, w: near_in(f, w, distance)
-    held = [F.when(test(f, words), F.lit(f)) for f in fields]
+    if mode == "phrase":
+        found = [phrase_in(f, words) for f in fields]
+        return df.where(reduce(or_, found)).withColumn("matched_in", F.array_compact(F.array(*[F.when(x, F.lit(f)) for f, x in zip(fields, found)])))
+    # the cheap test first: every word somewhere in one field
+    rough = reduce(or_, [reduce(and_, [phrase_in(f, [w]) for w in dict.fromkeys(words)]) for f in fields])
+    held = [F.when(near_in(f, words, distance), F.lit(f)) for f in fields]
     return df.where(rough).withColumn("matched_in", F.array_compact(F.array(*held))).where(F.size("matched_in") > 0)
 
 
@@ -108,8 +102,8 @@ def search_exact(df: DataFrame, fields: list[str], query: str, diacritics: bool
     needle = fold_exact(query, **flags)
     if not needle:
         return df.where(F.lit(False)).withColumn("matched_in", F.array().cast("array<string>"))
-    held = [F.when(exact_fold(F.coalesce(F.col(f), F.lit("")), **flags).contains(needle), F.lit(f)) for f in fields]
-    return df.withColumn("matched_in", F.array_compact(F.array(*held))).where(F.size("matched_in") > 0)
+    found = [strip_tags(F.coalesce(F.col(f), F.lit(""))).rlike(exact_pattern(needle, **flags)) for f in fields]
+    return df.where(reduce(or_, found)).withColumn("matched_in", F.array_compact(F.array(*[F.when(x, F.lit(f)) for f, x in zip(fields, found)])))
 
 
 def _all_terms(fields: list[str], text: str) -> Column:

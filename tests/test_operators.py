@@ -50,6 +50,34 @@ def test_whole_tokens_only(spark):
     assert ids(search.search_phrase(df, ["body"], "بن زيد")) == [3]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_patterns_equal_the_folds(spark, seed):
+    """Search on stored text finds what the folded text and its tokens hold."""
+    from quire.functions import arabic as A
+
+    rnd = random.Random(seed)
+    alphabet = "اآأإٱىيةهوؤئءبنگكپچ" + "ًٌَُِّْٰـٕٓٔ" * 2 + "   <b></i>،.\n1٢۳"
+    rows = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(400)]
+    df = texts(spark, [(r, None, None) for r in rows])
+    facts = {r.i: r for r in df.select("i", A.index_tokens(F.col("body")).alias("t"), A.verify_tokens(F.col("body")).alias("v"), *[A.exact_fold(F.col("body"), bool(k & 4), bool(k & 2), bool(k & 1)).alias(f"e{k}") for k in range(8)]).collect()}
+    terms = [rnd.choice([t for r in facts.values() for t in r.t]) for _ in range(12)] + ["بن", "ا"]
+    for t in terms:
+        assert ids(search.search(df, ["body"], t)) == [i for i, r in facts.items() if A.fold_token(t) in r.t], t
+    for _ in range(12):
+        v = rnd.choice([r.v for r in facts.values() if len(r.v) > 1])
+        q = v[:2]
+        if A.query_tokens(" ".join(q)) == q:
+            assert ids(search.search_phrase(df, ["body"], " ".join(q))) == [i for i, r in facts.items() if any(r.v[j : j + 2] == q for j in range(len(r.v)))], q
+    for k in range(8):
+        flags = {"diacritics": bool(k & 4), "hamza": bool(k & 2), "digits": bool(k & 1)}
+        for _ in range(5):
+            e = rnd.choice([r[f"e{k}"] for r in facts.values() if len(r[f"e{k}"]) > 3])
+            a = rnd.randint(0, len(e) - 3)
+            needle = A.fold_exact(e[a : a + 3], **flags)
+            if needle and needle[0] not in A.VERIFY_DROP and needle in e:
+                assert ids(search.search_exact(df, ["body"], needle, **flags)) == [i for i, r in facts.items() if needle in r[f"e{k}"]], (needle, flags)
+
+
 def test_empty_query(spark):
     df = texts(spark, [("هذا", None, None)])
     assert ids(search.search(df, ["body"], " ")) == [] and ids(search.search_phrase(df, ["body"], "12")) == [] and ids(search.search_exact(df, ["body"], "")) == []
