@@ -40,7 +40,8 @@ GRAM = 40
 GROUP_MAX = 2000
 #: Places up to which all pairs of a group are compared as arrays.
 DIRECT = 24
-_SLICE = 2500
+#: Code points that are hashed at once; longer texts are hashed in pieces that share a window less one.
+CHARS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,21 +116,37 @@ def anchors(column: pa.Array, length: int, gram: int) -> tuple[np.ndarray, np.nd
     return row, at - edge[row], h[at]
 
 
-def _found(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _hashed(keys: pa.Array, column: pa.Array, length: int, gram: int, chars: int) -> Iterator[tuple]:
+    """Keys, and row, place and hash of the anchors, of about `chars` code points at a time."""
+    size = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
+    keys = keys.to_numpy()
+    some, total = [], 0
+    for i in np.flatnonzero(size >= length).tolist():
+        if size[i] > chars:
+            text = column[i].as_py()
+            for s in range(0, len(text) - length + 1, chars):
+                row, at, h = anchors(pa.array([text[s : s + chars + length - 1]]), length, gram)
+                yield keys[i : i + 1], row, at + s, h
+            continue
+        some.append(i)
+        total += size[i]
+        if total > chars:
+            yield keys[some], *anchors(column.take(pa.array(some)), length, gram)
+            some, total = [], 0
+    if some:
+        yield keys[some], *anchors(column.take(pa.array(some)), length, gram)
+
+
+def _found(batches: Iterator[pa.RecordBatch], length: int, gram: int, chars: int) -> Iterator[pa.RecordBatch]:
     """kind 0: an anchor that the batch holds in one record; 1: in two or more; 2: notice of 1 to the hash's block."""
     names = ["route", "hash", "key", "place", "kind"]
     for b in batches:
         hs, ks, ps = [], [], []
         for f in range(1, b.num_columns):
-            for i in range(0, b.num_rows, _SLICE):
-                part = b.slice(i, _SLICE)
-                keep = pc.greater_equal(pc.utf8_length(part.column(f)), length)
-                col, key = part.column(f).filter(keep), part.column(0).filter(keep)
-                if len(col):
-                    row, at, h = anchors(col, length, gram)
-                    hs.append(h.view(np.int64))
-                    ks.append(key.to_numpy()[row])
-                    ps.append(at * (b.num_columns - 1) + (f - 1))
+            for key, row, at, h in _hashed(b.column(0), b.column(f), length, gram, chars):
+                hs.append(h.view(np.int64))
+                ks.append(key[row])
+                ps.append(at * (b.num_columns - 1) + (f - 1))
         if not hs:
             continue
         h, k, p = map(np.concatenate, (hs, ks, ps))
@@ -248,7 +265,7 @@ def _classes(members: list[tuple], length: int, gram: int) -> tuple[set, list]:
     return pairs, spans
 
 
-def _factors(batches: Iterator[pa.RecordBatch], length: int, gram: int, want_spans: bool, fields: int) -> Iterator[pa.RecordBatch]:
+def _factors(batches: Iterator[pa.RecordBatch], length: int, gram: int, want_spans: bool, fields: int, direct: int) -> Iterator[pa.RecordBatch]:
     """Streams a block sorted by hash; rows: a, b of a pair, or a, field, start, end of a factor."""
     held: list[tuple] = []
 
@@ -257,9 +274,9 @@ def _factors(batches: Iterator[pa.RecordBatch], length: int, gram: int, want_spa
         s = 0
         for e in range(1, len(members) + 1):
             if e == len(members) or members[e][0] != members[s][0]:
-                if 1 < e - s <= DIRECT:
+                if 1 < e - s <= direct:
                     small.append((s, e))
-                elif e - s > DIRECT:
+                elif e - s > direct:
                     p, q = _classes(members[s:e], length, gram)
                     pairs |= p
                     spans += [(i + s, x, y) for i, x, y in q]
@@ -278,7 +295,7 @@ def _factors(batches: Iterator[pa.RecordBatch], length: int, gram: int, want_spa
 
     for batch in batches:
         held += list(zip(*(c.to_pylist() for c in batch.columns[:5])))
-        if len(held) < 4 * DIRECT or held[0][0] == held[-1][0]:
+        if len(held) < 4 * direct or held[0][0] == held[-1][0]:
             continue
         last = len(held)
         while held[last - 1][0] == held[-1][0]:
@@ -300,11 +317,11 @@ def _hot_windows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
         yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(place, pa.int64()), pa.array(mark, pa.binary())], ["key", "place", "window"])
 
 
-def _solved(df: DataFrame, key: str, fields: list[str], length: int, gram: int, group_max: int, want_spans: bool) -> DataFrame:
+def _solved(df: DataFrame, key: str, fields: list[str], length: int, gram: int, group_max: int, direct: int, chars: int, want_spans: bool) -> DataFrame:
     n = len(fields)
     rows = df.select(F.col(key).cast("long").alias("key"), *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)]).where(F.col("key").isNotNull())
     rows = rows.where(F.greatest(*[F.coalesce(F.length(f"f{i}"), F.lit(0)) for i in range(n)], F.lit(0)) >= length)
-    found = rows.mapInArrow(lambda it: _found(it, length, gram), "route long, hash long, key long, place long, kind byte")
+    found = rows.mapInArrow(lambda it: _found(it, length, gram, chars), "route long, hash long, key long, place long, kind byte")
     shared = materialize(found.repartition("route").sortWithinPartitions("hash").mapInArrow(_shared, "hash long, key long, place long"), "anchors")
     hot = shared.groupBy("hash").count().where(F.col("count") > group_max).select("hash", F.lit(True).alias("hot"))
     any_hot = not hot.isEmpty()
@@ -314,7 +331,7 @@ def _solved(df: DataFrame, key: str, fields: list[str], length: int, gram: int,
     if any_hot:
         around = materialize(around, "around")
     block = around.where("not hot").repartition("hash").sortWithinPartitions("hash")
-    out = block.mapInArrow(lambda it: _factors(it, length, gram, want_spans, n), "a long, b long, s int, e int")
+    out = block.mapInArrow(lambda it: _factors(it, length, gram, want_spans, n, direct), "a long, b long, s int, e int")
     if any_hot:
         w = around.where("hot").mapInArrow(lambda it: _hot_windows(it, length, gram), "key long, place long, window binary")
         if want_spans:
@@ -342,14 +359,14 @@ def _hot_spans(around: DataFrame, shared_windows: DataFrame, length: int, gram:
     return around.mapInArrow(each, "a long, b long, s int, e int, window binary").join(shared_windows, "window", "left_semi").select("a", "b", "s", "e")
 
 
-def shared_pairs(df: DataFrame, key: str, fields: list[str], length: int = LENGTH, gram: int = GRAM, group_max: int = GROUP_MAX) -> DataFrame:
+def shared_pairs(df: DataFrame, key: str, fields: list[str], length: int = LENGTH, gram: int = GRAM, group_max: int = GROUP_MAX, direct: int = DIRECT, chars: int = CHARS) -> DataFrame:
     """a, b (a < b): keys of two records with a common span of `length` code points or more."""
-    return _solved(df, key, fields, length, gram, group_max, False).select("a", "b").distinct()
+    return _solved(df, key, fields, length, gram, group_max, direct, chars, False).select("a", "b").distinct()
 
 
-def shared_amount(df: DataFrame, key: str, fields: list[str], length: int = LENGTH, gram: int = GRAM, group_max: int = GROUP_MAX) -> DataFrame:
+def shared_amount(df: DataFrame, key: str, fields: list[str], length: int = LENGTH, gram: int = GRAM, group_max: int = GROUP_MAX, direct: int = DIRECT, chars: int = CHARS) -> DataFrame:
     """key, shared_chars, n_spans: code points of the record that stand in a span shared with another record."""
-    spans = _solved(df, key, fields, length, gram, group_max, True).distinct()
+    spans = _solved(df, key, fields, length, gram, group_max, direct, chars, True).distinct()
     before = F.coalesce(F.max("e").over(Window.partitionBy("a", "b").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     new = spans.withColumn("before", before)
     return new.groupBy(F.col("a").alias("key")).agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "before"))).alias("shared_chars"), F.sum((F.col("s") > F.col("before")).cast("int")).alias("n_spans"))

@@ -40,14 +40,13 @@ def corpus(seed):
     return rows + [rows[5]] + [(500, "x" * 5000, None), (501, "x" * 300, None)]
 
 
-@pytest.mark.parametrize(("seed", "group_max", "direct"), [(1, 2000, 24), (2, 2000, 3), (3, 4, 24), (4, 2, 2)])
-def test_against_brute_force(spark, monkeypatch, seed, group_max, direct):
-    monkeypatch.setattr(spans, "DIRECT", direct)
+@pytest.mark.parametrize(("seed", "group_max", "direct", "chars"), [(1, 2000, 24, 1 << 20), (2, 2000, 3, 100), (3, 4, 24, 30), (4, 2, 2, 1 << 20)])
+def test_against_brute_force(spark, seed, group_max, direct, chars):
     rows = corpus(seed)
     pairs, amount = brute([r for r in rows])
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA).repartition(3)
-    assert {tuple(r) for r in spans.shared_pairs(df, "key", ["body", "foot"], L, G, group_max).collect()} == pairs
-    assert {r.key: r.shared_chars for r in spans.shared_amount(df, "key", ["body", "foot"], L, G, group_max).collect()} == amount
+    assert {tuple(r) for r in spans.shared_pairs(df, "key", ["body", "foot"], L, G, group_max, direct, chars).collect()} == pairs
+    assert {r.key: r.shared_chars for r in spans.shared_amount(df, "key", ["body", "foot"], L, G, group_max, direct, chars).collect()} == amount
 
 
 def test_exact_length_and_fields(spark):
