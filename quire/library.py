@@ -18,6 +18,7 @@ from quire.functions.snippets import snippet_column, split_parts
 from quire.operators import catalog, pages, search, services
 from quire.operators import scope as scopes
 from quire.operators.citation import AUTO_NUMBERED, default_style, full_style, missing_notes, short_style
+from quire.sources import tables
 from quire.sources.tables import Library as Tables
 
 GUIDE = {
@@ -242,5 +243,19 @@ class Toolbox:
         found = [r.asDict() for r in rows.orderBy("book_id").collect()]
         return render.render({"aya_id": number, "asked": status, "sources": [r for r in found if r["status"] == "ok"], "remaining_book_ids": [r["book_id"] for r in found if r["status"] != "ok"]})
 
+    def resource(self, name: str) -> dict | str:
+        """categories, downloaded (the tally of all), guide, schema or status."""
+        if name == "categories":
+            return self.list_categories()
+        if name == "downloaded":
+            return render.render({"by_category": [r.asDict() for r in catalog.library_tally(self.t.book).collect()]})
+        if name == "schema":
+            return render.render({"book": tables.BOOK, "author": tables.AUTHOR, "category": tables.CATEGORY, "page": tables.PAGE, "page_text": tables.PAGE_TEXT, "title": tables.TITLE, "service": tables.SERVICE})
+        if name == "status":
+            return self.health()
+        if name == "guide":
+            return self.guide()
+        raise LibraryError("BAD_ARG", "no such resource")
+
     def guide(self, section: str = "start") -> str:
         return GUIDE.get(section, GUIDE["start"])

@@ -53,6 +53,12 @@ def fetch(page: DataFrame, text: DataFrame, ids: list[tuple[int, int]]) -> DataF
     return asked.join(known, ["book_id", "page_id"], "left").join(text, ["book_id", "page_id"], "left").withColumn("found", F.coalesce("found", F.lit(False))).orderBy("place")
 
 
+def fetch_titles(title: DataFrame, ids: list[tuple[int, int]]) -> DataFrame:
+    """The texts of the asked titles in the asked order; empty where there is none."""
+    asked = title.sparkSession.createDataFrame([(i, b, t) for i, (b, t) in enumerate(ids)], "place int, book_id int, id int")
+    return asked.join(title.select("book_id", "id", "body"), ["book_id", "id"], "left").select("place", "book_id", F.col("id").alias("title_id"), F.coalesce("body", F.lit("")).alias("body")).orderBy("place")
+
+
 def owning_titles(page: DataFrame, title: DataFrame) -> DataFrame:
     """book_id, page_id, title_id: the largest title id that starts at or before the page (as-of by id)."""
     events = title.where("page is not null").select("book_id", F.col("page").alias("pos"), F.col("id"), F.lit(0).alias("kind")).unionByName(page.select("book_id", F.col("page_id").alias("pos"), F.lit(None).cast("int").alias("id"), F.lit(1).alias("kind")))

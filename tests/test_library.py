@@ -74,6 +74,14 @@ def test_catalogue_and_keys(box):
     assert box.guide("scope") == GUIDE["scope"] and box.guide("nothing") == GUIDE["start"]
 
 
+def test_resources(box):
+    for name in ("categories", "downloaded", "schema", "status"):
+        assert box.resource(name)["data"]
+    assert box.resource("guide") == GUIDE["start"]
+    with pytest.raises(LibraryError, match="BAD_ARG"):
+        box.resource("nothing")
+
+
 def test_rendering():
     short = render.render({"a": 1})
     assert short == {"text": '{\n  "a": 1\n}', "data": {"a": 1}}

@@ -273,6 +273,11 @@ def test_fetch_keeps_the_asked_order(spark):
     assert [(r.page_id, r.found, r.body) for r in pages.fetch(page, text, [(1, 2), (9, 9), (1, 1)]).collect()] == [(2, True, "b"), (9, False, None), (1, True, None)]
 
 
+def test_fetch_titles(spark):
+    t = title_rows(spark, [(1, 1, 1, 0, "a"), (1, 2, 1, 0, None)])
+    assert [(r.title_id, r.body) for r in pages.fetch_titles(t, [(1, 2), (1, 9), (1, 1)]).collect()] == [(2, ""), (9, ""), (1, "a")]
+
+
 def test_verse_services(spark, library):
     service = spark.createDataFrame([("tafseer", 1, 1, 4), ("tafseer", 1, 1, 2), ("tafseer", 9, 4, 3), ("tafseer", 1, 50, 1)], "service_name string, key_id int, book_id int, page_id int")
     got = [(r.book_id, r.status, r.page_id) for r in services.verse_coverage(service, *library, 1).collect()]
