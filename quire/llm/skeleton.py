@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.runtime import materialize
+
 #: Look-alikes of Latin capitals and small letters in Greek and Cyrillic, prototype to look-alikes.
 LATIN_LOOK_ALIKES = {
     "A": "ΑА", "B": "ΒВ", "C": "СϹ", "E": "ΕЕ", "H": "ΗН", "I": "ΙІ", "J": "ЈͿ", "K": "ΚК", "M": "ΜМ", "N": "Ν", "O": "ΟО", "P": "ΡР", "S": "Ѕ", "T": "ΤТ", "X": "ΧХ", "Y": "ΥҮ", "Z": "Ζ",
@@ -87,6 +89,8 @@ def _table() -> tuple[dict[str, str], re.Pattern]:
     return out, re.compile("[" + "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in runs) + "]")
 
 
+#: Text of these alone, decomposed, is its own skeleton but for blanks at the ends: most text, found fast.
+_PLAIN = re.compile("[ -~\\r\\n\\u0600-\\u061b\\u061d-\\u0655\\u0660-\\u0669]*")
 _YEH = re.compile("ی(?=([ً-ٰٟۖ-ۭ]*[ء-يٱ-ە])?)")
 
 
@@ -96,8 +100,10 @@ def skeleton(text: str | None) -> str | None:
         return None
     if text.isascii():
         return text.replace("\t", " ").strip(" ") if "\t" in text else text.strip(" ")
-    table, special = _table()
     out = unicodedata.normalize("NFD", text)
+    if _PLAIN.fullmatch(out):
+        return out.strip(" ")
+    table, special = _table()
     if special.search(out):
         out = unicodedata.normalize("NFD", special.sub(lambda m: table[m.group()], out))
     if "ی" in out:
@@ -116,10 +122,13 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(df: DataFrame, scope: list[str], record: str, text: str) -> DataFrame:
-    """scope columns, record, skel, own: one row per distinct record and stored form, without null and empty texts."""
+    """scope columns, record, skel, own: one row per distinct record and stored form, without null and empty texts.
+
+    Written once, since the groups, their forms and their members are read from it in turn.
+    """
     rows = df.select(*scope, record, F.col(text).alias("text__")).where("text__ <> ''")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_digests, f"{fields}, skel binary, own binary").distinct()
+    return materialize(rows.mapInArrow(_digests, f"{fields}, skel binary, own binary").distinct(), "digests")
 
 
 def lookalike_groups(found: DataFrame, scope: list[str]) -> DataFrame:

@@ -55,6 +55,11 @@ def test_looks_different(a, b):
     assert S.skeleton(a) != S.skeleton(b)
 
 
+def test_plain_text_holds_nothing_to_replace():
+    table, _ = S._table()
+    assert not [c for c in table if S._PLAIN.fullmatch(c)]
+
+
 def test_farsi_yeh_at_the_end_is_dotless():
     assert S.skeleton("فی") == S.skeleton("فى") != S.skeleton("في")
     assert S.skeleton("فی​َب") == S.skeleton("فيَب")
