@@ -237,9 +237,7 @@ class Toolbox:
     def get_tafseer_texts(self, book_ids: list[int] | None = None, max_sources: int = 5, **which: int) -> dict:
         number = self._aya(which.get("aya_id"), which.get("surah"), which.get("aya"))
         status = [r.asDict() for r in services.source_status(self.t.service, self.t.book, number, book_ids).collect()] if book_ids else []
-        rows = services.verse_texts(self.t.service, self.t.book, self.t.author, self.t.page_text, number, max_sources)
-        if book_ids:
-            rows = rows.where(F.col("book_id").isin(book_ids))
+        rows = services.verse_texts(self.t.service, self.t.book, self.t.author, self.t.page_text, number, max_sources, book_ids=book_ids)
         found = [r.asDict() for r in rows.orderBy("book_id").collect()]
         return render.render({"aya_id": number, "asked": status, "sources": [r for r in found if r["status"] == "ok"], "remaining_book_ids": [r["book_id"] for r in found if r["status"] != "ok"]})
 

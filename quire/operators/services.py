@@ -55,11 +55,16 @@ def coverage_totals(service: DataFrame, book: DataFrame, shelf: tuple[int, ...]
     return per.select(F.col("key_id").alias("aya_id"), F.col("covers").alias("indexed_covers"), (F.lit(size["both"]) - F.col("shelved")).cast("long").alias("indexed_no_entry"), F.lit(size["own"] - size["both"]).cast("long").alias("not_indexed"))
 
 
-def verse_texts(service: DataFrame, book: DataFrame, author: DataFrame, text: DataFrame, aya_id: int, max_sources: int = 10, budget: int = 12_000) -> DataFrame:
-    """The passages of the downloaded sources of a verse, in book order, until the budget is reached."""
+def verse_texts(service: DataFrame, book: DataFrame, author: DataFrame, text: DataFrame, aya_id: int, max_sources: int = 10, budget: int = 12_000, book_ids: list[int] | None = None) -> DataFrame:
+    """The passages of the downloaded sources of a verse, in book order, until the budget is reached.
+
+    book_ids: only these books are ranked and budgeted; the rest of an earlier call is asked for by them.
+    """
     if not 1 <= max_sources <= 10:
         raise ValueError("BAD_ARG: max_sources 1 to 10")
     hits = service.where((F.col("service_name") == "tafseer") & (F.col("key_id") == aya_id)).groupBy("book_id").agg(F.min("page_id").alias("page_id"))
+    if book_ids:
+        hits = hits.where(F.col("book_id").isin(book_ids))
     b = with_main_author(book, author).where("downloaded").select("book_id", "book_name", "author_name", "death_year")
     size = F.length(F.coalesce("body", F.lit(""))) + F.length(F.coalesce("foot", F.lit("")))
     order = Window.orderBy("book_id")  # at most the sources of one verse

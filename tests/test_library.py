@@ -1,4 +1,5 @@
 import sqlite3
+from types import SimpleNamespace
 
 import pytest
 
@@ -74,6 +75,30 @@ def test_catalogue_and_keys(box):
     assert box.guide("scope") == GUIDE["scope"] and box.guide("nothing") == GUIDE["start"]
 
 
+@pytest.fixture(scope="module")
+def small(spark):
+    """A box over 13 books that all treat verse 1, with 5,000 characters each, and stand under two tradition keys 60 times each."""
+    books = spark.createDataFrame([(b, f"b{b}", 0, 3, True) for b in range(1, 14)], "book_id int, book_name string, main_author int, book_category int, downloaded boolean")
+    keys = [("tafseer", 1, b, 1) for b in range(1, 14)] + [("hadeeth", k, 1 + i % 13, i) for k in (7, 8) for i in range(60)] + [("hadeeth", 9, 1, i) for i in range(130)]
+    text = spark.createDataFrame([(b, 1, "x" * 5000 if b > 1 else "كلمة", "", None) for b in range(1, 14)], "book_id int, page_id int, body string, foot string, comment string")
+    page = spark.createDataFrame([(1, 1, '{"hadeeth":[7,8]}')], "book_id int, page_id int, services string")
+    out = object.__new__(Toolbox)
+    out.t = SimpleNamespace(book=books, author=spark.createDataFrame([], "author_id int, author_name string, death_year int"), service=spark.createDataFrame(keys, "service_name string, key_id int, book_id int, page_id int"), page_text=text, page_text_rows=text, page=page)
+    return out
+
+
+def test_every_source_of_a_verse_can_be_asked_for(small):
+    got = small.get_tafseer_texts(book_ids=[6], aya_id=1)["data"]
+    assert [(r["book_id"], len(r["text"])) for r in got["sources"]] == [(6, 5000)] and got["remaining_book_ids"] == []
+    seen, left = [], None
+    while left is None or left:
+        got = small.get_tafseer_texts(book_ids=left, aya_id=1)["data"]
+        seen += [r["book_id"] for r in got["sources"]]
+        left = got["remaining_book_ids"]
+        assert len(seen) + len(left) == 13
+    assert seen == list(range(1, 14))
+
+
 def test_resources(box):
     for name in ("categories", "downloaded", "schema", "status"):
         assert box.resource(name)["data"]
