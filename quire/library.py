@@ -93,9 +93,11 @@ class Toolbox:
         """verse_table: id, body."""
         return render.render(self._page(search.verse_search(verse_table, "body", "id", query, wildcards), ["id"], limit, offset, query=query))
 
-    def search_hadith(self, query: str, limit: int = 20) -> dict:
+    def search_hadith(self, query: str, limit: int = 20, offset: int = 0, takhrij_limit: int = 100, takhrij_offset: int = 0) -> dict:
+        """Two windows: the matching pages, and the entries of all their keys (takhrij, its envelope in takhrij_window)."""
         matches, where = services.tradition_search(self.t.page_text_rows, self.t.page, self.t.service, self.t.book, self.t.author, query)
-        return render.render(self._page(matches, ["book_id", "page_id"], limit, 0, query=query, takhrij=render.rows(where.orderBy("key_id", "book_id", "page_id"))))
+        takhrij = self._page(where, ["key_id", "book_id", "page_id"], takhrij_limit, takhrij_offset)
+        return render.render(self._page(matches, ["book_id", "page_id"], limit, offset, query=query, takhrij=takhrij.pop("results"), takhrij_window=takhrij))
 
     def root_stats(self, root: str, scope: scopes.Scope | None = None) -> dict:
         spread = search.root_stats(self._scoped(self.t.page_text_rows, scope), ["body", "foot"], root, self.t.book, self.t.author)
@@ -221,7 +223,8 @@ class Toolbox:
     def _entries(self, name: str, key: int, downloaded_only: bool) -> dict:
         rows = services.entries(self.t.service, name, self.t.book, self.t.author).where(F.col("key_id") == key)
         kept = rows.where("downloaded") if downloaded_only else rows
-        return render.render({"key": key, "total": rows.count(), "entries": render.rows(kept.orderBy("page_id", "book_id"))})
+        found = [r.asDict(recursive=True) for r in kept.orderBy("page_id", "book_id").collect()]  # all entries of one key
+        return render.render({"key": key, "total": rows.count(), "returned": len(found), "entries": found})
 
     def get_tafseer_of_aya(self, downloaded_only: bool = True, **which: int) -> dict:
         return self._entries("tafseer", self._aya(which.get("aya_id"), which.get("surah"), which.get("aya")), downloaded_only)

@@ -99,6 +99,22 @@ def test_every_source_of_a_verse_can_be_asked_for(small):
     assert seen == list(range(1, 14))
 
 
+def test_every_entry_of_a_key(small):
+    got = small.get_books_for_hadith(9)["data"]
+    assert got["total"] == got["returned"] == 130 and [r["page_id"] for r in got["entries"]] == list(range(130))
+
+
+def test_every_entry_of_the_keys_that_a_search_finds(small):
+    seen, at = [], 0
+    while at is not None:
+        got = small.search_hadith("كلمة", takhrij_offset=at)["data"]
+        assert got["takhrij_window"]["total_hits"] == 120 and got["total_hits"] == 1
+        seen += [(r["key_id"], r["book_id"], r["page_id"]) for r in got["takhrij"]]
+        at = got["takhrij_window"].get("next_offset")
+    assert seen == sorted((k, 1 + i % 13, i) for k in (7, 8) for i in range(60))
+    assert small.search_hadith("كلمة", offset=1)["data"]["results"] == []
+
+
 def test_resources(box):
     for name in ("categories", "downloaded", "schema", "status"):
         assert box.resource(name)["data"]
