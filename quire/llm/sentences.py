@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,16 +45,40 @@ _NOTE = re.compile(r"(?:\[\d{1,4}\]|\(\d{1,4}\)|[†‡¹²³⁴-⁹])+")
 _WORD_BEFORE = re.compile(r"[^\s\"“”„«»「」『』()\[\]（），、：。！？؟،؛,;:!?]+\Z")
 _HAN_BEFORE = re.compile(".*[一-鿿]")
 _THAI_BLANK = re.compile(r"(?<=\S)[^\S\n]+(?=\S)")
+_GERMAN_WORD = re.compile(rf"\b(?:{'|'.join(sorted(GERMAN))})\b")
+_WORD = re.compile(r"[^\W\d_]+")
 _CJK_MARK = frozenset("。！？｡")
 _QUESTION = frozenset("!?؟！？")
 #: Candidates that a span may run over; every one of them was refused by then.
 LOOKBACK = 64
+#: Code points on both sides of a number whose words tell its language, the nearest first, and the words that are enough to deny German.
+NEAR, ENOUGH = (125, 250, 500, 1000), 40
 
 
 def _thai(c: str) -> bool:
     return "฀" <= c <= "๿"
 
 
+class _German:
+    """Whether a number with a period is a German ordinal, by the words about it: in its block, else near it, else in the whole text."""
+
+    def __init__(self, text: str) -> None:
+        self.text, found = text, list(_GERMAN_WORD.finditer(text))
+        self.places, self.words = [m.start() for m in found], [m.group() for m in found]
+        self.anywhere = len(set(self.words)) >= 2
+
+    def at(self, i: int, nxt: int, a: int, b: int) -> bool:
+        """For the number before i, followed by the letter at nxt, in the block [a, b)."""
+        if not self.anywhere or self.text[nxt].isalpha() and self.text[nxt] > "ɏ":  # no Latin letter
+            return False
+        for x, y in [(max(a, i - n), min(b, i + n)) for n in NEAR] + [(max(0, i - NEAR[-1]), i + NEAR[-1])]:
+            if len(set(self.words[bisect_left(self.places, x) : bisect_left(self.places, y)])) >= 2:
+                return True
+            if len(_WORD.findall(self.text, x, y)) >= ENOUGH:
+                return False
+        return True
+
+
 def _depths(text: str, a: int, b: int) -> list[tuple[int, int, int]]:
     """(position, quotations open, brackets open) after each quotation mark or bracket; empty if they do not balance."""
     out, stack = [(a, 0, 0)], []
@@ -70,8 +95,8 @@ def _depths(text: str, a: int, b: int) -> list[tuple[int, int, int]]:
     return [] if stack else out
 
 
-def _end_score(text: str, start: int, at: int, end: int, mark: str, nxt: int, b: int, quoted: bool, closed: bool, german: bool) -> float:
-    """How well text[..end) closes a sentence: at is the mark's place, nxt the next non-blank, b the block's end."""
+def _end_score(text: str, start: int, at: int, end: int, mark: str, nxt: int, a: int, b: int, quoted: bool, closed: bool, german: _German) -> float:
+    """How well text[..end) closes a sentence: at is the mark's place, nxt the next non-blank, [a, b) the block."""
     if len(mark) > 1 and mark.strip(".…") == "" or "…" in mark:
         return -8.0
     c = mark[-1]
@@ -92,7 +117,7 @@ def _end_score(text: str, start: int, at: int, end: int, mark: str, nxt: int, b:
     following = text[nxt]
     if word and (word.isdigit() or word.replace("٫", "").isdigit()):
         # an item number opens its sentence; an ordinal stands before its noun
-        return -8.0 if (w.end() - len(word)) == start or german or following.islower() else 2.0
+        return -8.0 if (w.end() - len(word)) == start or following.islower() or german.at(at, nxt, a, b) else 2.0
     if nxt == end:  # no blank between
         if not following.isalpha() or "." in word or not word:
             return -8.0
@@ -123,7 +148,7 @@ def _end_score(text: str, start: int, at: int, end: int, mark: str, nxt: int, b:
     return 4.0
 
 
-def _candidates(text: str, a: int, b: int, german: bool) -> list[tuple[int, float, int]]:
+def _candidates(text: str, a: int, b: int, german: _German) -> list[tuple[int, float, int]]:
     """(end, score, next start) of the possible boundaries inside the block [a, b)."""
     depths = _depths(text, a, b)
     k, out, used = 0, [], a
@@ -174,7 +199,7 @@ def _candidates(text: str, a: int, b: int, german: bool) -> list[tuple[int, floa
         if "\n" in text[end:nxt] and _BLOCK.match(text, end):
             break
         inside = quotes > 0
-        score = _end_score(text, sentence, at, end, mark, nxt, b, inside, closed or noted and not inside, german)
+        score = _end_score(text, sentence, at, end, mark, nxt, a, b, inside, closed or noted and not inside, german)
         if inside and mark[-1] not in _QUESTION and depths and depth(end)[0] > 0:
             score = -8.0
         if depths and depth(end) != (0, 0):
@@ -205,7 +230,7 @@ def _span_score(n: int) -> float:
     return -0.02 * abs(math.log(n / 80.0)) if n else -1.0
 
 
-def _block(text: str, a: int, b: int, german: bool) -> list[tuple[int, int]]:
+def _block(text: str, a: int, b: int, german: _German) -> list[tuple[int, int]]:
     """The best-scored spans of the block, which has no blanks at its ends."""
     cut = _candidates(text, a, b, german)
     if not cut:
@@ -233,8 +258,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     """Start and end of every sentence."""
     if not text or text.isspace():
         return []
-    words = set(re.findall(r"\b[a-z]{2,5}\b", text[:2000]))
-    german = len(words & GERMAN) >= 2
+    german = _German(text)
     out, a = [], 0
     for m in [*_BLOCK.finditer(text), None]:
         b = m.start() if m else len(text)

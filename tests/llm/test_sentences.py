@@ -49,6 +49,15 @@ def test_long_text():
     assert len(sentences("Dr. " * 3000 + "Who came.")) == 1
 
 
+@pytest.mark.parametrize("between", [" ", "\n\n"])
+def test_german_after_another_language(between):
+    foreign = ["It was in the year 1990.", "The next one came here later."] * 60 + ["No one knows the number of the others."] * 5
+    german = ["Er kam am 3. Mai und die Frage ist im 8. Jahrhundert bekannt.", "Nein."]
+    assert cut(" ".join(foreign) + between + " ".join(german)) == foreign + german
+    arabic = ["مات سنة ٥٠٣.", "ثم جاء."] * 200
+    assert cut(" ".join(arabic) + between + " ".join(german)) == arabic + german
+
+
 def test_cover_everything_but_blanks():
     for want, text in CASES.values():
         assert "".join("".join(want).split()) == "".join(text.split())
