@@ -44,6 +44,7 @@ _QUOTE = re.compile("[“”„«»「」『』\"()\\[\\]（）]")
 _NOTE = re.compile(r"(?:\[\d{1,4}\]|\(\d{1,4}\)|[†‡¹²³⁴-⁹])+")
 _WORD_BEFORE = re.compile(r"[^\s\"“”„«»「」『』()\[\]（），、：。！？؟،؛,;:!?]+\Z")
 _HAN_BEFORE = re.compile(".*[一-鿿]")
+_THAI_LETTER = re.compile("[฀-๿]")
 _THAI_BLANK = re.compile(r"(?<=\S)[^\S\n]+(?=\S)")
 _GERMAN_WORD = re.compile(rf"\b(?:{'|'.join(sorted(GERMAN))})\b")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -208,8 +209,8 @@ def _candidates(text: str, a: int, b: int, german: _German) -> list[tuple[int, f
             out.append((end, score, nxt))
         if score > 0:
             sentence = nxt
-    if any(_thai(c) for c in text[a : min(b, a + 400)]) or _thai(text[b - 1]):
-        k = 0
+    if _THAI_LETTER.search(text, a, b):
+        k, marked = 0, {e for e, _, _ in out}
         for m in _THAI_BLANK.finditer(text, a, b):
             i, j = m.start(), m.end()
             x, y = text[i - 1], text[j]
@@ -218,7 +219,7 @@ def _candidates(text: str, a: int, b: int, german: _German) -> list[tuple[int, f
             token = text[j : min(b, j + 24)].split(None, 1)[0]
             if "." in token[:-1] and _thai(y):
                 continue
-            if depths and depth(i) != (0, 0):
+            if i in marked or depths and depth(i) != (0, 0):
                 continue
             out.append((i, 4.0, j))
         out.sort()

@@ -58,6 +58,12 @@ def test_german_after_another_language(between):
     assert cut(" ".join(arabic) + between + " ".join(german)) == arabic + german
 
 
+def test_thai_after_another_script():
+    latin = "a word " * 100 + "(note)"
+    assert cut(latin + " ครูตอบ ถาม สมุด (ห้อง)") == [latin, "ครูตอบ", "ถาม", "สมุด", "(ห้อง)"]
+    assert cut("(ครู.) ครู ถาม") == ["(ครู.)", "ครู", "ถาม"]
+
+
 def test_cover_everything_but_blanks():
     for want, text in CASES.values():
         assert "".join("".join(want).split()) == "".join(text.split())
