@@ -50,8 +50,8 @@ _GERMAN_WORD = re.compile(rf"\b(?:{'|'.join(sorted(GERMAN))})\b")
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK_MARK = frozenset("。！？｡")
 _QUESTION = frozenset("!?؟！？")
-#: Candidates that a span may run over; every one of them was refused by then.
-LOOKBACK = 64
+#: More than the whole range of a span's length score: a start further behind the best one never catches up.
+REACH = 0.5
 #: Code points on both sides of a number whose words tell its language, the nearest first, and the words that are enough to deny German.
 NEAR, ENOUGH = (125, 250, 500, 1000), 40
 
@@ -241,12 +241,16 @@ def _block(text: str, a: int, b: int, german: _German) -> list[tuple[int, int]]:
     gains = [s for _, s, _ in cut] + [0.0]
     n = len(ends)
     best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+    alive, top = [0], 0.0  # the starts, however far back, that a span may still have
     for j in range(1, n + 1):
         gain, end = gains[j - 1], ends[j - 1]
-        for i in range(max(0, j - LOOKBACK), j):
+        for i in alive:
             v = best[i] + gain + _span_score(end - starts[i])
             if v > best[j]:
                 best[j], back[j] = v, i
+        if best[j] > top - REACH:
+            top = max(top, best[j])
+            alive = [i for i in alive if best[i] > top - REACH] + [j]
     out, j = [], n
     while j:
         i = back[j]

@@ -64,6 +64,12 @@ def test_thai_after_another_script():
     assert cut("(ครู.) ครู ถาม") == ["(ครู.)", "ครู", "ถาม"]
 
 
+@pytest.mark.parametrize("n", [10, 64, 200, 20_000])
+def test_long_bracket(n):
+    text = "He left (" + "So it is. " * n + "well) and came back."
+    assert cut(text + " Next one.") == [text, "Next one."]
+
+
 def test_cover_everything_but_blanks():
     for want, text in CASES.values():
         assert "".join("".join(want).split()) == "".join(text.split())
