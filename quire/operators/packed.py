@@ -16,7 +16,7 @@ harmless.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +29,6 @@ from quire.runtime import materialize
 SEPARATORS = ",;،؛|/&\t\r\n"
 #: Quotation marks that enclose an entry, opening to closing.
 QUOTES = {'"': '"', "'": "'", "“": "”", "«": "»"}
-#: The longest known value, in separator-free pieces, that the lookup considers.
-MAX_PIECES = 4
 
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s,;،؛|\"“”«»\[\]]*")
 _SEP = re.compile("[" + re.escape(SEPARATORS) + "]")
@@ -99,18 +97,32 @@ def entry(text: str, quoted: bool) -> str:
     return text
 
 
-def spans(value: str) -> list[str]:
-    """Runs of two to MAX_PIECES adjacent unquoted pieces that might be one known value."""
+def width(known: str) -> int:
+    """The pieces a known value has inside a field: behind a separator, so brackets around it stay."""
+    return len(pieces("," + known)) - 1
+
+
+def spans(value: str, widths: set[int] | None = None) -> list[str]:
+    """Runs of two or more adjacent unquoted pieces that might be one known value; of these numbers of pieces, if given."""
     cut, out = pieces(value), []
+    sizes = range(2, len(cut) + 1) if widths is None else sorted(w for w in widths if 2 <= w <= len(cut))
+    if not sizes:
+        return out
+    names, quoted, filled = [0], [0], []  # pieces so far that are no plain values, and that are quoted
+    for a, b, q in cut:
+        p = value[a:b].strip()
+        names.append(names[-1] + bool(p and not _PLAIN.fullmatch(p)))
+        quoted.append(quoted[-1] + q)
+        filled.append(bool(p))
     for i in range(len(cut)):
-        if cut[i][2] or not value[cut[i][0] : cut[i][1]].strip():
+        if not filled[i]:
             continue
-        for j in range(i + 1, min(len(cut), i + MAX_PIECES)):
-            if cut[j][2]:
+        for n in sizes:
+            j = i + n
+            if j > len(cut) or quoted[j] > quoted[i]:
                 break
-            parts = [value[a:b].strip() for a, b, _ in cut[i : j + 1]]
-            if parts[-1] and not all(not p or _PLAIN.fullmatch(p) for p in parts):
-                out.append(value[cut[i][0] : cut[j][1]].strip())
+            if filled[j - 1] and names[j] > names[i]:
+                out.append(value[cut[i][0] : cut[j - 1][1]].strip())
     return out
 
 
@@ -127,12 +139,16 @@ def cover(value: str, places: set[tuple[int, int]]) -> list[str]:
             b -= 1
         edge.append((a, b))
     n = len(cut)
+    first, starts = {a: i for i, (a, b) in enumerate(edge) if a < b}, {}
+    for a, b in places:
+        if a in first:
+            starts.setdefault(b, []).append(first[a])
     best: list[tuple[float, int]] = [(0.0, 0)] + [(float("inf"), 0)] * n
     for j in range(1, n + 1):
-        for i in range(max(0, j - MAX_PIECES), j):
+        for i in [*sorted(i for i in starts.get(edge[j - 1][1], ()) if i < j - 1), j - 1]:
             if i == j - 1:
                 cost = 1.0 if edge[i][0] < edge[i][1] else 0.0
-            elif (edge[i][0], edge[j - 1][1]) in places and not any(q for _, _, q in cut[i:j]):
+            elif not any(q for _, _, q in cut[i:j]):
                 cost = 0.5
             else:
                 continue
@@ -167,14 +183,22 @@ def _segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*keys, pa.array(pos, pa.int32()), pa.array(items, pa.string())], [*batch.schema.names[:-2], "pos", "item"])
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spans(widths: set[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, out = [], []
+            for i, value in zip(batch.column("vid").to_pylist(), batch.column("value").to_pylist()):
+                for s in spans(value, widths):
+                    ids.append(i)
+                    out.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.string())], ["vid", "span"])
+
+    return cut
+
+
+def _widths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, out = [], []
-        for i, value in zip(batch.column("vid").to_pylist(), batch.column("value").to_pylist()):
-            for s in spans(value):
-                ids.append(i)
-                out.append(s)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.string())], ["vid", "span"])
+        yield pa.RecordBatch.from_arrays([pa.array(sorted({width(v) for v in batch.column("span").to_pylist()}), pa.int32())], ["n"])
 
 
 def _protected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +210,8 @@ def _protected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def split_packed(df: DataFrame, keys: list[str], fields: list[str], dictionary: DataFrame | None = None) -> DataFrame:
     """One row per entry: keys, field, pos (from 1), item.
 
-    dictionary: optional further known whole values, in its first column. Nothing is collected or
-    broadcast by hand; shuffles carry only distinct field values and the spans worth looking up.
+    dictionary: optional further known whole values, in its first column. Only the numbers of
+    pieces that known values have are collected, nothing is broadcast by hand; shuffles carry only distinct field values and the spans worth looking up.
     """
     long = None
     for f in fields:
@@ -200,6 +224,7 @@ def split_packed(df: DataFrame, keys: list[str], fields: list[str], dictionary:
     if dictionary is not None:
         extra = dictionary.select(F.col(dictionary.columns[0]).cast("string").alias("span"))
         dic = dic.unionByName(extra.where(F.col("span").rlike("[" + re.escape(SEPARATORS) + "]")))
-    known = values.mapInArrow(_spans, "vid string, span string").join(dic.distinct(), "span", "left_semi").groupBy("vid").agg(F.collect_set("span").alias("known"))
+    widths = {r.n for r in dic.mapInArrow(_widths, "n int").distinct().collect()}
+    known = values.mapInArrow(_spans(widths), "vid string, span string").join(dic.distinct(), "span", "left_semi").groupBy("vid").agg(F.collect_set("span").alias("known"))
     shape = T.StructType([*base.select(*keys, "field").schema.fields, T.StructField("pos", T.IntegerType()), T.StructField("item", T.StringType())])
     return base.join(known, "vid", "left").select(*keys, "field", "value", "known").mapInArrow(_segment, shape)

@@ -64,6 +64,14 @@ def test_given_dictionary(spark):
     assert entries(spark, [(1, "5;3a", None, 0, "")], dictionary=odd) == [(1, "authors_csv", 1, "5;3a")]
 
 
+def test_known_value_of_any_number_of_pieces(spark):
+    for n in (5, 40):
+        whole = ", ".join(f"N{i}" for i in range(n))
+        rows = [(1, f'"{whole}";7', None, 0, "x"), (2, f"3; {whole} / 4", None, 0, "x"), (3, f"{whole}, N", None, 0, "x")]
+        want = [(1, "authors_csv", 1, whole), (1, "authors_csv", 2, "7"), (2, "authors_csv", 1, "3"), (2, "authors_csv", 2, whole), (2, "authors_csv", 3, "4"), (3, "authors_csv", 1, whole), (3, "authors_csv", 2, "N")]
+        assert entries(spark, rows) == want
+
+
 def test_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, "1,2", None, 9, "y"), (1, "1,2", None, 8, "z"), (None, "3", "", None, None), (2, None, " ", None, None)]
     assert entries(spark, [r for r in rows if r[0] is not None]) == [(1, "authors_csv", 1, "1"), (1, "authors_csv", 2, "2")]
