@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,11 @@ from quire.operators.tree_agg import heavy_keys, tree_aggregate, tree_distinct_c
 from quire.runtime import table
 
 
+#: The decimal digits of every script but ASCII, and the ASCII digit of each.
+_DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isdecimal())
+_ASCII = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Every entry of book.authors_csv and book.pdf_links."""
     names = table(spark, d, "author").select("author_name")
@@ -19,9 +27,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_author_entries(spark: SparkSession, d: str) -> DataFrame:
-    """Entries of authors_csv as author ids (any script's digits), with the number of books that name each."""
+    """Entries of authors_csv as author ids (the decimal digits of any script: Arabic-Indic, Persian, full-width, Devanagari and so on), with the number of books that name each."""
     e = p1_found(spark, d).where("field = 'authors_csv'")
-    ids = e.withColumn("author_id", F.translate("item", "٠١٢٣٤٥٦٧٨٩", "0123456789")).where(F.col("author_id").rlike("^[0-9]+$"))
+    ids = e.withColumn("author_id", F.translate("item", _DIGITS, _ASCII)).where(F.col("author_id").rlike("^[0-9]+$"))
     return ids.groupBy(F.col("author_id").cast("int").alias("author_id")).agg(F.count_distinct("book_id").alias("n_books"), F.min("pos").alias("first_pos"))
 
 

@@ -1,6 +1,7 @@
 import pytest
 
 from quire.operators.packed import cover, pieces, spans, split_packed
+from quire.plans.data_queries import p1_author_entries
 
 SCHEMA = "book_id int, authors_csv string, pdf_links string, pos int, item string"
 
@@ -81,3 +82,10 @@ def test_nulls_repeats_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert entries(spark, []) == []
+
+
+def test_author_ids_in_digits_of_any_script(spark, tmp_path):
+    rows = [(1, "12; ١٢; ۱۲", None), (2, "۱۲, 34", None), (3, "１２|१२", None), (4, "𝟏𝟐; x1", None)]
+    spark.createDataFrame(rows, "book_id int, authors_csv string, pdf_links string").write.parquet(f"{tmp_path}/book.parquet")
+    spark.createDataFrame([("plain",)], "author_name string").write.parquet(f"{tmp_path}/author.parquet")
+    assert sorted(map(tuple, p1_author_entries(spark, str(tmp_path)).collect())) == [(12, 4, 1), (34, 1, 2)]
