@@ -27,8 +27,9 @@ COMPOSE = {
 }
 EASTERN_DIGITS = "٠١٢٣٤٥٦٧٨٩"
 PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
-#: Particles written onto the next word.
-PROCLITICS = ("", "و", "ف", "ب", "ك", "ل")
+#: What may be written onto a bare word, and the article with what may stand before it (the last one contracted).
+ON_BARE_WORD = ("", "و", "ف", "ب", "ك", "ل")
+ON_ARTICLE = ("ال", "وال", "فال", "بال", "كال", "لل")
 PLACEHOLDER_PART = "الكتاب"
 UNKNOWN_YEAR = 99999
 
@@ -249,10 +250,10 @@ def exact_pattern(needle: str, diacritics: bool = False, hamza: bool = False, di
 
 
 def prefix_variants(word: str) -> list[str]:
-    """Written forms of a word with particles and the article, the word itself among them."""
+    """Written forms of a word: bare or with the article, each with every particle that may stand before it."""
     word = fold_token(word)
-    if len(word) < 2:
+    bare = re.fullmatch(f"(?:{ON_ARTICLE[0]})?(.+)", word, re.DOTALL)
+    if bare is None or len(word) < 2:
         return [word]
-    core = word.removeprefix("ال")
-    forms = dict.fromkeys(p + base for base in (word, "ال" + core, core) for p in PROCLITICS if not (p == "ل" and base.startswith("ال")))
-    return [f for f in [*forms, "لل" + core] if len(f) > 1]
+    written = [start + bare[1] for start in ON_BARE_WORD + ON_ARTICLE]
+    return sorted({w for w in written if len(w) > 1}, key=lambda w: (w != word, len(w), w))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -82,25 +83,23 @@ def exact_snippet(text: str | None, needle: str, diacritics: bool = False, hamza
 
 
 def split_parts(text: str, budget: int) -> list[str]:
-    """Parts of at most `budget` characters, cut at the last paragraph, line or blank of their second half."""
+    """Parts of at most `budget` characters (a cut may stand right behind that), cut at the last paragraph, line or blank of their second half, else hard.
+
+    The breaks of all three kinds are found once, in one pass; each part then looks its cut up among them.
+    """
     if budget <= 0 or len(text) <= budget:
         return [text]
-    parts, at = [], 0
-    while len(text) - at > budget:
-        for mark in ("\n\n", "\n", " "):
-            cut = text.rfind(mark, at, at + budget + len(mark))
-            if cut - at >= budget // 2:
-                break
-        else:
-            cut = at + budget
-        if head := text[at:cut].strip():
-            parts.append(head)
-        at = cut
-        while at < len(text) and text[at].isspace():
-            at += 1
-    if at < len(text):
-        parts.append(text[at:])
-    return parts or [text]
+    kinds = [[m.start() for m in re.finditer(f"(?={mark})", text)] for mark in ("\n\n", "\n", " ")]
+    solid = [m.start() for m in re.finditer(r"(?<!\S)\S|\Z", text)]  # where a part may begin after blanks
+    cuts, start = [], 0
+    while len(text) - start > budget:
+        low, high = start + budget // 2, start + budget
+        last = [k[i - 1] for k in kinds if (i := bisect_right(k, high)) and k[i - 1] >= low]
+        end = last[0] if last else high
+        cuts.append((start, end))
+        start = solid[bisect_left(solid, end)] if text[end].isspace() else end
+    parts = [p for a, b in cuts if (p := text[a:b].strip())]
+    return parts + [text[start:]] if start < len(text) else parts or [text]
 
 
 def snippet_column(text: Column, terms: list[str]) -> Column:

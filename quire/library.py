@@ -17,7 +17,7 @@ from quire.functions import arabic, verses
 from quire.functions.snippets import snippet_column, split_parts
 from quire.operators import catalog, pages, search, services
 from quire.operators import scope as scopes
-from quire.operators.citation import AUTO_NUMBERED, default_style, full_style, missing_notes, short_style
+from quire.operators.citation import AUTO_NUMBERED, default_style, full_style, missing_parts, short_style
 from quire.sources import tables
 from quire.sources.tables import Library as Tables
 
@@ -184,7 +184,7 @@ class Toolbox:
             raise LibraryError("BAD_ARG", f"style is one of {', '.join(styles)}")
         row = catalog.with_main_author(self.t.book.where(F.col("book_id") == book_id), self.t.author)
         page = self.t.page.where((F.col("book_id") == book_id) & (F.col("page_id") == (page_id or 0))).select("book_id", arabic.clean_part(F.col("part")).alias("part"), "page")
-        rows = row.join(page, "book_id", "left").select(styles[style].alias("formatted"), missing_notes().alias("notes"))
+        rows = row.join(page, "book_id", "left").select(styles[style].alias("formatted"), missing_parts().alias("notes"))
         return render.render(self._one(rows, "BOOK_NOT_FOUND", f"book {book_id}"))
 
     # --- catalogue -------------------------------------------------------------------------------

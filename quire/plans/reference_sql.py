@@ -117,8 +117,8 @@ _TRAD = f"""js as (select book_id, page_id, case when json_valid(services) then
  m as (select hits.book_id, hits.page_id, coalesce(try_cast(json_extract(j, '$.hadeeth') as integer[]), cast([] as integer[])) as hadeeth from hits left join js using (book_id, page_id))"""
 
 
-def _named(pattern: str) -> str:
-    v = f"trim(regexp_extract(regexp_extract(front, '{pattern}', 1), '^([^،,\\n.()\\[\\]:|]*)', 1))"
+def _named(before: str) -> str:
+    v = f"trim(regexp_extract(front, '{before}([\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}} \\t-]*)', 1))"
     return f"case when length({v}) between 2 and 70 then {v} end"
 
 
@@ -129,7 +129,7 @@ def _suffix(letter: str) -> str:
 _CARDS = f"""h as (select book_id, max(page_id) as m from pg group by 1),
  na as (select book_id, count(*) as c from (select distinct book_id, author_id from bridge) join a using (author_id) group by 1),
  fi as (select book_id, page_id, row_number() over (partition by book_id order by page_id) as n from pg where page_id >= 1),
- fr as (select fi.book_id, string_agg(regexp_replace(regexp_replace(coalesce(body, ''), '<[^>]*>', ' ', 'g'), '[ \\t]+', ' ', 'g'), chr(10) order by page_id) as front from fi join pt using (book_id, page_id) where n <= 6 group by 1),
+ fr as (select fi.book_id, string_agg(translate(regexp_replace(coalesce(body, ''), '<[^>]*>', ' ', 'g'), '{arabic.INDEX_DROP}', ''), chr(10) order by page_id) as front from fi join pt using (book_id, page_id) where n <= 6 group by 1),
  ca as (select b.*, {_STATUS} as content_status, {_EDITION} as edition, c, front from b left join h on h.book_id = b.book_id left join na on na.book_id = b.book_id left join fr on fr.book_id = b.book_id),
  cb as (select *, {_suffix('ت')} as ed, {_suffix('ط')} as pub from ca),
  cc as (select *, ed is null and pub is null and content_status = 'readable' as bare from cb)"""
@@ -167,7 +167,7 @@ ORACLE = {
     "page_ranges": f"with {_VIEWS}, n as (select book_id, page_id, row_number() over (partition by book_id order by page_id) as n from pg where page_id >= 1), s as (select n.*, cast(length(coalesce(body, '')) + length(coalesce(foot, '')) as integer) as n_chars from n left join pt using (book_id, page_id) where n <= 20), t as (select *, sum(n_chars) over (partition by book_id order by page_id) as upto from s) select book_id, page_id, n_chars from t where upto <= 12000 or n = 1",
     "toc": f"with {_VIEWS}, {_TREE}, l1 as (select *, 1 as level from t where parent = 0), l2 as (select t.*, 2 as level from t join l1 on t.book_id = l1.book_id and t.parent = l1.id), u as (select * from l1 union all select * from l2) select book_id, id as title_id, page, parent, body, level, exists (select 1 from t where t.book_id = u.book_id and t.parent = u.id) as has_children from u",
     "book_sections": f"with {_VIEWS}, {_TREE}, l as (select book_id, max(page_id) as last_page from pg group by 1), n as (select *, lead(page) over (partition by book_id, parent order by id) as nxt from t where page is not null), s as (select n.book_id, n.id, n.page, greatest(n.page, coalesce(nxt - 1, last_page, 0)) as e from n left join l using (book_id)) select book_id, id as title_id, page as start_page_id, e as end_page_id, e - page + 1 as total_pages from s",
-    "book_cards": f"with {_VIEWS}, {_CARDS} select book_id, book_name, book_category as category_id, book_type, {_TYPES} as book_type_label, book_date, major_online > 0 as available, content_status = 'readable' as downloaded, content_status, cast(coalesce(c, 0) as bigint) as n_authors, meta_data.date as publication_date, edition, coalesce(ed, case when bare then coalesce({_named('(?:المحقّ?ق|تحقيق|بتحقيق)\\s*[:：]\\s*([^\\n]{2,70})')}, {_named('حقّ?قه\\s+(?:وعلّق عليه\\s+)?([^\\n،.]{3,50})')}) end) as editor, coalesce(pub, case when bare then {_named('(?:الناشر|دار النشر)\\s*[:：]\\s*([^\\n]{2,70})')} end) as publisher, cast(coalesce(len(meta_data.sub_books), 0) as integer) as n_sub_books from cc",
+    "book_cards": f"with {_VIEWS}, {_CARDS} select book_id, book_name, book_category as category_id, book_type, {_TYPES} as book_type_label, book_date, major_online > 0 as available, content_status = 'readable' as downloaded, content_status, cast(coalesce(c, 0) as bigint) as n_authors, meta_data.date as publication_date, edition, coalesce(ed, case when bare then coalesce({_named('(?:دراسة وتحقيق|بتحقيق|تحقيق|المحقق)\\s*[:：]\\s*')}, {_named('حققه(?:\\s+و\\p{L}+\\s+(?:عليه|له|أحاديثه))*\\s+')}) end) as editor, coalesce(pub, case when bare then {_named('(?:دار النشر|الناشر)\\s*[:：]\\s*')} end) as publisher, cast(coalesce(len(meta_data.sub_books), 0) as integer) as n_sub_books from cc",
     "book_parts": f"with {_VIEWS} select book_id, trim(part) as part, count(*) as page_count, min(page_id) as first_page_id, max(page_id) as last_page_id from pg where trim(part) not in ('', 'الكتاب') group by 1, 2",
     "book_authors": f"with {_VIEWS}, o as (select book_id, unnest(l) as author_id, generate_subscripts(l, 1) as i from ids), f as (select book_id, author_id, min(i) as i from o group by 1, 2), p as (select *, row_number() over (partition by book_id order by i) - 1 as position from f) select p.book_id, cast(position as integer) as position, author_id, author_name, death_year, case when author_id = b.main_author then 'main' else 'co' end as role from p join a using (author_id) join b on b.book_id = p.book_id",
     "author_cards": f"with {_VIEWS}, n as (select author_id, list_sort(list(book_id)) as l from bridge group by 1) select author_id, author_name, death_year, cast(coalesce(len(l), 0) as integer) as book_count, coalesce(array_to_string(l, ','), '') as book_ids from a left join n using (author_id)",

@@ -182,6 +182,10 @@ def test_cards_and_status(spark, library):
     assert got[1] == ("readable", None, "أحمد علي", "دار س")
     assert got[2] == ("downloaded_no_pages", "ت زيد", "زيد", None)
     assert got[3] == ("not_downloaded", "ط الدار", None, "الدار")
+    front = "تَحقِيق :  زيد بن علي - عمرو (ط 2)\nدار النشر： س ص/ بلد"
+    for body, want in ((front, ("زيد بن علي - عمرو", "س ص")), ("حقّقه وعلّق عليه وقدم له أبو س، ج\nالناشر: ", ("أبو س", None)), ("حققه: س", (None, None)), (f"تحقيق: {'س' * 71}", (None, None)), ("التحقيق في الكتاب", (None, None))):
+        r = catalog.book_cards(*library, page, spark.createDataFrame([(1, 1, body, None)], text.schema)).where("book_id = 1").first()
+        assert (r.editor, r.publisher) == want
     h = catalog.health(*library, page).first()
     assert (h.catalog_books, h.downloaded_books, h.sampled, h.readable, h.status) == (4, 3, 3, 1, "ok")
 
