@@ -1,5 +1,6 @@
 import pytest
 
+from quire.llm import sentences as S
 from quire.llm.sentences import sentences, split_sentences
 
 
@@ -80,3 +81,60 @@ def test_rows(spark):
     got = sorted(map(tuple, split_sentences(df, "doc_id", "text").collect()))
     assert got == [(1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9)]
     assert split_sentences(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_any_length_before_and_after_a_mark():
+    assert cut("ครู " + "ก" * 40 + "." + "ข" * 3 + " ถาม") == ["ครู " + "ก" * 40 + "." + "ข" * 3, "ถาม"]
+    assert cut("So it is." + "A" * 60 + " b. C") == ["So it is.", "A" * 60 + " b.", "C"]
+    assert cut("The " + "9" * 60 + ". der und 5. Mai") == cut("The " + "9" * 60 + ". der und 5. Mai")
+
+
+@pytest.mark.parametrize(
+    ("part", "value", "text"),
+    [
+        ("TORN", 0.0, "He left (So it is. Well) and came back."),
+        ("TORN", 0.0, "She wrote, “A thing. Another thing.” Good."),
+        ("BARE_NUMBER", 0.0, "3. The first."),
+        ("LENGTH_WEIGHT", 0.0, "A p. X."),
+    ],
+)
+def test_spans_overrule_marks(monkeypatch, part, value, text):
+    """The marks alone would cut here; each part of a span's score changes rows."""
+    joint = cut(text)
+    assert len(joint) < len(S.marks_alone(text, 0, len(text)))
+    monkeypatch.setattr(S, part, value)
+    assert len(cut(text)) > len(joint)
+
+
+def test_length_weighs_against_the_words():
+    """The same closing and opening words: a boundary between long spans, none between short ones."""
+    assert cut("A p. X.") == ["A p. X."]
+    long = "He wrote on the same long p. Xylo came only in the following year to the city"
+    assert cut(long) == ["He wrote on the same long p.", "Xylo came only in the following year to the city"]
+
+
+def test_marks_without_partner_are_ordinary():
+    assert cut('He said " so. Then "it is." Good. (One. Two') == ['He said " so.', 'Then "it is."', "Good.", "(One.", "Two"]
+
+
+def test_solver_against_all_sequences():
+    """The kept starts lose nothing: the result's score is the best of all sequences of spans."""
+    import itertools
+    import random
+
+    def score(text, x, spans):
+        pairs, total = S._Pairs(text, 0, len(text)), 0.0
+        by = {c.end: c for c in x} | {len(text): S.Boundary(len(text), len(text), 0.0)}
+        for s, e in spans:
+            total += by[e].evidence + S.TORN * (pairs.at(e) + pairs.at(by[e].start)) + S._length(e - s) + (S.BARE_NUMBER if by[e].number == s else 0.0)
+        return total
+
+    rnd = random.Random(3)
+    for _ in range(150):
+        text = " ".join(rnd.choice(["a", "B.", "3.", "p.", "(c.", "d)", "“E.", "f.”", "No!", "Dr.", "x.", "g. H"]) for _ in range(9)) + " end"
+        x = S._boundaries(text, 0, len(text), S._Pairs(text, 0, len(text)), S._German(text))
+        best = max(
+            score(text, x, list(zip([0, *[c.start for c in some]], [*[c.end for c in some], len(text)])))
+            for n in range(len(x) + 1) for some in itertools.combinations(x, n)
+        )
+        assert score(text, x, S._block(text, 0, len(text), S._German(text))) == pytest.approx(best)
