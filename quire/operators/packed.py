@@ -1,22 +1,27 @@
 """Several values packed in one field: one row per value, with its position.
 
 Dictionary-guided segmentation. Known whole values are those that the data itself delimits beyond doubt
-(entries in quotation marks that hold a separator) and those of an optional dictionary table. Candidate
-spans of each field are matched with them by a hash join, so the dictionary is never broadcast and may
-grow with the data; per Arrow batch a multi-pattern automaton over the batch's known values then marks
-their places, and dynamic programming picks the cover of the field with the least cost.
+(entries in quotation marks that hold a separator) and those of an optional dictionary table, of any number
+of pieces. Per Arrow batch a multi-pattern automaton over the known values marks every place in the raw
+fields where one stands; quoted entries, links, known values and single pieces are then the segments from
+which dynamic programming makes the cover of the field with the least cost, so a separator inside a known
+value or a link is protected exactly if that cover is the better one.
+
+The dictionary may grow with the data, so it is neither broadcast nor collected: a known value is brought to
+the fields that hold its first two units next to each other (a hash join on their text), and the automaton of
+a batch holds only those.
 
 Defined results: a null field gives no rows; an empty or blank field, or one of separators only, gives no
 rows; blank entries are dropped and not counted; equal entries are all kept; an opening quotation mark
 without its closing mark is an ordinary character; a closing mark counts only before a separator or the
-end; repeated input rows are one record; columns other than the keys are ignored, so clashing names are
-harmless.
+end; of covers with equal cost the one whose last segments are longer wins; repeated input rows are one
+record; columns other than the keys are ignored, so clashing names are harmless.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +38,9 @@ QUOTES = {'"': '"', "'": "'", "“": "”", "«": "»"}
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s,;،؛|\"“”«»\[\]]*")
 _SEP = re.compile("[" + re.escape(SEPARATORS) + "]")
 _PLAIN = re.compile(r"\d+|" + _URL.pattern)
-#: A field without any of these holds numbers alone, and no known value over several pieces.
+#: Cost of an entry: a single piece, and a link or known value over several.
+PIECE, LINK, KNOWN = 1.0, 0.5, 0.5
+#: A field without any of these holds numbers alone, and no known value.
 _NAMES = r"[^\d\s,;،؛|/&]"
 
 
@@ -63,10 +70,10 @@ def _closing(value: str, at: int, end: int) -> int:
     return -1
 
 
-def pieces(value: str) -> list[tuple[int, int, bool]]:
-    """The field cut at every separator that no quotation mark or link protects: (start, end, quoted)."""
+def scan(value: str) -> tuple[list[tuple[int, int, bool]], list[tuple[int, int]]]:
+    """The field cut at every separator outside quotation marks, (start, end, quoted), and the runs [i, j) of pieces that links join."""
     i, end = _unbracket(value)
-    out, start, fresh = [], i, True
+    out, links, start, fresh = [], [], i, True
     while i < end:
         c = value[i]
         if c in SEPARATORS:
@@ -78,14 +85,27 @@ def pieces(value: str) -> list[tuple[int, int, bool]]:
                 i += 1
             out.append((start, i, True))
             start, fresh = i + 1, True
-        elif (m := _URL.match(value, i, end)) and c.isalpha() and (i == start or not value[i - 1].isalnum()):
+        elif c.isalpha() and (i == start or not value[i - 1].isalnum()) and (m := _URL.match(value, i, end)):
+            first = links.pop()[0] if links and links[-1][1] > len(out) else len(out)
+            for x in _SEP.finditer(value, i, m.end()):
+                out.append((start, x.start(), False))
+                start = x.end()
+            links.append((first, len(out) + 1))
             i, fresh = m.end() - 1, False
         elif not c.isspace():
             fresh = False
         i += 1
     if start <= end and not (out and start > end):
         out.append((start, end, False))
-    return out
+    return out, links
+
+
+def pieces(value: str) -> list[tuple[int, int, bool]]:
+    """The units of a field: pieces that no separator outside quotation marks and links divides."""
+    cut, links = scan(value)
+    for i, j in reversed(links):
+        cut[i:j] = [(cut[i][0], cut[j - 1][1], False)]
+    return cut
 
 
 def entry(text: str, quoted: bool) -> str:
@@ -97,40 +117,31 @@ def entry(text: str, quoted: bool) -> str:
     return text
 
 
-def width(known: str) -> int:
-    """The pieces a known value has inside a field: behind a separator, so brackets around it stay."""
-    return len(pieces("," + known)) - 1
-
-
-def spans(value: str, widths: set[int] | None = None) -> list[str]:
-    """Runs of two or more adjacent unquoted pieces that might be one known value; of these numbers of pieces, if given."""
-    cut, out = pieces(value), []
-    sizes = range(2, len(cut) + 1) if widths is None else sorted(w for w in widths if 2 <= w <= len(cut))
-    if not sizes:
-        return out
-    names, quoted, filled = [0], [0], []  # pieces so far that are no plain values, and that are quoted
-    for a, b, q in cut:
-        p = value[a:b].strip()
-        names.append(names[-1] + bool(p and not _PLAIN.fullmatch(p)))
-        quoted.append(quoted[-1] + q)
-        filled.append(bool(p))
-    for i in range(len(cut)):
-        if not filled[i]:
-            continue
-        for n in sizes:
-            j = i + n
-            if j > len(cut) or quoted[j] > quoted[i]:
-                break
-            if filled[j - 1] and names[j] > names[i]:
-                out.append(value[cut[i][0] : cut[j - 1][1]].strip())
-    return out
+def _is_name(text: str) -> bool:
+    """Whether a unit is more than a number or a link, which are values by themselves."""
+    return bool(text) and _PLAIN.fullmatch(text) is None
+
+
+def spans(value: str) -> list[str]:
+    """Where a known value may begin: two adjacent unquoted units as one text; none in a field without names."""
+    units = [(a, b, q, value[a:b].strip()) for a, b, q in pieces(value)]
+    if not any(_is_name(t) for _, _, q, t in units if not q):
+        return []
+    return [value[a:d].strip() for (a, _, p, t), (_, d, q, _) in zip(units, units[1:]) if t and not p and not q]
+
+
+def head(known: str) -> str | None:
+    """The text by which a known value meets fields: its first two units, as they stand behind a separator; null if it has one, or no name."""
+    inside = pieces("," + known)[1:]
+    if len(inside) < 2 or inside[0][2] or inside[1][2] or not any(_is_name(known[a - 1 : b - 1].strip()) for a, b, _ in inside):
+        return None
+    return known[inside[0][0] - 1 : inside[1][1] - 1].strip()
 
 
 def cover(value: str, places: set[tuple[int, int]]) -> list[str]:
-    """The entries of the cheapest cover: a known value over several pieces costs less than its pieces."""
-    cut = pieces(value)
-    if not places:
-        return [e for a, b, q in cut if (e := entry(value[a:b], q))]
+    """The entries of the cheapest cover of the field; places: start and end of the known values that stand in it."""
+    cut, links = scan(value)
+    n = len(cut)
     edge = []
     for a, b, _ in cut:
         while a < b and value[a].isspace():
@@ -138,25 +149,30 @@ def cover(value: str, places: set[tuple[int, int]]) -> list[str]:
         while b > a and value[b - 1].isspace():
             b -= 1
         edge.append((a, b))
-    n = len(cut)
-    first, starts = {a: i for i, (a, b) in enumerate(edge) if a < b}, {}
-    for a, b in places:
-        if a in first:
-            starts.setdefault(b, []).append(first[a])
-    best: list[tuple[float, int]] = [(0.0, 0)] + [(float("inf"), 0)] * n
+    longer: dict[int, list[tuple[int, float]]] = {}  # by last piece: first piece and cost of the segments of several
+    for i, j in links:
+        if j - i > 1:
+            longer.setdefault(j, []).append((i, LINK))
+    if places:
+        first, last = {a: i for i, (a, b) in enumerate(edge) if a < b}, {b: i + 1 for i, (a, b) in enumerate(edge)}
+        torn = [0]
+        for _, _, q in cut:
+            torn.append(torn[-1] + q)
+        for a, b in places:
+            i, j = first.get(a, n), last.get(b, 0)
+            if i + 1 < j and torn[i] == torn[j]:
+                longer.setdefault(j, []).append((i, KNOWN))
+    if not longer:
+        return [e for a, b, q in cut if (e := entry(value[a:b], q))]
+    best, back = [0.0] * (n + 1), [0] * (n + 1)
     for j in range(1, n + 1):
-        for i in [*sorted(i for i in starts.get(edge[j - 1][1], ()) if i < j - 1), j - 1]:
-            if i == j - 1:
-                cost = 1.0 if edge[i][0] < edge[i][1] else 0.0
-            elif not any(q for _, _, q in cut[i:j]):
-                cost = 0.5
-            else:
-                continue
-            if best[i][0] + cost < best[j][0]:
-                best[j] = (best[i][0] + cost, i)
+        best[j], back[j] = best[j - 1] + (PIECE if edge[j - 1][0] < edge[j - 1][1] else 0.0), j - 1
+        for i, cost in sorted(longer.get(j, ())):
+            if best[i] + cost < best[j]:
+                best[j], back[j] = best[i] + cost, i
     out, j = [], n
     while j:
-        i = best[j][1]
+        i = back[j]
         out.append(entry(value[cut[i][0] : cut[j - 1][1]], j - i == 1 and cut[i][2]))
         j = i
     return [e for e in reversed(out) if e]
@@ -183,22 +199,20 @@ def _segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*keys, pa.array(pos, pa.int32()), pa.array(items, pa.string())], [*batch.schema.names[:-2], "pos", "item"])
 
 
-def _spans(widths: set[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, out = [], []
-            for i, value in zip(batch.column("vid").to_pylist(), batch.column("value").to_pylist()):
-                for s in spans(value, widths):
-                    ids.append(i)
-                    out.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.string())], ["vid", "span"])
-
-    return cut
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, out = [], []
+        for i, value in zip(batch.column("vid").to_pylist(), batch.column("value").to_pylist()):
+            for s in set(spans(value)):
+                ids.append(i)
+                out.append(s)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.string())], ["vid", "head"])
 
 
-def _widths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _known_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(sorted({width(v) for v in batch.column("span").to_pylist()}), pa.int32())], ["n"])
+        span = batch.column("span").to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column("span"), pa.array([head(s) if s else None for s in span], pa.string())], ["span", "head"])
 
 
 def _protected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,21 +224,21 @@ def _protected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def split_packed(df: DataFrame, keys: list[str], fields: list[str], dictionary: DataFrame | None = None) -> DataFrame:
     """One row per entry: keys, field, pos (from 1), item.
 
-    dictionary: optional further known whole values, in its first column. Only the numbers of
-    pieces that known values have are collected, nothing is broadcast by hand; shuffles carry only distinct field values and the spans worth looking up.
+    dictionary: optional further known whole values, in its first column. Nothing is collected or broadcast by
+    hand; shuffles carry only distinct field values, their pairs of units, and the known values.
     """
     long = None
     for f in fields:
         one = df.select(*keys, F.lit(f).alias("field"), F.col(f).cast("string").alias("value"))
         long = one if long is None else long.unionByName(one)
     base = long.where("value is not null and trim(value) <> ''").distinct().withColumn("vid", F.md5(F.concat_ws("\x1f", "field", "value")))
-    base = materialize(base, "packed")  # read three times: for the dictionary, the candidate spans, the cover
+    base = materialize(base, "packed")  # read three times: for the dictionary, the pairs of units, the cover
     values = base.select("vid", "value").where(F.col("value").rlike(_NAMES) & F.col("value").rlike(_SEP.pattern)).dropDuplicates(["vid"])
     dic = base.where(F.col("value").rlike("[\"“«']")).select("value").mapInArrow(_protected, "span string")
     if dictionary is not None:
         extra = dictionary.select(F.col(dictionary.columns[0]).cast("string").alias("span"))
-        dic = dic.unionByName(extra.where(F.col("span").rlike("[" + re.escape(SEPARATORS) + "]")))
-    widths = {r.n for r in dic.mapInArrow(_widths, "n int").distinct().collect()}
-    known = values.mapInArrow(_spans(widths), "vid string, span string").join(dic.distinct(), "span", "left_semi").groupBy("vid").agg(F.collect_set("span").alias("known"))
+        dic = dic.unionByName(extra.select(F.trim("span").alias("span")).where(F.col("span").rlike("[" + re.escape(SEPARATORS) + "]")))
+    dic = dic.distinct().mapInArrow(_known_heads, "span string, head string").where("head is not null")
+    known = values.mapInArrow(_heads, "vid string, head string").join(dic, "head").groupBy("vid").agg(F.collect_set("span").alias("known"))
     shape = T.StructType([*base.select(*keys, "field").schema.fields, T.StructField("pos", T.IntegerType()), T.StructField("item", T.StringType())])
     return base.join(known, "vid", "left").select(*keys, "field", "value", "known").mapInArrow(_segment, shape)

@@ -1,6 +1,6 @@
 import pytest
 
-from quire.operators.packed import cover, pieces, spans, split_packed
+from quire.operators.packed import cover, head, pieces, spans, split_packed
 from quire.plans.data_queries import p1_author_entries
 
 SCHEMA = "book_id int, authors_csv string, pdf_links string, pos int, item string"
@@ -73,6 +73,32 @@ def test_known_value_of_any_number_of_pieces(spark):
         assert entries(spark, rows) == want
 
 
+def test_links_and_known_values_compete():
+    link = "x https://a.b/c&d, e; f"
+    assert cover(link, set()) == ["x https://a.b/c&d", "e", "f"]
+    assert cover(link, {(2, 20)}) == ["x https://a.b/c&d", "e", "f"]  # begins inside an entry
+    assert cover(link, {(0, 20)}) == ["x https://a.b/c&d, e", "f"]
+    assert cover("A, B, C, D", {(0, 4), (3, 7), (6, 10)}) == ["A, B", "C, D"]  # the cover, not the first match
+    assert cover("A, B, C, D", {(0, 4), (3, 10)}) == ["A", "B, C, D"]
+    assert cover("'A, B', C", {(0, 9), (1, 9)}) == ["A, B", "C"]  # a quotation is one entry
+    assert cover("https://a/b https://c/d,x", set()) == ["https://a/b https://c/d", "x"]
+    assert head("A, B; C") == "A, B" and head("A") is None and head("1, 2") is None and head("https://a/b, C, D") == "https://a/b, C" and head("'A, b', C") is None
+    assert spans("1; 2, N") == ["1; 2", "2, N"] and head("1; 2, N") == "1; 2"
+
+
+def test_rows_that_only_the_dictionary_gets_right(spark):
+    """Of values with five pieces and more the quotation marks alone explain one field in three."""
+    wholes = [", ".join(f"{w}{i}" for i in range(n)) for w, n in (("A", 5), ("B", 6), ("C", 9))]
+    rows = [(i, f'"{w}";7', None, 0, "x") for i, w in enumerate(wholes)]
+    rows += [(10 + i, f"3; {w} / 4", None, 0, "x") for i, w in enumerate(wholes)] + [(20 + i, f"{w}/{wholes[0]}", None, 0, "x") for i, w in enumerate(wholes)]
+    got = entries(spark, rows)
+    want = [(i, 1, w) for i, w in enumerate(wholes)] + [(i, 2, "7") for i in range(3)]
+    want += [(10 + i, p, x) for i, w in enumerate(wholes) for p, x in ((1, "3"), (2, w), (3, "4"))] + [(20 + i, p, x) for i, w in enumerate(wholes) for p, x in ((1, w), (2, wholes[0]))]
+    assert got == sorted((b, "authors_csv", p, x) for b, p, x in want)
+    alone = {(b, "authors_csv", p, x) for b, v, *_ in rows for p, x in enumerate(cover(v, set()), 1)}
+    assert len(set(got) - alone) == 12 and len(alone - set(got)) > 40
+
+
 def test_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, "1,2", None, 9, "y"), (1, "1,2", None, 8, "z"), (None, "3", "", None, None), (2, None, " ", None, None)]
     assert entries(spark, [r for r in rows if r[0] is not None]) == [(1, "authors_csv", 1, "1"), (1, "authors_csv", 2, "2")]
