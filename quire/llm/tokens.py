@@ -1,11 +1,13 @@
 """Encoding of a whole collection with a public tokenizer.
 
-Texts of ordinary length are encoded where they lie, without a shuffle. Longer ones are cut into parts
-that are encoded in parallel; the parts of a text are then concatenated as a tree: at each join the text is
-split anew from the last certain boundary on the left until the splits of both sides coincide, and where
-one unsplit piece runs across the join, growing windows around it are encoded again until the window's
-first token is the left side's and its last token the right side's. Every pair of neighbouring tokens is
-then one that the encoder itself produces, which makes the whole equal to encoding the text at once.
+Tree concatenation at three scales. A long unsplit piece of a text (letters, digits or signs that the split
+pattern leaves whole) is halved down to leaves, and neighbouring halves are joined by encoding growing windows
+around the join again until the window's first token is the left side's and its last token the right side's:
+every pair of neighbouring tokens is then one that the encoder itself produces, which makes the whole equal to
+encoding the piece at once. A long text is cut into parts that are encoded in parallel wherever they lie; parts
+are joined in rounds, FAN of them by one task of a round: at each join the text is split anew from the last
+certain boundary on the left until the splits of both sides coincide. Only tokens move from round to round: the
+text about a join is decoded from them.
 
 Defined results: null and empty texts have no tokens (an empty list); special tokens are ordinary text;
 texts of any length are encoded whole.
@@ -14,6 +16,8 @@ texts of any length are encoded whole.
 from __future__ import annotations
 
 import base64
+import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,9 +29,14 @@ from pyspark.sql import functions as F
 #: Code points beyond which a text is cut, and code points of a part.
 LONG = 1 << 16
 PART = 1 << 14
-#: Bytes of an unsplit piece beyond which a join uses windows; tokens of the first window on each side.
-PIECE = 256
+#: Parts that one task of a round joins, and the bits of the greatest length of a text in a row.
+FAN = 64
+BITS = 31
+#: Bytes of an unsplit piece beyond which it is halved; tokens of the first window on each side of a join.
+PIECE = 64
 WINDOW = 8
+#: Tokens behind a part's first piece that are decoded at a join, to see where that piece ends.
+AHEAD = 8
 
 
 def default_vocabulary() -> str:
@@ -49,19 +58,49 @@ def encoder(path: str):  # noqa: ANN201
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), regex.compile(public_tokenizers.PATTERN)
 
 
+@lru_cache(maxsize=4)
+def _solid(piece: int) -> re.Pattern:
+    """Finds what may be an unsplit piece of more bytes than `piece`: four bytes a code point at most."""
+    n = piece // 4 + 1
+    return re.compile(rf"\S{{{n}}}|\s{{{n}}}")
+
+
+def halved(piece: str, path: str, size: int = PIECE) -> list[int]:
+    """Tokens of one unsplit piece, as a tree of halves."""
+    if len(piece) < 2 or len(piece.encode("utf-8")) <= size:
+        return encoder(path)[0]._encode_single_piece(piece.encode("utf-8"))
+    half = len(piece) // 2
+    return join_pieces(halved(piece[:half], path, size), halved(piece[half:], path, size), path)
+
+
+def encode_plain(text: str, path: str, size: int = PIECE) -> list[int]:
+    """Tokens of a text: its long unsplit pieces by halves, what stands between them at once."""
+    enc, split = encoder(path)
+    if not _solid(size).search(text):
+        return enc.encode_ordinary(text)
+    out, at, before = [], 0, 0
+    for m in split.finditer(text):
+        s, e = m.span()
+        if (e - s) * 4 > size and len(text[s:e].encode("utf-8")) > size:
+            # a blank piece before is encoded alone: at the end of a text it would join the blanks before it
+            for x, y in ((at, before), (before, s)) if at < before and text[s - 1].isspace() else ((at, s),):
+                out += enc.encode_ordinary(text[x:y])
+            out += halved(text[s:e], path, size)
+            at = e
+        before = s
+    return out + enc.encode_ordinary(text[at:]) if at < len(text) else out
+
+
 @dataclass
 class Part:
-    """An encoded text: end and token count of its first piece; start and token count of its uncertain tail.
+    """An encoded text: its tokens, the token count of its first piece, and that of its uncertain tail.
 
     A piece is uncertain if text that follows could change it: it reaches the end, or it starts with an
     apostrophe and the longest contraction would not fit.
     """
 
-    text: str
     ids: list[int]
-    first_end: int
     first_n: int
-    last: int
     last_n: int
 
 
@@ -70,13 +109,13 @@ def _uncertain(text: str, start: int, end: int) -> bool:
 
 
 def leaf(text: str, path: str) -> Part:
-    enc, split = encoder(path)
+    _, split = encoder(path)
     end, last = 0, -1
     for m in split.finditer(text):
         end = end or m.end()
         if last < 0 and _uncertain(text, m.start(), m.end()):
             last = m.start()
-    return Part(text, enc.encode_ordinary(text), end, len(enc.encode_ordinary(text[:end])), last, len(enc.encode_ordinary(text[last:])))
+    return Part(encode_plain(text, path), len(encode_plain(text[:end], path)), len(encode_plain(text[last:], path)))
 
 
 def join_pieces(a: list[int], b: list[int], path: str) -> list[int]:
@@ -91,89 +130,115 @@ def join_pieces(a: list[int], b: list[int], path: str) -> list[int]:
         w *= 2
 
 
+def _begin(b: Part, path: str) -> str | None:
+    """The text of b's first piece and some tokens more; null if that is not known to be less than all."""
+    enc, _ = encoder(path)
+    raw = enc.decode_bytes(b.ids[: b.first_n + AHEAD])
+    text = raw.decode("utf-8", "ignore")  # the last token may end inside a code point
+    return text if b.first_n + AHEAD < len(b.ids) and raw.startswith(text.encode("utf-8")) else None
+
+
 def concatenate(a: Part, b: Part, path: str) -> Part:
-    """The encoding of a.text + b.text."""
-    if not a.text:
+    """The encoding of the text of a, then that of b."""
+    if not a.ids:
         return b
-    if not b.text:
+    if not b.ids:
         return a
+    begin = _begin(b, path)
+    joined = _join(a, b, begin, False, path) if begin is not None else None
+    return joined or _join(a, b, encoder(path)[0].decode(b.ids), True, path)
+
+
+def _join(a: Part, b: Part, right: str, whole: bool, path: str) -> Part | None:
+    """concatenate() with what is known of b's text; null if more must be known."""
     enc, split = encoder(path)
-    text, m = a.text + b.text, len(a.text)
-    at, right, dropped, fresh, spans = a.last, 0, 0, [], []
-    one_piece = split.match(a.text, at).end() == m
+    tail = enc.decode(a.ids[len(a.ids) - a.last_n :])
+    text, m = tail + right, len(tail)
+    first_end = len(enc.decode(b.ids[: b.first_n]))
+    at, seen, dropped, fresh, spans = 0, 0, 0, [], []
+    one_piece = split.match(tail).end() == m
     while True:
         end = split.match(text, at).end()
+        if not whole and end + 3 > len(text):
+            return None
         spans.append((at, end))
         taken = []
-        while m + right < end:
-            nxt = split.match(b.text, right).end() if right else b.first_end
-            taken.append(len(enc.encode_ordinary(b.text[right:nxt])) if right else b.first_n)
-            right = nxt
-        if one_piece and at == a.last and m + right == end and right == b.first_end and len(taken) == 1 and end - at > PIECE:
+        while m + seen < end:
+            nxt = split.match(right, seen).end() if seen else first_end
+            if not whole and nxt + 3 > len(right):
+                return None
+            taken.append(len(encode_plain(right[seen:nxt], path)) if seen else b.first_n)
+            seen = nxt
+        if one_piece and at == 0 and m + seen == end and seen == first_end and len(taken) == 1:
             fresh.append(join_pieces(a.ids[len(a.ids) - a.last_n :], b.ids[: b.first_n], path))
         else:
-            fresh.append(enc.encode_ordinary(text[at:end]))
+            fresh.append(encode_plain(text[at:end], path))
         dropped += sum(taken)
         at = end
-        if end >= m and m + right == end:
+        if end >= m and m + seen == end:
             break
-    new = [t for f in fresh for t in f]
-    ids = a.ids[: len(a.ids) - a.last_n] + new + b.ids[dropped:]
-    last = next((s for s, e in spans if _uncertain(text, s, e)), -1)
+    rest = b.ids[dropped:]
+    ids = a.ids[: len(a.ids) - a.last_n] + [t for f in fresh for t in f] + rest
+    last = next((s for s, e in spans if whole and _uncertain(text, s, e)), -1)
     if last >= 0:
-        last_n = sum(len(f) for (s, _), f in zip(spans, fresh) if s >= last) + len(b.ids) - dropped
-    elif b.last >= right:
-        last, last_n = b.last + m, b.last_n
+        last_n = sum(len(f) for (s, _), f in zip(spans, fresh) if s >= last) + len(rest)
+    elif b.last_n <= len(rest):
+        last_n = b.last_n
+    elif not whole:
+        return None
     else:
         last = at
         while not _uncertain(text, last, e := split.match(text, last).end()):
             last = e
-        last_n = len(enc.encode_ordinary(text[last:]))
-    first_end, first_n = (spans[0][1], len(fresh[0])) if a.last == 0 else (a.first_end, a.first_n)
-    return Part(text, ids, first_end, first_n, last, last_n)
+        last_n = len(encode_plain(text[last:], path))
+    return Part(ids, len(fresh[0]) if a.last_n == len(a.ids) else a.first_n, last_n)
 
 
-def encode_tree(parts: list[Part], path: str) -> list[int]:
+def encode_tree(parts: list[Part], path: str) -> Part:
     """Joins neighbouring parts level by level."""
     while len(parts) > 1:
         parts = [concatenate(parts[i], parts[i + 1], path) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-    return parts[0].ids if parts else []
+    return parts[0] if parts else Part([], 0, 0)
 
 
 def encode_text(text: str | None, path: str, part: int = PART) -> list[int]:
     """Reference form of the distributed encoding, for one text."""
-    return encode_tree([leaf(text[i : i + part], path) for i in range(0, len(text), part)], path) if text else []
+    return encode_tree([leaf(text[i : i + part], path) for i in range(0, len(text), part)], path).ids if text else []
 
 
-def encode(df: DataFrame, key: str, text: str, vocabulary: str | None = None, carry: tuple[str, ...] = (), long: int = LONG, part: int = PART) -> DataFrame:
-    """key, the carried columns, and ids (a list of integers) of every row."""
+def encode(df: DataFrame, key: str, text: str, vocabulary: str | None = None, carry: tuple[str, ...] = (), long: int = LONG, part: int = PART, fan: int = FAN, rounds: int | None = None) -> DataFrame:
+    """key, the carried columns, and ids (a list of integers) of every row; rounds: as many as the longest possible text needs, if not given."""
     path = vocabulary or default_vocabulary()
     names = [f"c{i}" for i in range(len(carry) + 1)]
     rows = df.select(*[F.col(c).alias(n) for c, n in zip((key, *carry), names)], F.col(text).cast("string").alias("text"))
     kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
 
+    ids_type = pa.list_(pa.int32())
+
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, _ = encoder(path)
         for b in batches:
-            ids = [enc.encode_ordinary(t) if t else [] for t in b.column(len(names)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"])
+            ids = [encode_plain(t, path) if t else [] for t in b.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, ids_type)], [*names, "ids"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [leaf(t, path) for t in b.column(b.num_columns - 1).to_pylist()]
-            arrays = [pa.array([getattr(m, n) for m in made], pa.int32()) for n in ("first_end", "first_n", "last", "last_n")]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.ids for m in made], pa.list_(pa.int32())), *arrays], [*b.schema.names, "ids", "first_end", "first_n", "last", "last_n"])
+            arrays = [pa.array([m.ids for m in made], ids_type), *[pa.array([getattr(m, n) for m in made], pa.int32()) for n in ("first_n", "last_n")]]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], [*b.schema.names[:-1], "ids", "first_n", "last_n"])
 
-    def whole(table: pa.Table) -> pa.Table:
-        r = table.sort_by("seq").to_pydict()
-        parts = [Part(*x) for x in zip(r["text"], r["ids"], r["first_end"], r["first_n"], r["last"], r["last_n"])]
-        return table.select(names).slice(0, 1).append_column("ids", pa.array([encode_tree(parts, path)], pa.list_(pa.int32())))
+    def joined(table: pa.Table) -> pa.Table:
+        table = table.sort_by("seq")
+        made = encode_tree([Part(*x) for x in zip(*(table.column(n).to_pylist() for n in ("ids", "first_n", "last_n")))], path)
+        out = table.slice(0, 1).select([*names, "row", "node"]).rename_columns([*names, "row", "seq"])
+        return out.append_column("ids", pa.array([made.ids], ids_type)).append_column("first_n", pa.array([made.first_n], pa.int32())).append_column("last_n", pa.array([made.last_n], pa.int32()))
 
     size = F.coalesce(F.length("text"), F.lit(0))
     plain = rows.where(size <= long).mapInArrow(short, f"{kinds}, ids array<int>")
     # equal keys of different rows stay apart by the row's own number
     cut = rows.where(size > long).withColumn("row", F.monotonically_increasing_id()).select(*names, "row", "text", F.posexplode(F.sequence(F.lit(1), F.length("text"), F.lit(part))).alias("seq", "start"))
     cut = cut.select(*names, "row", "seq", F.expr(f"substring(text, start, {part})").alias("text"))
-    parts = cut.repartition("row", "seq").mapInArrow(leaves, f"{kinds}, row long, seq int, text string, ids array<int>, first_end int, first_n int, last int, last_n int")
-    joined = parts.groupBy("row").applyInArrow(whole, f"{kinds}, ids array<int>")
-    return plain.unionByName(joined).select(*[F.col(n).alias(c) for c, n in zip((key, *carry), names)], "ids")
+    shape = f"{kinds}, row long, seq int, ids array<int>, first_n int, last_n int"
+    parts = cut.repartition("row", "seq").mapInArrow(leaves, shape)
+    for _ in range(max(1, math.ceil((BITS - math.log2(part)) / math.log2(fan))) if rounds is None else rounds):
+        parts = parts.withColumn("node", F.floor(F.col("seq") / fan).cast("int")).groupBy("row", "node").applyInArrow(joined, shape)
+    return plain.unionByName(parts.select(*names, "ids")).select(*[F.col(n).alias(c) for c, n in zip((key, *carry), names)], "ids")

@@ -26,6 +26,26 @@ def test_long_unsplit_pieces(text):
     assert T.encode_text(text, PATH, 1024) == plain(text)
 
 
+@pytest.mark.parametrize("size", [1, 5, 16, 64])
+def test_halves_of_unsplit_pieces(size):
+    rnd = random.Random(size)
+    for _ in range(200):
+        pool = rnd.choice(POOLS) + rnd.choice(["", rnd.choice(POOLS)])
+        text = "".join(rnd.choice(pool) for _ in range(rnd.randint(0, 300)))
+        assert T.encode_plain(text, PATH, size) == plain(text), (text, size)
+    for piece in ("ก" * 3000, "明与本者" * 700, "ab" * 2500, "🙂" * 500):
+        assert T.halved(piece, PATH, size * 16) == plain(piece)
+
+
+def test_long_texts_in_rounds(spark):
+    """A table of long texts, unsplit and not: parts of 64 code points, four of them joined by a task of each of four rounds."""
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(3000, 16_000))) for pool in POOLS] + ["ก" * 16_000, " " * 5000, "a" * 12_345, "ab '" * 4000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.ids for r in T.encode(df, "doc_id", "text", long=100, part=64, fan=4, rounds=4).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+
+
 def test_second_library_agrees():
     import public_tokenizers
     from tokenizers import Tokenizer
