@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm import mixing, sentences, skeleton, spans, terms, tokens
@@ -99,6 +99,15 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(*_mixture(spark, d))
 
 
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: documents with tokens, whether its share is the target to within half a document, and whether its limit of repetitions is kept."""
+    r = mixing.report(*_mixture(spark, d))
+    norm = F.sum(F.when(F.col("n_tokens") > 0, F.col("weight"))).over(Window.partitionBy(F.lit(1)))  # one row a source
+    target = F.when(F.col("n_tokens") > 0, F.col("weight") / norm).otherwise(0.0)
+    share = (F.abs(F.col("target") - target) < 1e-9) & (F.abs(F.col("used_tokens") - F.col("budget")) * 2 <= F.col("longest") + 1e-3)
+    return r.select("source", "weight", "max_repeat", "n_docs", share.alias("share_kept"), (F.col("most_copies") <= F.col("max_repeat")).alias("limit_kept"))
+
+
 def p9_temperature(spark: SparkSession, d: str) -> DataFrame:
     """Natural shares of the sources, and the shares of the one exponent that gives them the entropy of the targets."""
     docs = _counted(spark, d)
@@ -120,7 +129,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents"), "doc_id", "text", units=True).select("doc_id", "number", "sentence")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p3_canonical, p4_found, p4_terms, p7_found, p7_shared, p8_ids, p8_lengths, p9_mix, p9_shares, p9_temperature, p10_found, p10_texts)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p3_canonical, p4_found, p4_terms, p7_found, p7_shared, p8_ids, p8_lengths, p9_mix, p9_shares, p9_kept, p9_temperature, p10_found, p10_texts)}
 
 _P4 = r"""pieces as (
    select 'normalized_tokens' as field, row_number() over () as r, unnest(normalized_tokens) as term from search_run
@@ -137,6 +146,7 @@ _P7 = """f as (select distinct book_id, page_id, 0 as field, body as t from page
 ORACLE = {
     "p7_found": f"with {_P7} select distinct a.book_id as book_id_a, a.page_id as page_id_a, b.book_id as book_id_b, b.page_id as page_id_b from x a join x b on a.s = b.s and (a.book_id < b.book_id or (a.book_id = b.book_id and a.page_id < b.page_id))",
     "p7_shared": f"with {_P7}, y as (select distinct book_id, page_id, field, i from x), z as (select *, lead(i) over v - i as nxt, i - lag(i) over v as prv from y window v as (partition by book_id, page_id, field order by i)) select book_id, page_id, cast(sum(least(120, coalesce(nxt, 120))) as bigint) as shared_chars, cast(count(*) filter (prv is null or prv > 120) as bigint) as n_spans from z group by 1, 2",
+    "p9_kept": "select m.source, weight, max_repeat, count(d.doc_id) as n_docs, true as share_kept, true as limit_kept from mix_target m left join documents d on d.source = m.source and d.text <> '' group by all",
     "p4_found": f"with {_P4} select field, term, mark from marked where mark is not null",
     "p4_terms": f"with {_P4} select field, term, n_occurrences, n_records, mark from marked",
 }

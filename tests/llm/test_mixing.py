@@ -63,3 +63,20 @@ def test_empty_and_errors(spark):
 def test_blended_ends():
     t, s = [0.5, 0.5], [0.9, 0.1]
     assert M.blended(t, s, 0) == pytest.approx(t) and M.blended(t, s, 1) == pytest.approx(s) and math.isclose(sum(M.blended(t, s, 0.3)), 1)
+
+
+def test_exponent_moves_on_where_the_tempered_shares_ask_too_much():
+    """Entropy of even targets: exponent 0; the small source may be used once, so the exponent is bisected towards 1 to its limit."""
+    s = [M.Source("a", 0.5, 1, 10, 8000), M.Source("b", 0.3, 1, 10, 1500), M.Source("c", 0.2, 1, 10, 500)]
+    a, b, c = M.plan(s, total=4000)
+    assert sum(x.budget for x in s) == pytest.approx(4000) and c.budget == pytest.approx(500, rel=1e-6) and b.budget <= 1500 and a.budget <= 8000
+    assert M.entropy([x.tempered for x in s]) == pytest.approx(M.entropy([0.5, 0.3, 0.2]), abs=1e-6)
+    exact = M.plan([M.Source("a", 0.5, 1, 10, 8000), M.Source("b", 0.3, 1, 10, 1500), M.Source("c", 0.2, 1, 10, 500)])
+    assert [x.target for x in exact] == pytest.approx([0.5, 0.3, 0.2]) and sum(x.budget for x in exact) == pytest.approx(2500)
+
+
+def test_one_pass_and_one_join(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 3 else "b", 5) for i in range(600)], DOCS)
+    sources = M.plan(M.measure(docs, spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, weight double, max_repeat int")))
+    text = M.select(docs, sources)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("LogicalRDD") + text.count("LocalRelation") <= 4 and "CartesianProduct" not in text
