@@ -59,10 +59,18 @@ def encoder(path: str):  # noqa: ANN201
 
 
 @lru_cache(maxsize=4)
-def _solid(piece: int) -> re.Pattern:
-    """Finds what may be an unsplit piece of more bytes than `piece`: four bytes a code point at most."""
-    n = piece // 4 + 1
-    return re.compile(rf"\S{{{n}}}|\s{{{n}}}")
+def _solid(size: int) -> re.Pattern:
+    """Finds in UTF-8 what may be an unsplit piece of more bytes than `size`: a run without blanks (one before it aside), or of blanks."""
+    blank = rb"(?:[\t-\r\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)"
+    return re.compile(rb"[^\t-\r\x1c-\x20]{%d}|%b{%d}" % (size, blank, size // 3 + 1))
+
+
+@lru_cache(maxsize=4)
+def _one_kind(n: int):  # noqa: ANN202
+    """Finds n code points that the split pattern may leave in one piece."""
+    import regex
+
+    return regex.compile(rf"\p{{L}}{{{n}}}|\p{{N}}{{{n}}}|[^\s\p{{L}}\p{{N}}]{{{n}}}|\s{{{n}}}")
 
 
 def halved(piece: str, path: str, size: int = PIECE) -> list[int]:
@@ -76,7 +84,7 @@ def halved(piece: str, path: str, size: int = PIECE) -> list[int]:
 def encode_plain(text: str, path: str, size: int = PIECE) -> list[int]:
     """Tokens of a text: its long unsplit pieces by halves, what stands between them at once."""
     enc, split = encoder(path)
-    if not _solid(size).search(text):
+    if not _solid(size).search(text.encode("utf-8")) or not _one_kind(size // 4 + 1).search(text):
         return enc.encode_ordinary(text)
     out, at, before = [], 0, 0
     for m in split.finditer(text):
