@@ -58,11 +58,15 @@ def encoder(path: str):  # noqa: ANN201
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), regex.compile(public_tokenizers.PATTERN)
 
 
+def _solid(text: str, size: int) -> bool:
+    """Whether an unsplit piece of more than `size` bytes may stand in the text: a run without blanks (one before it aside), or of blanks."""
+    n = size // 4 + 1  # a code point has four bytes at most
+    return any(len(w) >= n and len(w.encode("utf-8")) >= size for w in text.split()) or _blanks(n).search(text) is not None
+
+
 @lru_cache(maxsize=4)
-def _solid(size: int) -> re.Pattern:
-    """Finds in UTF-8 what may be an unsplit piece of more bytes than `size`: a run without blanks (one before it aside), or of blanks."""
-    blank = rb"(?:[\t-\r\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)"
-    return re.compile(rb"[^\t-\r\x1c-\x20]{%d}|%b{%d}" % (size, blank, size // 3 + 1))
+def _blanks(n: int) -> re.Pattern:
+    return re.compile(rf"\s{{{n}}}")
 
 
 @lru_cache(maxsize=4)
@@ -84,7 +88,7 @@ def halved(piece: str, path: str, size: int = PIECE) -> list[int]:
 def encode_plain(text: str, path: str, size: int = PIECE) -> list[int]:
     """Tokens of a text: its long unsplit pieces by halves, what stands between them at once."""
     enc, split = encoder(path)
-    if not _solid(size).search(text.encode("utf-8")) or not _one_kind(size // 4 + 1).search(text):
+    if not _solid(text, size) or not _one_kind(size // 4 + 1).search(text):
         return enc.encode_ordinary(text)
     out, at, before = [], 0, 0
     for m in split.finditer(text):
