@@ -1,9 +1,11 @@
 """Frequency of every distinct term: occurrences, records, and a mark on the too rare and too common.
 
 Recursive radix spilling. Each map task combines its terms in a bounded table; the shuffle partitions the
-combined terms by hash bits to disk; a reduce task whose partition is oversized splits it further by the
-next hash bits into spill files in the cluster's shared folder, and every piece is aggregated out-of-core
-by DuckDB under a memory limit. A term of a third of all records costs one combined row per map flush.
+combined terms by hash bits to disk; a reduce task whose partition is larger than a piece splits it further by the
+next hash bits into spill files in the cluster's shared folder, and so on while a piece is too large; every
+piece is aggregated by DuckDB under a memory limit. Before a split the part read so far is aggregated, so a
+piece that is large only because a common term comes from very many map tasks shrinks instead of being split,
+and the bits of the hash are never used up by it. Nothing larger than a piece and a half is ever held.
 
 Defined results: null and empty texts or lists have no terms but count as records in the total; null and
 empty terms are ignored; a term repeated in one record counts once in n_records; repeated rows are records
@@ -25,10 +27,10 @@ from quire.runtime import shared_dir
 
 #: Distinct terms a map task holds before it hands them on.
 FLUSH = 200_000
-#: Rows of a partition that DuckDB aggregates at once; larger ones are split by RADIX hash bits.
-PIECE_ROWS = 2_000_000
+#: Rows and bytes of a piece: its table should stay in a core's own cache. Larger pieces are split by RADIX hash bits.
+PIECE_ROWS = 50_000
+PIECE_BYTES = 2 << 20
 RADIX = 4
-MAX_DEPTH = 6
 MEMORY = "200MB"
 
 _COUNTS = pa.schema([("term", pa.string()), ("n_occurrences", pa.int64()), ("n_records", pa.int64())])
@@ -63,30 +65,39 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _duck(reader: pa.RecordBatchReader, spill: str | None) -> Iterator[pa.RecordBatch]:
+def _duck(held: list[pa.RecordBatch], spill: str | None) -> list[pa.RecordBatch]:
+    """The batches, one row per term. spill: a folder of the shared file system, null if DuckDB cannot write there: a piece fits its memory."""
     import duckdb
 
-    config = {"threads": 1, "memory_limit": MEMORY} | ({"temp_directory": spill} if spill else {})
-    con = duckdb.connect(config=config)
+    con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": spill or ""})
     try:
-        con.register("piece", reader)
+        con.register("piece", pa.RecordBatchReader.from_batches(_COUNTS, iter(held)))
         out = con.sql("select term, cast(sum(n_occurrences) as bigint) as n_occurrences, cast(sum(n_records) as bigint) as n_records from piece group by term").to_arrow_table()
     finally:
         con.close()
-    yield from out.cast(_COUNTS).to_batches(max_chunksize=50_000)
+    return out.cast(_COUNTS).to_batches(max_chunksize=50_000)
+
+
+def _size(held: list[pa.RecordBatch]) -> tuple[int, int]:
+    return sum(b.num_rows for b in held), sum(b.nbytes for b in held)
 
 
 def _radix(batches: Iterator[pa.RecordBatch], depth: int, store: fs.FileSystem, folder: str) -> Iterator[pa.RecordBatch]:
     """Aggregates the batches, splitting them by the next hash bits while they are too many."""
-    held, rows = [], 0
+    spill = folder if isinstance(store, fs.LocalFileSystem) else None
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
     for b in batches:
         held.append(b)
-        rows += b.num_rows
-        if rows > PIECE_ROWS and depth < MAX_DEPTH:
-            break
+        rows, size = rows + b.num_rows, size + b.nbytes
+        if rows > PIECE_ROWS or size > PIECE_BYTES:
+            held = _duck(held, spill)
+            rows, size = _size(held)
+            if (rows > PIECE_ROWS // 2 or size > PIECE_BYTES // 2) and RADIX * depth < 64:
+                break
     else:
-        if rows:
-            yield from _duck(pa.RecordBatchReader.from_batches(_COUNTS, iter(held)), folder if isinstance(store, fs.LocalFileSystem) else None)
+        if held:
+            yield from _duck(held, spill)
         return
     from xxhash import xxh3_64_intdigest
 

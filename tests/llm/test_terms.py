@@ -53,6 +53,29 @@ def test_spilled_pieces(spark, monkeypatch):
     assert left == []
 
 
+def test_common_term_of_many_tasks_is_not_split(monkeypatch, tmp_path):
+    """Rows of few terms shrink when they are aggregated; pieces of many terms are split at every depth, by rows or by bytes."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def batch(words):
+        return pa.RecordBatch.from_arrays([pa.array(words), pa.array([1] * len(words), pa.int64()), pa.array([1] * len(words), pa.int64())], schema=terms._COUNTS)
+
+    splits = []
+    monkeypatch.setattr(terms.uuid, "uuid4", lambda real=terms.uuid.uuid4: splits.append(1) or real())
+    monkeypatch.setattr(terms, "PIECE_ROWS", 100)
+    out = list(terms._radix(iter([batch(["a", "b"] * 40)] * 50), 0, fs.LocalFileSystem(), str(tmp_path)))
+    assert not splits and sorted(zip(*pa.Table.from_batches(out).to_pydict().values())) == [("a", 2000, 2000), ("b", 2000, 2000)]
+    words = [f"{i}" for i in range(5000)]
+    out = pa.Table.from_batches(list(terms._radix(iter([batch(words[i : i + 50]) for i in range(0, 5000, 50)]), 0, fs.LocalFileSystem(), str(tmp_path))))
+    assert len(splits) >= 1 + 16 and sorted(out.column(0).to_pylist()) == sorted(words)
+    splits.clear()
+    monkeypatch.setattr(terms, "PIECE_ROWS", 1 << 40)
+    monkeypatch.setattr(terms, "PIECE_BYTES", 10_000)
+    out = pa.Table.from_batches(list(terms._radix(iter([batch([w * 100 for w in words[i : i + 10]]) for i in range(0, 500, 10)]), 0, fs.LocalFileSystem(), str(tmp_path))))
+    assert splits and out.num_rows == 500
+
+
 def test_marks(spark):
     df = spark.createDataFrame([("x y",)] * 4 + [("x z",)] * 2 + [(None,)] * 20, "b string")
     got = {r.term: r.mark for r in terms.marked_terms(df, "b").collect()}
