@@ -9,7 +9,7 @@ without a splitter are recognised by a repeated node in the walked leg; loops th
 repeated splitter in the reduced path. Only open walks are joined again, and each round is a written table.
 
 No group of a tree is ever gathered: a cell holds at most CELL nodes, however large its group, and the
-joins are on node keys. A parent with very many children is one hot key of the left side only, which
+joins are on node keys, against those rows only that an open walk points at. A parent with very many children is one hot key of the left side only, which
 adaptive skew joins split.
 
 Defined results: a parent that is null, 0 or no node of its group makes a root; a node that is its own
@@ -106,18 +106,28 @@ def _walk(start: DataFrame, name: str, stops: bool) -> DataFrame:
     walked = rows.repartition("g", "cell").sortWithinPartitions("g", "cell").mapInArrow(_cells, "g long, i long, t long, seg array<bigint>, loop boolean, done boolean")
     first = materialize(walked, f"{name}-0")
     closed, opened, k = [first.where("done")], first.where("not done"), 0
-    while not opened.isEmpty():
+    if opened.isEmpty():
+        return closed[0].drop("done")
+    # a walk only ever meets rows that some open walk points at now: those further up are pointed at by these
+    met = opened.select("g", F.col("t").alias("i")).distinct().withColumn("met", F.lit(True))
+    ends = [materialize(closed[0].join(met.drop("met"), ["g", "i"], "left_semi"), f"{name}-ends")]
+    opened = opened.join(met, ["g", "i"], "left").withColumn("met", F.coalesce("met", F.lit(False)))
+    while True:
         k += 1
-        all_rows = opened
-        for c in closed:
-            all_rows = all_rows.unionByName(c)
-        up = all_rows.select("g", F.col("i").alias("t"), F.col("t").alias("next"), F.col("seg").alias("more"), F.col("loop").alias("up_loop"), F.col("done").alias("up_done"))
+        rows = opened.where("met").drop("met")
+        for e in ends:
+            rows = rows.unionByName(e)
+        up = rows.select("g", F.col("i").alias("t"), F.col("t").alias("next"), F.col("seg").alias("more"), F.col("loop").alias("up_loop"), F.col("done").alias("up_done"))
         seg = F.concat("seg", "more")
         repeat = (F.size(F.array_distinct(seg)) < F.size(seg)) | F.array_contains(seg, F.col("i"))
-        new = opened.drop("done").join(up, ["g", "t"]).select("g", "i", F.coalesce("next", "t").alias("t"), seg.alias("seg"), (F.col("up_loop") | repeat).alias("loop"), (F.col("up_done") | repeat).alias("done"))
+        new = opened.drop("done").join(up, ["g", "t"]).select("g", "i", F.coalesce("next", "t").alias("t"), seg.alias("seg"), (F.col("up_loop") | repeat).alias("loop"), (F.col("up_done") | repeat).alias("done"), "met")
         new = materialize(new, f"{name}-{k}")
-        closed.append(new.where("done"))
+        done = new.where("done")
+        closed.append(done.drop("met"))
         opened = new.where("not done")
+        if opened.isEmpty():
+            break
+        ends.append(done.where("met").drop("met"))
     out = closed[0]
     for c in closed[1:]:
         out = out.unionByName(c)

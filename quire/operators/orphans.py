@@ -2,8 +2,10 @@
 
 Parents and children are laid out in one long form (target table, key, tag); grouping by target and key
 with map-side combine leaves one row per key, with the time from which a valid parent stands. Keys without
-that flag, or whose first child is older than it, are kept; only their children are read again, spread by
-a salt, so a key that holds a third of all rows is never one task's work.
+that flag, or whose first child is older than it, are kept, with the number of their children; only their children
+are read again. The keys with more than 1 / HOT of these children are fewer than HOT, so they are known to every
+task, and their children are spread over as many salts as their number asks for: a key that a third of all rows
+refer to is a third of all tasks, at any size.
 
 Defined results: a reference with a null part refers to nothing; a parent counts from its loaded_at if its
 deleted_at is null; a null loaded_at of a parent never satisfies a child, a null loaded_at of a child is
@@ -19,7 +21,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 8
+from quire.runtime import materialize
+
+#: A key with more than one in HOT of the lacking keys' children is spread; fewer than HOT keys can be.
+HOT = 1000
 
 
 @dataclass
@@ -49,7 +54,7 @@ def _key(parts: list[Column]) -> Column:
     return reduce(lambda a, b: F.concat(a, F.lit("\x1f"), b), [p.cast("string") for p in parts])
 
 
-def orphans(references: list[Reference], targets: list[Target]) -> DataFrame:
+def orphans(references: list[Reference], targets: list[Target], hot: int = HOT) -> DataFrame:
     """Stored rows whose target is absent: tbl, field, target, rec_id, key, at."""
     children = reduce(
         DataFrame.unionByName,
@@ -61,17 +66,23 @@ def orphans(references: list[Reference], targets: list[Target]) -> DataFrame:
     )
     lacking = (
         tagged.groupBy("target", "key")
-        .agg(F.min("parent_at").alias("parent_at"), F.min("child_at").alias("first_child"), F.max("child").alias("child"))
-        .where("child = 1 and (parent_at is null or first_child < parent_at)")
-        .select("target", "key", "parent_at")
-    )
-    salted = lacking.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (
-        children.withColumn("salt", F.pmod(F.xxhash64("rec_id", "at"), F.lit(SALTS)).cast("int"))
-        .join(salted, ["target", "key", "salt"])
-        .where("parent_at is null or at < parent_at")
-        .select("tbl", "field", "target", "rec_id", "key", "at")
+        .agg(F.min("parent_at").alias("parent_at"), F.min("child_at").alias("first_child"), F.sum("child").alias("n"))
+        .where("n > 0 and (parent_at is null or first_child < parent_at)")
+        .select("target", "key", "parent_at", "n")
     )
+    lacking = materialize(lacking, "lacking")  # read for the total, the hot keys and the join
+    total = lacking.agg(F.sum("n")).first()[0] or 0
+    share = total // hot + 1
+    spread = lacking.where(F.col("n") > share).select("target", "key", F.ceil(F.col("n") / share).cast("int").alias("salts"))
+    if spread.isEmpty():
+        salted = lacking.drop("n")
+        on = ["target", "key"]
+    else:
+        of = F.pmod(F.xxhash64("rec_id", "at"), F.coalesce("salts", F.lit(1))).cast("int")
+        children = children.join(F.broadcast(spread), ["target", "key"], "left").withColumn("salt", of)  # fewer than `hot` rows
+        salted = lacking.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > share, F.ceil(F.col("n") / share).cast("int") - 1).otherwise(0)))).drop("n")
+        on = ["target", "key", "salt"]
+    return children.join(salted, on).where("parent_at is null or at < parent_at").select("tbl", "field", "target", "rec_id", "key", "at")
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

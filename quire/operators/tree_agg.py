@@ -43,10 +43,13 @@ def tree_aggregate(df: DataFrame, keys: dict[str, Column], measures: dict[str, t
     return state.select(*[F.col(f"k_{n}").alias(n) for n in keys], *[F.col(f"m_{n}").alias(n) for n in measures])
 
 
-def tree_distinct_count(df: DataFrame, keys: dict[str, Column], value: Column, name: str, fan_in: int = 16) -> DataFrame:
-    """Distinct non-null values per key: equal (key, value) pairs meet first, spread by both, then counts by tree."""
+def tree_distinct_count(df: DataFrame, keys: dict[str, Column], value: Column, name: str, fan_in: int = 16, rows: int | None = None) -> DataFrame:
+    """Distinct non-null values per key: equal (key, value) pairs meet first, spread by both, then counts by tree.
+
+    rows: the number of rows of df if known, which bounds that of the pairs and so gives the rounds.
+    """
     pairs = df.select(*[e.alias(n) for n, e in keys.items()], value.alias("v__")).where("v__ is not null").distinct()
-    return tree_aggregate(pairs, {n: F.col(n) for n in keys}, {name: ("count", F.col("v__"))}, fan_in=fan_in, rounds=1)
+    return tree_aggregate(pairs, {n: F.col(n) for n in keys}, {name: ("count", F.col("v__"))}, fan_in=fan_in, rows=df.count() if rows is None else rows)
 
 
 def heavy_keys(df: DataFrame, key: str, percent: int) -> DataFrame:

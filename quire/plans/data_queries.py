@@ -42,12 +42,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_hits_per_book(spark: SparkSession, d: str) -> DataFrame:
     """Per book: stored hits, hits with a label, best and worst rank, first and last hit, searches."""
     hits, key = table(spark, d, "search_hit"), {"book_id": F.col("book_id")}
+    rows = hits.count()
     stats = tree_aggregate(
         hits,
         key,
         {"n_hits": ("count", F.lit(1)), "n_labels": ("count", F.col("printed_page")), "best_rank": ("min", F.col("rank_no")), "worst_rank": ("max", F.col("rank_no")), "first_hit": ("min", F.col("hit_at")), "last_hit": ("max", F.col("hit_at"))},
+        rows=rows,
     )
-    runs = tree_distinct_count(hits, key, F.col("run_id"), "n_runs").withColumnRenamed("book_id", "b")
+    runs = tree_distinct_count(hits, key, F.col("run_id"), "n_runs", rows=rows).withColumnRenamed("book_id", "b")
     return stats.join(runs, F.col("book_id").eqNullSafe(F.col("b")), "left").drop("b").withColumn("n_runs", F.coalesce("n_runs", F.lit(0).cast("long")))
 
 

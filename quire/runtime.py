@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+#: Tables written so far: of the whole session, then of each open `dropping` block.
+_written: list[list[tuple[SparkSession, str]]] = [[]]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: tuple[str, ...] = ()) -> DataFrame:
@@ -23,28 +26,50 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: tuple[str, ...] =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
+    """The folder all executors share, as the cluster names it in spark.checkpoint.dir, as a URI with its scheme.
 
-    Only where the setting is absent (tests, a laptop) a folder of our own is used.
+    Spark, pyarrow and DuckDB are all given this one form, so that none takes a bare path for a folder of its own
+    machine. Only where the setting is absent and all executors are threads of this process (tests, a laptop) a
+    folder of our own is used; on a cluster an absent setting is an error.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="quire-")
         shared_dir.own = named
-    return named.rstrip("/")
+    path = context._jvm.org.apache.hadoop.fs.Path(named)
+    uri = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
-def _drop_written() -> None:
-    for spark, path in _written:
+def _drop(tables: list[tuple[SparkSession, str]]) -> None:
+    while tables:
+        spark, path = tables.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the JVM may be gone
             return
 
 
-atexit.register(_drop_written)
+atexit.register(lambda: [_drop(tables) for tables in _written])
+
+
+@contextmanager
+def dropping() -> Iterator[None]:
+    """Drops the tables that are written inside the block when it ends: results must be collected or stored by then.
+
+    For services that run queries all day; tables written outside stay until the interpreter ends.
+    """
+    mine: list[tuple[SparkSession, str]] = []
+    _written.append(mine)
+    try:
+        yield
+    finally:
+        _written.remove(mine)
+        _drop(mine)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -55,8 +80,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
+    _written[-1].append((spark, path))
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,11 +9,11 @@ CHILD = "rec bigint, k int, at timestamp_ntz, key string, target string"
 PARENT = "k int, at timestamp_ntz, gone timestamp_ntz, tbl string"
 
 
-def found(spark, children, parents):
+def found(spark, children, parents, **options):
     c = spark.createDataFrame([(*r, "x", "y") for r in children], CHILD)
     p = spark.createDataFrame([(*r, "z") for r in parents], PARENT)
     refs = [Reference("c", "k", "p", c, F.col("rec"), [F.col("k")], F.col("at"))]
-    return orphans(refs, [Target("p", p, [F.col("k")], F.col("gone").isNull(), F.col("at"))])
+    return orphans(refs, [Target("p", p, [F.col("k")], F.col("gone").isNull(), F.col("at"))], **options)
 
 
 def test_absent_withdrawn_and_late(spark):
@@ -42,6 +42,16 @@ def test_hot_key(spark):
     assert got.count() == 3000
 
 
+def test_hot_keys_are_spread_by_their_counts(spark):
+    """Of keys with 3000, 400 and single children those over a hundredth of all are spread, the larger the more; no row is lost or doubled."""
+    children = [(i, 7, T[2]) for i in range(3000)] + [(4000 + i, 8, T[2 + i % 2 * 6]) for i in range(800)] + [(i, i, T[2]) for i in range(5000, 5100)]
+    parents = [(8, T[5], None), (5000, T[0], None)]
+    df = found(spark, children, parents, hot=100)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "salts" in text and "salts" not in found(spark, children[3000:3001], [], hot=1)._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.rec_id for r in df.collect()) == sorted([*range(3000), *range(4000, 4800, 2), *range(5001, 5100)])
+
+
 def test_empty(spark):
     assert found(spark, [], [(1, T[0], None)]).count() == 0
     assert found(spark, [(1, 1, T[0])], []).count() == 1
