@@ -28,15 +28,22 @@ from pyspark.sql import functions as F
 
 from quire.runtime import materialize
 
-#: Look-alikes of Latin capitals and small letters in Greek and Cyrillic, prototype to look-alikes.
+#: Look-alikes of Latin letters in Greek, Cyrillic, Armenian, Cherokee, Lisu and Coptic, prototype to look-alikes.
 LATIN_LOOK_ALIKES = {
-    "A": "ΑА", "B": "ΒВ", "C": "СϹ", "E": "ΕЕ", "H": "ΗН", "I": "ΙІ", "J": "ЈͿ", "K": "ΚК", "M": "ΜМ", "N": "Ν", "O": "ΟО", "P": "ΡР", "S": "Ѕ", "T": "ΤТ", "X": "ΧХ", "Y": "ΥҮ", "Z": "Ζ",
-    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "јϳ", "o": "οо", "p": "р", "q": "ԛ", "s": "ѕ", "v": "ν", "w": "ԝ", "x": "х", "y": "у",
+    "A": "ΑАᎪꓮ", "B": "ΒВᏴꓐ", "C": "СϹᏟꓚⲤ", "D": "Ꭰꓓ", "E": "ΕЕᎬꓰ", "F": "ꓝ", "G": "ԌᏀꓖ", "H": "ΗНᎻꓧⲎ", "I": "ΙІӀꓲⲒ", "J": "ЈͿᎫꓙ", "K": "ΚКᏦꓗⲔ", "L": "Ꮮꓡ", "M": "ΜМϺᎷꓟⲘ",
+    "N": "ΝꓠⲚ", "O": "ΟОՕꓳⲞ", "P": "ΡРᏢꓑⲢ", "Q": "Ԛ", "R": "Ꮢꓣ", "S": "ЅՏᏚꓢ", "T": "ΤТᎢꓔⲦ", "U": "Սꓴ", "V": "ѴᏙꓦ", "W": "ԜᏔꓪ", "X": "ΧХꓫⲬ", "Y": "ΥҮꓬⲨ", "Z": "ΖᏃꓜ",
+    "a": "а", "c": "сϲⲥ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "і", "j": "јϳ", "n": "ո", "o": "οоօⲟ", "p": "рρⲣ", "q": "ԛզ", "s": "ѕ", "u": "ս", "v": "νѵ", "w": "ԝ", "x": "х", "y": "уү",
 }
+#: Look-alikes of Greek letters in Cyrillic and Coptic.
+GREEK_LOOK_ALIKES = {"Γ": "ГⲄ", "Π": "ПⲠ", "Φ": "ФⲪ", "Ψ": "ѰⲮ", "ψ": "ѱ"}
+#: Latin letters whose small capital (of the phonetic alphabet) has the shape of the small letter.
+SMALL_CAPITALS = "COSUVWXZ"
 #: Arabic-script letters of one shape, prototype to look-alikes. The Farsi yeh follows its place in the word, see below.
 ARABIC_LOOK_ALIKES = {"ك": "ک", "ه": "ہەھ"}
 #: The extended Arabic digits that have the shape of the Arabic ones (4, 5 and 6 differ).
 DIGIT_LOOK_ALIKES = {"٠": "۰", "١": "۱", "٢": "۲", "٣": "۳", "٧": "۷", "٨": "۸", "٩": "۹"}
+#: Digits of one shape in Devanagari and Gujarati, and in Telugu and Kannada.
+INDIC_LOOK_ALIKES = {"२": "૨", "३": "૩", "४": "૪", "८": "૮", "౧": "೧", "౨": "೨", "౯": "೯"}
 
 _FORMS = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<font>", "<noBreak>")
 #: Format characters that leave a visible sign.
@@ -58,10 +65,40 @@ def _decomposed(c: str) -> str:
     return "".join(_decomposed(chr(int(p, 16))) for p in parts)
 
 
-@lru_cache(maxsize=1)
-def _table() -> tuple[dict[str, str], re.Pattern]:
+def _alphabet(c: str) -> str:
+    return unicodedata.name(c, "").split(" ")[0].removeprefix("EXTENDED").removesuffix("-INDIC")
+
+
+def look_alikes(path: str) -> dict[str, str]:
+    """Look-alike to prototype, from a file in the format of the public confusables list (source ; target ; type # note).
+
+    Kept are single letters and digits, beyond ASCII, whose prototype is a letter or digit of another script:
+    what merely resembles within a script can be seen, and so do signs of punctuation.
+    """
+    out: dict[str, str] = {}
+    with open(path, encoding="utf-8-sig") as f:
+        for line in f:
+            parts = [p.split() for p in line.split("#")[0].split(";")[:2]]
+            if len(parts) == 2 and len(parts[0]) == len(parts[1]) == 1:
+                source, target = (chr(int(p[0], 16)) for p in parts)
+                kinds = {unicodedata.category(c)[0] + unicodedata.category(c)[1] * (unicodedata.category(c)[0] == "N") for c in (source, target)}
+                if not source.isascii() and kinds in ({"L"}, {"Nd"}, {"L", "Nd"}) and _alphabet(source) != _alphabet(target):
+                    out[source] = target
+    return out
+
+
+@lru_cache(maxsize=4)
+def _table(confusables: str | None = None) -> tuple[dict[str, str], re.Pattern]:
     """Replacement of every character that has one after canonical decomposition, and a pattern that finds them."""
-    proto = {x: p for t in (LATIN_LOOK_ALIKES, ARABIC_LOOK_ALIKES, DIGIT_LOOK_ALIKES) for p, xs in t.items() for x in xs}
+    proto = look_alikes(confusables) if confusables else {}
+    proto |= {x: p for t in (LATIN_LOOK_ALIKES, GREEK_LOOK_ALIKES, ARABIC_LOOK_ALIKES, DIGIT_LOOK_ALIKES, INDIC_LOOK_ALIKES) for p, xs in t.items() for x in xs}
+    for c in SMALL_CAPITALS:
+        try:
+            proto[unicodedata.lookup(f"LATIN LETTER SMALL CAPITAL {c}")] = c.lower()
+        except KeyError:  # not every letter has one
+            continue
+    # a prototype may have a prototype in the other table
+    proto = {x: proto.get(p, p) for x, p in proto.items()}
     out: dict[str, str] = {}
     for n in range(0x80, sys.maxunicode + 1):
         if 0xAC00 <= n < 0xD7A4 or 0xD800 <= n < 0xE000:
@@ -94,16 +131,16 @@ _PLAIN = re.compile("[ -~\\r\\n\\u0600-\\u061b\\u061d-\\u0655\\u0660-\\u0669]*")
 _YEH = re.compile("ی(?=([ً-ٰٟۖ-ۭ]*[ء-يٱ-ە])?)")
 
 
-def skeleton(text: str | None) -> str | None:
-    """The form under which texts that look the same are equal."""
+def skeleton(text: str | None, confusables: str | None = None) -> str | None:
+    """The form under which texts that look the same are equal. confusables: a file for look_alikes(), beside the built-in table."""
     if text is None:
         return None
     if text.isascii():
         return text.replace("\t", " ").strip(" ") if "\t" in text else text.strip(" ")
     out = unicodedata.normalize("NFD", text)
-    if _PLAIN.fullmatch(out):
+    if not confusables and _PLAIN.fullmatch(out):
         return out.strip(" ")
-    table, special = _table()
+    table, special = _table(confusables)
     if special.search(out):
         out = unicodedata.normalize("NFD", special.sub(lambda m: table[m.group()], out))
     if "ی" in out:
@@ -112,23 +149,23 @@ def skeleton(text: str | None) -> str | None:
     return out.strip(" ")
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch], confusables: str | None) -> Iterator[pa.RecordBatch]:
     """Replaces the text by digests of its skeleton and of itself; the text itself is not shuffled."""
     for b in batches:
         texts = b.column(b.num_columns - 1).to_pylist()
-        skel = [blake2b(skeleton(t).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+        skel = [blake2b(skeleton(t, confusables).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
         own = [blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for t in texts]
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(skel, pa.binary()), pa.array(own, pa.binary())], [*b.schema.names[:-1], "skel", "own"])
 
 
-def digests(df: DataFrame, scope: list[str], record: str, text: str) -> DataFrame:
+def digests(df: DataFrame, scope: list[str], record: str, text: str, confusables: str | None = None) -> DataFrame:
     """scope columns, record, skel, own: one row per distinct record and stored form, without null and empty texts.
 
     Written once, since the groups, their forms and their members are read from it in turn.
     """
     rows = df.select(*scope, record, F.col(text).alias("text__")).where("text__ <> ''")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return materialize(rows.mapInArrow(_digests, f"{fields}, skel binary, own binary").distinct(), "digests")
+    return materialize(rows.mapInArrow(lambda it: _digests(it, confusables), f"{fields}, skel binary, own binary").distinct(), "digests")
 
 
 def lookalike_groups(found: DataFrame, scope: list[str]) -> DataFrame:
@@ -154,6 +191,6 @@ def lookalike_pairs(found: DataFrame, scope: list[str], record: str) -> DataFram
     return both.select(*scope, F.least("ra", "rb").alias("id_a"), F.greatest("ra", "rb").alias("id_b")).distinct()
 
 
-def canonical(text: Column) -> Column:
+def canonical(text: Column, confusables: str | None = None) -> Column:
     """Column form of skeleton()."""
-    return F.pandas_udf(lambda texts: texts.map(lambda t: skeleton(t) if isinstance(t, str) else None), "string")(text)
+    return F.pandas_udf(lambda texts: texts.map(lambda t: skeleton(t, confusables) if isinstance(t, str) else None), "string")(text)

@@ -97,3 +97,18 @@ def test_hot_form_costs_no_pairs(spark):
 
 def test_empty(spark):
     assert run(spark, [])[0] == set()
+
+
+def test_look_alikes_of_further_scripts():
+    for a, b in ("pρ", "yү", "vѵ", "QԚ", "WԜ", "gɡ", "GԌ", "oօ", "SՏ", "nո", "hհ", "BᏴ", "oⲟ", "IӀ", "sꜱ", "Dꓓ", "ГΓ", "२૨", "౧೧", "cᴄ"):
+        assert S.skeleton(a) == S.skeleton(b), (a, b)
+    for a, b in ("lI", "O0", "ıi", "ɑa", "٤۴", "кk"):
+        assert S.skeleton(a) != S.skeleton(b), (a, b)
+
+
+def test_public_list_as_a_parameter(tmp_path):
+    """Letters and digits of another script only; one script's own resemblances, signs and ASCII stay apart."""
+    path = tmp_path / "list.txt"
+    path.write_text("﻿# a list\n2C9F ;\t006F ;\tMA\t# o\n10D8 ; 0069 ; MA # a letter\n0261 ; 0067 ; MA\n0131 ; 0069 ; MA\n2010 ; 002D ; MA\n0031 ; 006C ; MA\n0DEA ; 0DA2 ; MA\n0966 ; 006F ; MA\n\n1D41 ; 0061 0062 ; MA\n", "utf-8")
+    assert S.look_alikes(str(path)) == {"ⲟ": "o", "ი": "i", "०": "o"}
+    assert S.skeleton("mი०", str(path)) == "mio" and S.skeleton("mი०") != "mio" and S.skeleton("Аⲟ", str(path)) == "Ao"
