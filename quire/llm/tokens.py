@@ -61,7 +61,11 @@ def encoder(path: str):  # noqa: ANN201
 def _solid(text: str, size: int) -> bool:
     """Whether an unsplit piece of more than `size` bytes may stand in the text: a run without blanks (one before it aside), or of blanks."""
     n = size // 4 + 1  # a code point has four bytes at most
-    return any(len(w) >= n and len(w.encode("utf-8")) >= size for w in text.split()) or _blanks(n).search(text) is not None
+    words = text.split()
+    sizes = list(map(len, words))
+    if max(sizes, default=0) >= n and any(len(w) >= n and len(w.encode("utf-8")) >= size for w in words):
+        return True
+    return len(text) - sum(sizes) >= len(words) - 1 + n - 1 and _blanks(n).search(text) is not None
 
 
 @lru_cache(maxsize=4)
