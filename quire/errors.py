@@ -5,7 +5,7 @@ from __future__ import annotations
 #: The codes, and whether trying again may help.
 CODES = {
     "BAD_ARG": False, "BOOK_NOT_FOUND": False, "BOOK_NOT_DOWNLOADED": False, "PAGE_NOT_FOUND": False, "TITLE_NOT_FOUND": False, "AUTHOR_NOT_FOUND": False, "CATEGORY_NOT_FOUND": False,
-    "AYA_NOT_FOUND": False, "EMPTY_SCOPE": False, "OPTION_NOT_SUPPORTED": False, "OPTION_CONFLICT": False, "SOURCE_NOT_FOUND": False, "INTERNAL": True,
+    "AYA_NOT_FOUND": False, "EMPTY_SCOPE": False, "OPTION_NOT_SUPPORTED": False, "OPTION_CONFLICT": False, "SOURCE_NOT_FOUND": False, "SERVICE_KEY_NOT_FOUND": False, "INTERNAL": True,
 }
 
 

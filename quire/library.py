@@ -1,23 +1,31 @@
 """The library's tools as one object: typed arguments in, rendered pages of results out.
 
-Each tool validates its arguments, builds a DataFrame with the operators, and acts once for the total and
-once for the window that is shown. For analysis over everything use the operators themselves.
+Each tool validates its arguments, builds a DataFrame with the operators, and writes the keys of its hits once:
+the total, the window that is shown and the roll-ups are read from that small table, and text is read for the
+window alone. The tables of a call are dropped when it ends. Every tool takes response_format, json or markdown.
+With a saved index the term, boolean, phrase and proximity searches read no text but that of the window; without
+one they scan. For analysis over everything use the operators themselves.
 """
 
 from __future__ import annotations
 
+import inspect
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import render
 from quire.errors import LibraryError, empty_scope
 from quire.functions import arabic, verses
-from quire.functions.snippets import snippet_column, split_parts
+from quire.functions.snippets import exact_snippet_column, snippet_column, split_parts
 from quire.operators import catalog, pages, search, services
 from quire.operators import scope as scopes
 from quire.operators.citation import AUTO_NUMBERED, default_style, full_style, missing_parts, short_style
+from quire.operators.postings import Index
+from quire.runtime import dropping, materialize
 from quire.sources import tables
 from quire.sources.tables import Library as Tables
 
@@ -29,14 +37,46 @@ GUIDE = {
 }
 
 
+#: Fields of page texts, and the keys of a page.
+TEXT_FIELDS = ("body", "foot", "comment")
+PAGE = ["book_id", "page_id"]
+
+
+def _tool(f: Callable) -> Callable:
+    @wraps(f)
+    def call(self: Toolbox, *args: object, response_format: str | None = None, **kwargs: object):  # noqa: ANN202
+        if response_format not in (None, "json", "markdown"):
+            raise LibraryError("BAD_ARG", "response_format is json or markdown")
+        with dropping(), render.formatted(response_format or render.current()):
+            return f(self, *args, **kwargs)
+
+    return call
+
+
+def _tools(cls: type) -> type:
+    for name, f in list(vars(cls).items()):
+        if inspect.isfunction(f) and not name.startswith("_") and name != "build_index":
+            setattr(cls, name, _tool(f))
+    return cls
+
+
+@_tools
 @dataclass
 class Toolbox:
+    """index: the path of a saved index of the page texts, see build_index()."""
+
     spark: SparkSession
     folder: str
+    index: str | None = None
 
     def __post_init__(self) -> None:
         self.t = Tables(self.spark, self.folder)
 
+    def build_index(self, path: str) -> Toolbox:
+        """Writes the index of the page texts below the path; the result is this box over it."""
+        Index.build(self.t.page_text_rows, PAGE, list(TEXT_FIELDS), path)
+        return Toolbox(self.spark, self.folder, path)
+
     # --- search ----------------------------------------------------------------------------------
 
     def _scoped(self, df: DataFrame, scope: scopes.Scope | None) -> DataFrame:
@@ -52,42 +92,85 @@ class Toolbox:
         shown = [r.asDict(recursive=True) for r in search.paginate(hits, order, limit, offset).collect()]
         return search.envelope(total, len(shown), offset) | more | {"results": shown}
 
+    @staticmethod
+    def _fields(search_in: tuple[str, ...]) -> list[str]:
+        return [f for f in dict.fromkeys(search_in) if f in TEXT_FIELDS] or ["body", "foot"]
+
+    def _open(self) -> Index | None:
+        return Index.open(self.spark, self.index, PAGE, list(TEXT_FIELDS)) if getattr(self, "index", None) else None
+
+    def _kept(self, hits: DataFrame, *columns: str) -> DataFrame:
+        """The hits' keys and columns, once per page, written: everything else is read from it."""
+        return materialize(hits.select(*PAGE, *columns).dropDuplicates(PAGE), "hits")
+
+    def _pages(self, kept: DataFrame, limit: int, offset: int, snippets: dict[str, Column], **more: object) -> dict:
+        """The window of page hits with book, author, category, label and excerpts; text is read by the window's keys."""
+        out = self._page(kept, PAGE, limit, offset, **more)
+        if not out["results"]:
+            return out
+        window = self.spark.createDataFrame([tuple(r.values()) for r in out["results"]], kept.schema)
+        books = sorted({r["book_id"] for r in out["results"]})
+        own = lambda df: df.where(F.col("book_id").isin(books) & F.col("page_id").isin(sorted({r["page_id"] for r in out["results"]})))
+        text = own(self.t.page_text_rows).dropDuplicates(PAGE).select(*PAGE, *[c.alias(n) for n, c in snippets.items()])
+        rows = search.enrich(window, self.t.book.where(F.col("book_id").isin(books)), self.t.author, own(self.t.page)).join(text, PAGE, "left")
+        return out | {"results": render.rows(rows.orderBy(*PAGE))}
+
     def search_pages(self, query: str, scope: scopes.Scope | None = None, search_in: tuple[str, ...] = ("body", "foot"), limit: int = 20, offset: int = 0, **options: bool) -> dict:
-        fields = [f for f in dict.fromkeys(search_in) if f in ("body", "foot", "comment")] or ["body", "foot"]
-        terms = arabic.fold_query(query)
-        hits = search.search(self._scoped(self.t.page_text_rows, scope), fields, query, **options).dropDuplicates(["book_id", "page_id"])
-        shown = search.enrich(hits.select("book_id", "page_id", "matched_in", *[snippet_column(F.col(f), terms).alias(f"snippet_{f}") for f in fields]), self.t.book, self.t.author, self.t.page)
-        spread = search.coverage(search.hits_per_book(hits), self.t.book, self.t.author)
-        return render.render(self._page(shown, ["book_id", "page_id"], limit, offset, query=query, normalized_tokens=terms, coverage=[r.asDict() for r in spread.collect()]))
+        fields, terms, index = self._fields(search_in), arabic.fold_query(query), self._open()
+        search.check_options(**options)
+        hits = self._scoped(index.search(fields, query), scope) if index and not any(options.values()) else search.search(self._scoped(self.t.page_text_rows, scope), fields, query, **options)
+        kept = self._kept(hits, "matched_in")
+        spread = search.coverage(search.hits_per_book(kept), self.t.book, self.t.author)
+        return render.render(self._pages(kept, limit, offset, {f"snippet_{f}": snippet_column(F.col(f), terms) for f in fields}, query=query, normalized_tokens=terms, coverage=render.rows(spread)))
 
     def search_titles(self, query: str, scope: scopes.Scope | None = None, limit: int = 20, offset: int = 0, **options: bool) -> dict:
         hits = search.search(self._scoped(self.t.title, scope), ["body"], query, **options)
-        return render.render(self._page(search.enrich(hits.select("book_id", F.col("id").alias("title_id"), "page", F.col("parent").alias("parent_id"), "body"), self.t.book, self.t.author), ["book_id", "title_id"], limit, offset, query=query))
+        kept = materialize(hits.select("book_id", F.col("id").alias("title_id"), "page", F.col("parent").alias("parent_id"), "body"), "titles")
+        return render.render(self._page(search.enrich(kept, self.t.book, self.t.author), ["book_id", "title_id"], limit, offset, query=query))
 
     def search_books(self, query: str, scope: scopes.Scope | None = None, limit: int = 20, offset: int = 0, **options: bool) -> dict:
+        """Over names, all authors and the bibliography."""
         if scope is not None and scope.book_ids:
             raise LibraryError("BAD_ARG", "a book search has no book_ids in its scope")
-        rows = catalog.with_main_author(self._scoped(self.t.book, scope), self.t.author)
-        hits = search.search(rows, ["book_name", "author_name"], query, **options)
-        return render.render(self._page(hits.select("book_id", "book_name", "author_name", "book_category", "book_date"), ["book_id"], limit, offset, query=query))
+        rows = catalog.searchable_books(self._scoped(self.t.book, scope), self.t.author)
+        hits = search.search(rows, ["book_name", "all_authors", "bibliography"], query, **options)
+        kept = materialize(hits.select("book_id", "book_name", "author_name", "book_category", "book_date", "matched_in"), "books")
+        return render.render(self._page(kept, ["book_id"], limit, offset, query=query))
 
     def search_authors(self, query: str, limit: int = 20, offset: int = 0, **options: bool) -> dict:
-        hits = search.search(catalog.author_cards(self.t.book, self.t.author), ["author_name"], query, **options)
-        return render.render(self._page(hits.select("author_id", "author_name", "death_year", "book_count"), ["author_id"], limit, offset, query=query))
+        """Over names and biographies."""
+        found = search.search(self.t.author, ["author_name", "death_text"], query, **options).select("author_id", "matched_in")
+        kept = materialize(found, "authors")
+        cards = catalog.author_cards(self.t.book, self.t.author).select("author_id", "author_name", "death_year", "book_count")
+        return render.render(self._page(kept.join(cards, "author_id"), ["author_id"], limit, offset, query=query))
 
     def search_phrase(self, query: str, mode: str = "phrase", distance: int = 10, scope: scopes.Scope | None = None, search_in: tuple[str, ...] = ("body", "foot"), limit: int = 20, offset: int = 0) -> dict:
-        hits = search.search_phrase(self._scoped(self.t.page_text_rows, scope), list(search_in), query, mode, distance).dropDuplicates(["book_id", "page_id"])
-        return render.render(self._page(hits.select("book_id", "page_id", "matched_in"), ["book_id", "page_id"], limit, offset, query=query))
-
-    def search_exact(self, query: str, scope: scopes.Scope | None = None, limit: int = 20, offset: int = 0, **preserve: bool) -> dict:
-        hits = search.search_exact(self._scoped(self.t.page_text_rows, scope), ["body", "foot"], query, **preserve).dropDuplicates(["book_id", "page_id"])
-        return render.render(self._page(hits.select("book_id", "page_id", "matched_in"), ["book_id", "page_id"], limit, offset, query=query))
-
-    def search_boolean(self, all_of: list[str] = (), any_of: list[str] = (), none_of: list[str] = (), scope: scopes.Scope | None = None, limit: int = 20, offset: int = 0) -> dict:
-        rows = self._scoped(self.t.page_text_rows, scope)
-        hits = search.search_boolean(rows, ["body", "foot"], list(all_of), list(any_of), list(none_of)).dropDuplicates(["book_id", "page_id"])
-        report = [r.asDict() for r in search.term_report(rows, ["body", "foot"], [*all_of, *any_of, *none_of], ["book_id", "page_id"]).collect()]
-        return render.render(self._page(hits.select("book_id", "page_id", "matched_terms"), ["book_id", "page_id"], limit, offset, subqueries=report))
+        fields, index = self._fields(search_in), self._open()
+        search.check_mode(mode, distance)
+        if index:
+            hits = self._scoped(index.phrase(fields, query) if mode == "phrase" else index.near(fields, query, distance), scope)
+        else:
+            hits = search.search_phrase(self._scoped(self.t.page_text_rows, scope), fields, query, mode, distance)
+        terms = arabic.fold_query(query)
+        return render.render(self._pages(self._kept(hits, "matched_in"), limit, offset, {f"snippet_{f}": snippet_column(F.col(f), terms) for f in fields}, query=query, mode=mode))
+
+    def search_exact(self, query: str, scope: scopes.Scope | None = None, search_in: tuple[str, ...] = ("body", "foot"), limit: int = 20, offset: int = 0, **preserve: bool) -> dict:
+        fields = self._fields(search_in)
+        hits = search.search_exact(self._scoped(self.t.page_text_rows, scope), fields, query, **preserve)
+        needle = arabic.fold_exact(query, **preserve)
+        return render.render(self._pages(self._kept(hits, "matched_in"), limit, offset, {f"snippet_{f}": exact_snippet_column(F.col(f), needle, **preserve) for f in fields}, query=query))
+
+    def search_boolean(self, all_of: list[str] = (), any_of: list[str] = (), none_of: list[str] = (), scope: scopes.Scope | None = None, search_in: tuple[str, ...] = ("body", "foot"), limit: int = 20, offset: int = 0) -> dict:
+        fields, index, queries = self._fields(search_in), self._open(), [*all_of, *any_of, *none_of]
+        if index and any(arabic.fold_query(q) for q in [*all_of, *any_of]):
+            hits = self._scoped(index.boolean(fields, list(all_of), list(any_of), list(none_of)), scope)
+            report = index.report(fields, queries) if scope is None else search.term_report(self._scoped(self.t.page_text_rows, scope), fields, queries, PAGE)
+        else:
+            rows = self._scoped(self.t.page_text_rows, scope)
+            hits = search.search_boolean(rows, fields, list(all_of), list(any_of), list(none_of))
+            report = search.term_report(rows, fields, queries, PAGE)
+        terms = [t for q in [*all_of, *any_of] for t in arabic.fold_query(q)]
+        return render.render(self._pages(self._kept(hits, "matched_terms"), limit, offset, {f"snippet_{f}": snippet_column(F.col(f), terms) for f in fields}, subqueries=render.rows(report)))
 
     def search_quran(self, verse_table: DataFrame, query: str, wildcards: bool = False, limit: int = 20, offset: int = 0) -> dict:
         """verse_table: id, body."""
@@ -95,13 +178,15 @@ class Toolbox:
 
     def search_hadith(self, query: str, limit: int = 20, offset: int = 0, takhrij_limit: int = 100, takhrij_offset: int = 0) -> dict:
         """Two windows: the matching pages, and the entries of all their keys (takhrij, its envelope in takhrij_window)."""
-        matches, where = services.tradition_search(self.t.page_text_rows, self.t.page, self.t.service, self.t.book, self.t.author, query)
+        index = self._open()
+        kept = self._kept(index.search(["body", "foot"], query) if index else search.search(self.t.page_text_rows, ["body", "foot"], query))
+        matches, where = services.tradition_search(kept, self.t.page, self.t.service, self.t.book, self.t.author)
         takhrij = self._page(where, ["key_id", "book_id", "page_id"], takhrij_limit, takhrij_offset)
         return render.render(self._page(matches, ["book_id", "page_id"], limit, offset, query=query, takhrij=takhrij.pop("results"), takhrij_window=takhrij))
 
     def root_stats(self, root: str, scope: scopes.Scope | None = None) -> dict:
         spread = search.root_stats(self._scoped(self.t.page_text_rows, scope), ["body", "foot"], root, self.t.book, self.t.author)
-        return render.render({"root": root, "note": "stems are approximate", "distribution": [r.asDict() for r in spread.collect()]})
+        return render.render({"root": root, "note": "stems are approximate", "distribution": render.rows(spread)})
 
     def resolve(self, query: str, kind: str = "any", limit: int = 10) -> dict:
         if kind not in ("any", "book", "author"):
@@ -139,36 +224,54 @@ class Toolbox:
 
     def get_page(self, book_id: int, page_id: int, keep_html: bool = False, body_part: int = 1) -> dict:
         own = self._readable_book(book_id)
-        text = self.t.page_text.where(F.col("book_id") == book_id)
-        title = self.t.title.where(F.col("book_id") == book_id)
-        card = self._one(pages.page_view(own, text).where(F.col("page_id") == page_id), "PAGE_NOT_FOUND", f"page {page_id} of book {book_id}")
-        if keep_html:
-            raw = text.where(F.col("page_id") == page_id).first()
-            card["text"] = (raw and raw.body) or ""
-        cut = split_parts(card["text"], pages.PART_BUDGET)
+        only = F.col("book_id") == book_id, F.col("page_id") == page_id
+        label = own.where(only[1]).select(arabic.clean_part(F.col("part")).alias("part"), arabic.printed_label(F.col("part"), F.col("page")).alias("printed_page"))
+        card = {"book_id": book_id, "page_id": page_id} | self._one(label, "PAGE_NOT_FOUND", f"page {page_id} of book {book_id}")
+        body = F.coalesce("body", F.lit(""))
+        text = self.t.page_text_rows.where(only[0] & only[1]).select((body if keep_html else arabic.plain_text(body)).alias("text"), F.coalesce("foot", F.lit("")).alias("foot")).first()
+        before, after = pages.neighbours_of(own, page_id)
+        title = self.t.title.where(only[0])
+        cut = split_parts(text.text if text else "", pages.PART_BUDGET)
         at = min(max(1, body_part), len(cut))
-        chain = pages.page_chains(own, title).where(F.col("page_id") == page_id).first()
-        card |= {"text": cut[at - 1], "part_of_text": at, "total_parts": len(cut), "has_more": at < len(cut), "titles": chain.chain if chain else None}
-        if at > 1:
-            card["foot"] = ""
-        return render.render(card)
+        card |= {"prev_page_id": before, "next_page_id": after, "text": cut[at - 1], "foot": text.foot if text and at == 1 else "", "part_of_text": at, "total_parts": len(cut), "has_more": at < len(cut)}
+        return render.render(card | {"titles": pages.chain_of(title, pages.owner_of(title, page_id))})
 
     def get_pages_range(self, book_id: int, start_page_id: int, count: int = 5) -> dict:
-        own, text = self._readable_book(book_id), self.t.page_text.where(F.col("book_id") == book_id)
-        kept = pages.page_range(own, text, start_page_id, count)
-        return render.render({"pages": render.rows(kept.join(pages.page_view(own, text), ["book_id", "page_id"]).orderBy("page_id"))})
+        own, text = self._readable_book(book_id), self.t.page_text_rows.where(F.col("book_id") == book_id)
+        kept = [r.page_id for r in pages.page_range(own, text, start_page_id, count).select("page_id").collect()]  # at most 20
+        return render.render({"pages": self._read(book_id, own, kept)})
+
+    def _read(self, book_id: int, own: DataFrame, ids: list[int]) -> list[dict]:
+        """A few pages of a book in order, with label and displayed text."""
+        body = arabic.plain_text(F.coalesce("body", F.lit(""))).alias("text")
+        text = self.t.page_text_rows.where((F.col("book_id") == book_id) & F.col("page_id").isin(ids)).dropDuplicates(PAGE).select("page_id", body, F.coalesce("foot", F.lit("")).alias("foot"))
+        label = own.where(F.col("page_id").isin(ids)).select("page_id", arabic.clean_part(F.col("part")).alias("part"), arabic.printed_label(F.col("part"), F.col("page")).alias("printed_page"))
+        return render.rows(label.join(text, "page_id", "left").fillna("", ["text", "foot"]).orderBy("page_id"))
 
     def get_book_section(self, book_id: int, title_id: int, max_pages: int = 20) -> dict:
+        """The pages of a title, at most max_pages and RANGE_BUDGET characters of them; next_start_page_id tells where to read on."""
         if not 1 <= max_pages <= 100:
             raise LibraryError("BAD_ARG", "max_pages 1 to 100")
-        own, text = self._readable_book(book_id), self.t.page_text.where(F.col("book_id") == book_id)
+        own = self._readable_book(book_id)
         part = self._one(pages.sections(self.t.title.where(F.col("book_id") == book_id), own).where(F.col("title_id") == title_id), "TITLE_NOT_FOUND", f"title {title_id} of book {book_id}")
-        inside = own.where(F.col("page_id").between(part["start_page_id"], part["end_page_id"]))
-        return render.render(part | {"pages": render.rows(pages.page_view(inside, text).orderBy("page_id"), max_pages)})
-
-    def get_toc(self, book_id: int, parent_id: int = 0, depth: int = 1) -> dict:
+        ids = [r.page_id for r in own.where(F.col("page_id").between(part["start_page_id"], part["end_page_id"])).select("page_id").orderBy("page_id").limit(max_pages).collect()]
+        read = self._read(book_id, own, ids)
+        shown = read[: pages.within_budget([len(r["text"]) + len(r["foot"]) for r in read])]
+        last = shown[-1]["page_id"] if shown else part["start_page_id"] - 1
+        more = last < part["end_page_id"]
+        cut = len(shown) < part["total_pages"]
+        notice = f"{len(shown)} of {part['total_pages']} pages, " + (f"the limit is {pages.RANGE_BUDGET} characters" if len(shown) < len(read) else f"the limit is {max_pages} pages") if cut else None
+        return render.render(part | {"truncated": cut, "next_start_page_id": last + 1 if more else None, "notice": notice, "pages": shown})
+
+    def get_toc(self, book_id: int, parent_id: int = 0, depth: int = 1, containing_page_id: int | None = None) -> dict:
+        """The titles below a parent; with containing_page_id the chain of titles from the root to the one that holds the page."""
         self._readable_book(book_id)
-        return render.render({"titles": [r.asDict() for r in pages.toc(self.t.title.where(F.col("book_id") == book_id), parent_id, depth).orderBy("level", "title_id").collect()]})
+        title = self.t.title.where(F.col("book_id") == book_id)
+        if containing_page_id is None:
+            return render.render({"mode": "subtree", "titles": render.rows(pages.toc(title, parent_id, depth).orderBy("level", "title_id")), "ancestor_chain": []})
+        chain = pages.chain_of(title, pages.owner_of(title, containing_page_id)) or []
+        rows = {r["title_id"]: r for r in render.rows(title.where(F.col("id").isin(chain)).select(F.col("id").alias("title_id"), "page", "parent", "body"))} if chain else {}
+        return render.render({"mode": "ancestor_chain", "titles": [], "ancestor_chain": [rows[i] for i in chain]})
 
     def get_book_parts(self, book_id: int) -> dict:
         found = render.rows(pages.parts(self._readable_book(book_id)).orderBy("first_page_id"))
@@ -223,8 +326,11 @@ class Toolbox:
     def _entries(self, name: str, key: int, downloaded_only: bool) -> dict:
         rows = services.entries(self.t.service, name, self.t.book, self.t.author).where(F.col("key_id") == key)
         kept = rows.where("downloaded") if downloaded_only else rows
-        found = [r.asDict(recursive=True) for r in kept.orderBy("page_id", "book_id").collect()]  # all entries of one key
-        return render.render({"key": key, "total": rows.count(), "returned": len(found), "entries": found})
+        total = rows.count()
+        if not total:
+            raise LibraryError("SERVICE_KEY_NOT_FOUND", f"no book is indexed under key {key} of {name}", {"service": name, "key": key})
+        found = render.rows(kept.orderBy("page_id", "book_id"))  # all entries of one key
+        return render.render({"key": key, "total": total, "returned": len(found), "entries": found})
 
     def get_tafseer_of_aya(self, downloaded_only: bool = True, **which: int) -> dict:
         return self._entries("tafseer", self._aya(which.get("aya_id"), which.get("surah"), which.get("aya")), downloaded_only)
@@ -241,7 +347,7 @@ class Toolbox:
         number = self._aya(which.get("aya_id"), which.get("surah"), which.get("aya"))
         status = [r.asDict() for r in services.source_status(self.t.service, self.t.book, number, book_ids).collect()] if book_ids else []
         rows = services.verse_texts(self.t.service, self.t.book, self.t.author, self.t.page_text, number, max_sources, book_ids=book_ids)
-        found = [r.asDict() for r in rows.orderBy("book_id").collect()]
+        found = render.rows(rows.orderBy("place"))
         return render.render({"aya_id": number, "asked": status, "sources": [r for r in found if r["status"] == "ok"], "remaining_book_ids": [r["book_id"] for r in found if r["status"] != "ok"]})
 
     def resource(self, name: str) -> dict | str:

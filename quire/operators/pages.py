@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.arabic import clean_part, plain_text, printed_label
-from quire.operators.forest import resolve_forest
+from quire.operators.forest import CELL, resolve_forest
 
 #: Page numbers per range.
 RANGE = 1024
@@ -77,6 +77,50 @@ def page_chains(page: DataFrame, title: DataFrame) -> DataFrame:
     return owning_titles(page, title).join(paths, ["book_id", "title_id"], "left").select("book_id", "page_id", "title_id", "chain")
 
 
+def neighbours_of(page: DataFrame, page_id: int) -> tuple[int | None, int | None]:
+    """The nearest existing pages before and after one page, of the pages of one book: one small aggregate."""
+    p = F.col("page_id")
+    r = page.agg(F.max(F.when(p < page_id, p)).alias("before"), F.min(F.when(p > page_id, p)).alias("after")).first()
+    return r.before, r.after
+
+
+def owner_of(title: DataFrame, page_id: int) -> int | None:
+    """The largest title id of one book that starts at or before the page."""
+    return title.where(F.col("page") <= page_id).agg(F.max("id").alias("id")).first().id
+
+
+def chain_of(title: DataFrame, title_id: int | None, cell: int = CELL) -> list[int] | None:
+    """The titles from the root to one title, of the titles of one book; null in a loop.
+
+    Walks up on the driver, over the parents of a cell of ids at a time: at most `cell` pairs of numbers are held.
+    """
+    chain: list[int] = []
+    held: dict[int, int | None] = {}
+    seen, at, loaded = set(), title_id, None
+    while at:
+        if at in seen:
+            return None
+        if loaded != at // cell:
+            loaded = at // cell
+            held = {r.id: r.parent for r in title.where(F.col("id").between(loaded * cell, loaded * cell + cell - 1)).select("id", "parent").collect()}
+        if at not in held:
+            break  # a dangling parent: the one below is the root
+        seen.add(at)
+        chain.append(at)
+        at = held[at]
+    return chain[::-1]
+
+
+def within_budget(sizes: list[int], budget: int = RANGE_BUDGET) -> int:
+    """How many of the first pages fit the budget, the first always."""
+    total = 0
+    for n, size in enumerate(sizes):
+        total += size
+        if n and total > budget:
+            return n
+    return len(sizes)
+
+
 def toc(title: DataFrame, parent_id: int = 0, depth: int = 1) -> DataFrame:
     """The titles below a parent down to a depth (1 to 5), with level and has_children; parent 0: the roots of every book."""
     if not 1 <= depth <= 5:
@@ -117,17 +161,28 @@ def budget_exclusive(size: Column, window: Window, budget: int) -> Column:
 
 
 def page_range(page: DataFrame, text: DataFrame, start: int = 1, count: int = 20, budget: int = RANGE_BUDGET) -> DataFrame:
-    """Of every book, `count` pages from a page id on, cut at the character budget."""
+    """Of every book, `count` pages from a page id on, cut at the character budget.
+
+    text: text rows, as stored; only their sizes move, and repeats are dropped by them.
+    """
     if not 1 <= count <= 20:
         raise ValueError("BAD_ARG: count 1 to 20")
     order = Window.partitionBy("book_id").orderBy("page_id")
-    # numbered before the text is joined, so no text of later pages moves
     few = page.where(F.col("page_id") >= start).select("book_id", "page_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= count)
     size = F.length(F.coalesce("body", F.lit(""))) + F.length(F.coalesce("foot", F.lit("")))
-    rows = few.join(text, ["book_id", "page_id"], "left").withColumn("n_chars", size)
+    sizes = text.select("book_id", "page_id", size.alias("n_chars")).groupBy("book_id", "page_id").agg(F.max("n_chars").alias("n_chars"))
+    rows = few.join(sizes, ["book_id", "page_id"], "left").withColumn("n_chars", F.coalesce("n_chars", F.lit(0)))
     return rows.withColumn("keep", budget_inclusive(F.col("n_chars"), order, budget)).where("keep").select("book_id", "page_id", "n_chars")
 
 
+def page_sizes(page: DataFrame, text: DataFrame) -> DataFrame:
+    """Every page with label, neighbours and the lengths of its displayed text and foot: of page_view() what needs no text to move."""
+    body = F.length(plain_text(F.coalesce("body", F.lit(""))))
+    sizes = text.select("book_id", "page_id", body.alias("n"), F.length(F.coalesce("foot", F.lit(""))).alias("f")).groupBy("book_id", "page_id").agg(F.max("n").alias("n_chars"), F.max("f").alias("n_foot"))
+    rows = neighbours(page).join(sizes, ["book_id", "page_id"], "left")
+    return rows.select("book_id", "page_id", clean_part(F.col("part")).alias("part"), printed_label(F.col("part"), F.col("page")).alias("printed_page"), "prev_page_id", "next_page_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.coalesce("n_foot", F.lit(0)).alias("n_foot"))
+
+
 def annotations(page: DataFrame) -> DataFrame:
     """Parsed page annotations: valid, ayat, hadeeth, esnad; broken JSON keeps its raw text and has no lists."""
     v = F.try_parse_json("services")

@@ -1,35 +1,46 @@
-"""An inverted index as a table: one row per token occurrence, pruned by bucket and token at the scan.
+"""An inverted index as tables: one row per token occurrence, pruned by bucket and token at the scan.
 
 Searching text directly reads all text at every query. A saved index is partitioned by a hash bucket of the
 token and sorted by token inside its files, so a query reads a few buckets and, by the row groups' ranges,
-little of them. A bucket's rows are spread over several files by record, so the commonest token is not one
-task's work when it is written or read.
+little of them; text is read for the hits alone. A bucket's rows are spread over several files by record, so the
+commonest token is not one task's work when it is written or read.
+
+Two indexes stand side by side, since searches fold text in two ways: WORDS (the tokens of term and boolean
+searches) and RUNS (the tokens of phrase and proximity searches).
 
 Defined results: null and empty texts have no rows; a token repeated in a text has a row for each place;
-places count from 0; repeated records must be removed before (they would have rows each).
+places count from 0; a record that is stored repeatedly has its rows repeatedly and is one hit.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.arabic import fold_query, index_tokens
+from quire.functions.arabic import fold_query, index_tokens, query_tokens, verify_tokens
 
-BUCKETS = 256
+WORDS, RUNS = "words", "runs"
+TOKENS: dict[str, Callable[[Column], Column]] = {WORDS: index_tokens, RUNS: verify_tokens}
+#: Buckets of an index: as many as its text has BUCKET_BYTES, within these bounds.
+FEWEST, MOST, BUCKET_BYTES = 4, 4096, 32 << 20
 #: Files of a bucket, at least.
 SPREAD = 8
 
 
-def bucket_of(token: str):  # noqa: ANN201
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+def bucket_of(token: Column | str, buckets: int = 256) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
-def postings(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+def postings(df: DataFrame, keys: list[str], fields: list[str], tokens: Callable[[Column], Column] = index_tokens, buckets: int = 256) -> DataFrame:
     """keys, field, token, pos, bucket. No shuffle."""
-    lists = F.array(*[F.struct(F.lit(f).alias("field"), index_tokens(F.col(f)).alias("tokens")) for f in fields])
+    lists = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("tokens")) for f in fields])
     one = df.select(*keys, F.inline(lists)).select(*keys, "field", F.posexplode("tokens").alias("pos", "token"))
-    return one.select(*keys, "field", "token", "pos", bucket_of("token").alias("bucket"))
+    return one.select(*keys, "field", "token", "pos", bucket_of("token", buckets).alias("bucket"))
 
 
 def save(rows: DataFrame, keys: list[str], path: str) -> None:
@@ -42,32 +53,118 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _rows(index: DataFrame, terms: list[str], fields: list[str]) -> DataFrame:
-    spark = index.sparkSession
-    # the buckets of a few literals, computed by the engine that filled the column
-    found = spark.createDataFrame([(t,) for t in dict.fromkeys(terms)], "token string").select(bucket_of("token").alias("b")).collect()
-    return index.where(F.col("bucket").isin(*{r.b for r in found}) & F.col("token").isin(*terms) & F.col("field").isin(*fields))
+@dataclass
+class Index:
+    """The saved indexes of the text fields of one table."""
+
+    spark: SparkSession
+    path: str
+    keys: list[str]
+    fields: list[str]
+    buckets: int
+    kinds: dict[str, DataFrame] = field(default_factory=dict)
+
+    @staticmethod
+    def build(df: DataFrame, keys: list[str], fields: list[str], path: str, kinds: tuple[str, ...] = (WORDS, RUNS)) -> Index:
+        """Writes the indexes of a table below the path; the number of buckets stands in the folders' names."""
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        buckets = min(MOST, max(FEWEST, size // BUCKET_BYTES))
+        for kind in kinds:
+            save(postings(df, keys, fields, TOKENS[kind], buckets), keys, f"{path}/{kind}-{buckets}")
+        return Index(df.sparkSession, path, keys, fields, buckets)
+
+    @staticmethod
+    def open(spark: SparkSession, path: str, keys: list[str], fields: list[str]) -> Index:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        names = [s.getPath().getName() for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
+        return Index(spark, path, keys, fields, next(int(n.split("-")[1]) for n in names if n.startswith(WORDS)))
+
+    def rows(self, kind: str, terms: list[str], fields: list[str]) -> DataFrame:
+        """The occurrences of the terms in the fields; only their buckets are read."""
+        if kind not in self.kinds:
+            self.kinds[kind] = load(self.spark, f"{self.path}/{kind}-{self.buckets}")
+        return occurrences(self.kinds[kind], terms, fields, self.buckets)
+
+    def search(self, fields: list[str], query: str) -> DataFrame:
+        terms = list(dict.fromkeys(fold_query(query)))
+        return all_terms(self.rows(WORDS, terms, fields), self.keys, fields, terms)
+
+    def phrase(self, fields: list[str], query: str) -> DataFrame:
+        terms = query_tokens(query)
+        return in_order(self.rows(RUNS, terms, fields), self.keys, fields, terms)
+
+    def near(self, fields: list[str], query: str, distance: int) -> DataFrame:
+        terms = list(dict.fromkeys(query_tokens(query)))
+        return within(self.rows(RUNS, terms, fields), self.keys, fields, terms, distance)
+
+    def boolean(self, fields: list[str], all_of: list[str] = (), any_of: list[str] = (), none_of: list[str] = ()) -> DataFrame:
+        """keys, matched_terms: records with all of, any of and none of the queries. Needs a query with a term in all_of or any_of."""
+        if not any(fold_query(q) for q in [*all_of, *any_of]):
+            raise ValueError("BAD_ARG: give all_of or any_of")
+        held = self._held(fields, [*all_of, *any_of, *none_of])
+        keep = reduce(and_, [_has(q) for q in all_of], F.lit(True))
+        if any_of:
+            keep = keep & reduce(or_, [_has(q) for q in any_of])
+        for q in none_of:
+            keep = keep & ~_has(q)
+        return held.where(keep).select(*self.keys, F.array_compact(F.array(*[F.when(_has(q), F.lit(q)) for q in [*all_of, *any_of]])).alias("matched_terms"))
+
+    def report(self, fields: list[str], queries: list[str]) -> DataFrame:
+        """term, total: how many records each query matches."""
+        held = self._held(fields, queries).agg(*[F.count_if(_has(q)).alias(f"c{i}") for i, q in enumerate(queries)])
+        return held.select(F.inline(F.array(*[F.struct(F.lit(q).alias("term"), F.col(f"c{i}").alias("total")) for i, q in enumerate(queries)])))
+
+    def _held(self, fields: list[str], queries: list[str]) -> DataFrame:
+        terms = list(dict.fromkeys(t for q in queries for t in fold_query(q)))
+        return self.rows(WORDS, terms, fields).groupBy(*self.keys).agg(F.collect_set("token").alias("held"))
+
+
+def _has(query: str) -> Column:
+    return F.size(F.array_except(F.array(*map(F.lit, fold_query(query))).cast("array<string>"), "held")) == 0
+
+
+def occurrences(index: DataFrame, terms: list[str], fields: list[str], buckets: int = 256) -> DataFrame:
+    """The terms' buckets are constants to the optimizer, so they prune the folders."""
+    if not terms:
+        return index.where(F.lit(False))
+    return index.where(F.col("bucket").isin(*[bucket_of(F.lit(t), buckets) for t in dict.fromkeys(terms)]) & F.col("token").isin(*terms) & F.col("field").isin(*fields))
+
 
+def _matched(fields: list[str]) -> Column:
+    return F.array_intersect(F.array(*map(F.lit, fields)), "held").alias("matched_in")
 
-def search(index: DataFrame, keys: list[str], fields: list[str], query: str) -> DataFrame:
+
+def all_terms(rows: DataFrame, keys: list[str], fields: list[str], terms: list[str]) -> DataFrame:
     """keys, matched_in: records that hold every term in some field, with the fields that hold any."""
-    terms = list(dict.fromkeys(fold_query(query)))
-    if not terms:
-        return index.select(*keys).where(F.lit(False)).withColumn("matched_in", F.array().cast("array<string>"))
-    hits = _rows(index, terms, fields).groupBy(*keys).agg(F.count_distinct("token").alias("n"), F.collect_set("field").alias("held"))
-    return hits.where(F.col("n") == len(terms)).select(*keys, F.array_intersect(F.array(*map(F.lit, fields)), "held").alias("matched_in"))
+    hits = rows.groupBy(*keys).agg(F.count_distinct("token").alias("n"), F.collect_set("field").alias("held"))
+    return hits.where(F.col("n") == len(terms)).select(*keys, _matched(fields))
 
 
-def phrase(index: DataFrame, keys: list[str], fields: list[str], query: str) -> DataFrame:
+def in_order(rows: DataFrame, keys: list[str], fields: list[str], terms: list[str]) -> DataFrame:
     """keys, matched_in: records in which the terms follow each other in one field.
 
     Every occurrence votes for the place at which the phrase would start; a start with all votes is a hit.
     """
-    terms = fold_query(query)
-    if not terms:
-        return index.select(*keys).where(F.lit(False)).withColumn("matched_in", F.array().cast("array<string>"))
-    places = F.create_map(*[x for t in dict.fromkeys(terms) for x in (F.lit(t), F.array(*[F.lit(i) for i, u in enumerate(terms) if u == t]))])
-    votes = _rows(index, terms, fields).select(*keys, "field", "pos", F.explode(places[F.col("token")]).alias("i"))
+    places = F.create_map(*[x for t in dict.fromkeys(terms) for x in (F.lit(t), F.array(*[F.lit(i) for i, u in enumerate(terms) if u == t]))]) if terms else F.lit(None).cast("map<string,array<int>>")
+    votes = rows.select(*keys, "field", "pos", F.explode(places[F.col("token")]).alias("i"))
     starts = votes.groupBy(*keys, "field", (F.col("pos") - F.col("i")).alias("start")).agg(F.count_distinct("i").alias("n")).where(F.col("n") == len(terms))
-    held = starts.groupBy(*keys).agg(F.collect_set("field").alias("held"))
-    return held.select(*keys, F.array_intersect(F.array(*map(F.lit, fields)), "held").alias("matched_in"))
+    return starts.groupBy(*keys).agg(F.collect_set("field").alias("held")).select(*keys, _matched(fields))
+
+
+def within(rows: DataFrame, keys: list[str], fields: list[str], terms: list[str], distance: int) -> DataFrame:
+    """keys, matched_in: records in which all distinct terms stand within `distance` places of each other in one field."""
+    per = rows.groupBy(*keys, "field").agg(F.count_distinct("token").alias("n"), F.collect_set(F.struct("pos", "token")).alias("at")).where(F.col("n") == len(terms))
+    together = F.exists("at", lambda s: F.size(F.array_distinct(F.transform(F.filter("at", lambda x: x["pos"].between(s["pos"], s["pos"] + distance)), lambda x: x["token"]))) == len(terms))
+    return per.where(together).groupBy(*keys).agg(F.collect_set("field").alias("held")).select(*keys, _matched(fields))
+
+
+def search(index: DataFrame, keys: list[str], fields: list[str], query: str) -> DataFrame:
+    """all_terms() over a frame of postings()."""
+    terms = list(dict.fromkeys(fold_query(query)))
+    return all_terms(occurrences(index, terms, fields), keys, fields, terms)
+
+
+def phrase(index: DataFrame, keys: list[str], fields: list[str], query: str) -> DataFrame:
+    """in_order() over a frame of postings()."""
+    terms = fold_query(query)
+    return in_order(occurrences(index, terms, fields), keys, fields, terms)

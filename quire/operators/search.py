@@ -80,11 +80,15 @@ def _starts(h: Column, n: int) -> Column:
     return F.when(F.size(h) >= n, F.sequence(F.lit(1), F.size(h) - (n - 1))).otherwise(F.array().cast("array<int>"))
 
 
+def check_mode(mode: str, distance: int) -> None:
+    if mode not in ("phrase", "near") or not 1 <= distance <= 50:
+        raise ValueError("BAD_ARG: mode is phrase or near, distance 1 to 50")
+
+
 def search_phrase(df: DataFrame, fields: list[str], query: str, mode: str = "phrase", distance: int = 10) -> DataFrame:
     """Rows with the phrase, or with all words near each other, within one field."""
     words = query_tokens(query)
-    if mode not in ("phrase", "near") or not 1 <= distance <= 50:
-        raise ValueError("BAD_ARG: mode is phrase or near, distance 1 to 50")
+    check_mode(mode, distance)
     if not words:
         return df.where(F.lit(False)).withColumn("matched_in", F.array().cast("array<string>"))
     if mode == "phrase":

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quire.functions.verses import aya_dim
 from quire.operators.catalog import with_main_author
 from quire.operators.pages import annotations, budget_exclusive
-from quire.operators.search import search
 
 #: The categories whose downloaded books are expected to treat a verse (a parameter).
 SHELF = (3, 4)
@@ -58,19 +57,21 @@ def coverage_totals(service: DataFrame, book: DataFrame, shelf: tuple[int, ...]
 def verse_texts(service: DataFrame, book: DataFrame, author: DataFrame, text: DataFrame, aya_id: int, max_sources: int = 10, budget: int = 12_000, book_ids: list[int] | None = None) -> DataFrame:
     """The passages of the downloaded sources of a verse, in book order, until the budget is reached.
 
-    book_ids: only these books are ranked and budgeted; the rest of an earlier call is asked for by them.
+    book_ids: only these books are ranked and budgeted, in the order they are asked for; the rest of an earlier call is asked for by them.
     """
     if not 1 <= max_sources <= 10:
         raise ValueError("BAD_ARG: max_sources 1 to 10")
     hits = service.where((F.col("service_name") == "tafseer") & (F.col("key_id") == aya_id)).groupBy("book_id").agg(F.min("page_id").alias("page_id"))
+    queue = F.col("book_id")
     if book_ids:
         hits = hits.where(F.col("book_id").isin(book_ids))
+        queue = F.array_position(F.array(*map(F.lit, dict.fromkeys(book_ids))), F.col("book_id").cast("int"))
     b = with_main_author(book, author).where("downloaded").select("book_id", "book_name", "author_name", "death_year")
     size = F.length(F.coalesce("body", F.lit(""))) + F.length(F.coalesce("foot", F.lit("")))
-    order = Window.orderBy("book_id")  # at most the sources of one verse
-    rows = hits.join(b, "book_id").join(text, ["book_id", "page_id"], "left").withColumn("n_chars", size).withColumn("place", F.row_number().over(order))
+    order = Window.orderBy("queue")  # at most the sources of one verse
+    rows = hits.join(b, "book_id").join(text, ["book_id", "page_id"], "left").withColumn("n_chars", size).withColumn("queue", queue).withColumn("place", F.row_number().over(order))
     kept = rows.withColumn("keep", budget_exclusive(F.col("n_chars"), order, budget) & (F.col("place") <= max_sources))
-    return kept.select("book_id", "book_name", "author_name", "page_id", "n_chars", F.when(F.col("keep"), "ok").otherwise("remaining").alias("status"), F.when(F.col("keep"), F.coalesce("body", F.lit(""))).alias("text"))
+    return kept.select("place", "book_id", "book_name", "author_name", "page_id", "n_chars", F.when(F.col("keep"), "ok").otherwise("remaining").alias("status"), F.when(F.col("keep"), F.coalesce("body", F.lit(""))).alias("text"))
 
 
 def source_status(service: DataFrame, book: DataFrame, aya_id: int, book_ids: list[int]) -> DataFrame:
@@ -85,9 +86,8 @@ def source_status(service: DataFrame, book: DataFrame, aya_id: int, book_ids: li
     return rows.select("place", "book_id", "page_id", status.alias("status")).orderBy("place")
 
 
-def tradition_search(text: DataFrame, page: DataFrame, service: DataFrame, book: DataFrame, author: DataFrame, query: str) -> tuple[DataFrame, DataFrame]:
-    """Pages whose text matches, with their tradition keys; and where else each distinct key stands."""
-    hits = search(text, ["body", "foot"], query)
+def tradition_search(hits: DataFrame, page: DataFrame, service: DataFrame, book: DataFrame, author: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of found pages (book_id, page_id) their tradition keys; and where else each distinct key stands."""
     keys = annotations(page).select("book_id", "page_id", "hadeeth")
     matches = hits.select("book_id", "page_id").distinct().join(keys, ["book_id", "page_id"], "left").withColumn("hadeeth", F.coalesce("hadeeth", F.array().cast("array<int>")))
     distinct = matches.select(F.explode("hadeeth").alias("key_id")).distinct()

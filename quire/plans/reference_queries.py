@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import arabic
+from quire.functions import arabic, verses
 from quire.functions.snippets import exact_snippet_column, parts_column, snippet_column
 from quire.operators import catalog, pages, postings, scope, search, services
 from quire.operators.citation import cite
@@ -29,27 +29,26 @@ def _fields() -> Column:
 def search_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages whose body or foot hold both words, with book, author, category and printed label."""
     lib = Library(spark, d)
-    hits = _hits(search.search(lib.page_text_rows, PAGE_FIELDS, "هذا على"), _fields())
+    hits = lib.index("page_text").search(PAGE_FIELDS, "هذا على").withColumn("matched_in", _fields())
     return search.enrich(hits, lib.book, lib.author, lib.page)
 
 
 def search_pages_scoped(spark: SparkSession, d: str) -> DataFrame:
     """The same search inside a scope of categories, period and availability."""
     lib = Library(spark, d)
-    hits = search.search(scope.within(lib.page_text_rows, SCOPE, lib.book, lib.author), PAGE_FIELDS, "هذا على")
-    return _hits(hits)
+    return scope.within(lib.index("page_text").search(PAGE_FIELDS, "هذا على").select("book_id", "page_id"), SCOPE, lib.book, lib.author)
 
 
 def search_pages_window(spark: SparkSession, d: str) -> DataFrame:
     """The second window of twenty hits, by book and page."""
     lib = Library(spark, d)
-    return search.paginate(_hits(search.search(lib.page_text_rows, PAGE_FIELDS, "هذا على")), ["book_id", "page_id"], 20, 20)
+    return search.paginate(lib.index("page_text").search(PAGE_FIELDS, "هذا على").select("book_id", "page_id"), ["book_id", "page_id"], 20, 20)
 
 
 def search_pages_coverage(spark: SparkSession, d: str) -> DataFrame:
     """All hits of a search by category, century, top books and top authors."""
     lib = Library(spark, d)
-    return search.coverage(search.hits_per_book(search.search(lib.page_text_rows, PAGE_FIELDS, "هذا على")), lib.book, lib.author)
+    return search.coverage(search.hits_per_book(lib.index("page_text").search(PAGE_FIELDS, "هذا على")), lib.book, lib.author)
 
 
 def search_pages_wildcard(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +65,9 @@ def search_pages_snippets(spark: SparkSession, d: str) -> DataFrame:
 
 def search_titles(spark: SparkSession, d: str) -> DataFrame:
     """Titles that hold a word, with their parent."""
-    return search.search(Library(spark, d).title, ["body"], "في باب").select("book_id", F.col("id").alias("title_id"), "page", "parent", "body")
+    lib = Library(spark, d)
+    hits = lib.index("title").search(["body"], "في باب").select("book_id", "id")
+    return lib.title.join(hits, ["book_id", "id"], "left_semi").select("book_id", F.col("id").alias("title_id"), "page", "parent", "body")
 
 
 def search_books(spark: SparkSession, d: str) -> DataFrame:
@@ -92,12 +93,12 @@ def search_authors(spark: SparkSession, d: str) -> DataFrame:
 
 def search_phrase(spark: SparkSession, d: str) -> DataFrame:
     """Pages with two words next to each other."""
-    return _hits(search.search_phrase(Library(spark, d).page_text_rows, PAGE_FIELDS, "من هذا"), _fields())
+    return Library(spark, d).index("page_text").phrase(PAGE_FIELDS, "من هذا").withColumn("matched_in", _fields())
 
 
 def search_near(spark: SparkSession, d: str) -> DataFrame:
     """Pages with three words within ten places."""
-    return _hits(search.search_phrase(Library(spark, d).page_text_rows, PAGE_FIELDS, "من هذا على", mode="near", distance=10), _fields())
+    return Library(spark, d).index("page_text").near(PAGE_FIELDS, "من هذا على", 10).withColumn("matched_in", _fields())
 
 
 def search_exact(spark: SparkSession, d: str) -> DataFrame:
@@ -126,13 +127,13 @@ def search_exact_flags(spark: SparkSession, d: str) -> DataFrame:
 
 def search_boolean(spark: SparkSession, d: str) -> DataFrame:
     """All of, any of and none of, with the terms that matched."""
-    hits = search.search_boolean(Library(spark, d).page_text_rows, PAGE_FIELDS, ["هذا"], ["قبل", "بعد"], ["كان"])
-    return _hits(hits, F.array_join("matched_terms", ",").alias("matched_terms"))
+    hits = Library(spark, d).index("page_text").boolean(PAGE_FIELDS, ["هذا"], ["قبل", "بعد"], ["كان"])
+    return hits.withColumn("matched_terms", F.array_join("matched_terms", ","))
 
 
 def search_boolean_report(spark: SparkSession, d: str) -> DataFrame:
     """Pages per sub-query."""
-    return search.term_report(Library(spark, d).page_text_rows, PAGE_FIELDS, ["هذا", "قبل", "بعد", "كان"], ["book_id", "page_id"])
+    return Library(spark, d).index("page_text").report(PAGE_FIELDS, ["هذا", "قبل", "بعد", "كان"])
 
 
 def root_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -156,8 +157,7 @@ def search_verses(spark: SparkSession, d: str) -> DataFrame:
 def page_cards(spark: SparkSession, d: str) -> DataFrame:
     """Every page with label, neighbours and the length of its displayed text."""
     lib = Library(spark, d)
-    v = pages.page_view(lib.page, lib.page_text)
-    return v.select("book_id", "page_id", "part", "printed_page", "prev_page_id", "next_page_id", F.length("text").alias("n_chars"), F.length("foot").alias("n_foot"))
+    return pages.page_sizes(lib.page, lib.page_text_rows)
 
 
 def page_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -181,7 +181,7 @@ def page_services(spark: SparkSession, d: str) -> DataFrame:
 def page_ranges(spark: SparkSession, d: str) -> DataFrame:
     """The first twenty pages of every book within the character budget."""
     lib = Library(spark, d)
-    return pages.page_range(lib.page, lib.page_text)
+    return pages.page_range(lib.page, lib.page_text_rows)
 
 
 def toc(spark: SparkSession, d: str) -> DataFrame:
@@ -297,28 +297,79 @@ def verse_texts(spark: SparkSession, d: str) -> DataFrame:
 def tradition_matches(spark: SparkSession, d: str) -> DataFrame:
     """Pages that match a text, with their tradition keys."""
     lib = Library(spark, d)
-    m, _ = services.tradition_search(lib.page_text_rows, lib.page, lib.service, lib.book, lib.author, "هذا على")
+    m, _ = services.tradition_search(lib.index("page_text").search(PAGE_FIELDS, "هذا على"), lib.page, lib.service, lib.book, lib.author)
     return m.withColumn("hadeeth", F.array_join(F.col("hadeeth").cast("array<string>"), ","))
 
 
 def tradition_sources(spark: SparkSession, d: str) -> DataFrame:
     """Where else the keys of the matching pages stand."""
     lib = Library(spark, d)
-    return services.tradition_search(lib.page_text_rows, lib.page, lib.service, lib.book, lib.author, "هذا على")[1]
+    return services.tradition_search(lib.index("page_text").search(PAGE_FIELDS, "هذا على"), lib.page, lib.service, lib.book, lib.author)[1]
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    return postings.postings(Library(spark, d).page_text, ["book_id", "page_id"], PAGE_FIELDS)
+    return postings.postings(Library(spark, d).page_text_rows, ["book_id", "page_id"], PAGE_FIELDS)
 
 
 def postings_search(spark: SparkSession, d: str) -> DataFrame:
-    """The search for two words over the inverted index."""
+    """The search for two words over an index made in the query itself."""
     return postings.search(_index(spark, d), ["book_id", "page_id"], PAGE_FIELDS, "هذا على").withColumn("matched_in", F.array_join("matched_in", ","))
 
 
 def postings_phrase(spark: SparkSession, d: str) -> DataFrame:
-    """A phrase over the inverted index."""
-    return postings.phrase(_index(spark, d), ["book_id", "page_id"], PAGE_FIELDS, "من هذا").withColumn("matched_in", F.array_join("matched_in", ","))
+    """A phrase over the saved index of words."""
+    words = arabic.fold_query("من هذا")
+    rows = Library(spark, d).index("page_text").rows(postings.WORDS, words, PAGE_FIELDS)
+    return postings.in_order(rows, ["book_id", "page_id"], PAGE_FIELDS, words).withColumn("matched_in", F.array_join("matched_in", ","))
+
+
+def search_books_full(spark: SparkSession, d: str) -> DataFrame:
+    """Books whose name, authors (co-authors too) or bibliography hold the word."""
+    lib = Library(spark, d)
+    return search.search(catalog.searchable_books(lib.book, lib.author), ["book_name", "all_authors", "bibliography"], "أبو").select("book_id", _fields())
+
+
+def search_authors_full(spark: SparkSession, d: str) -> DataFrame:
+    """Authors whose name or biography holds the word."""
+    return search.search(Library(spark, d).author, ["author_name", "death_text"], "سنة").select("author_id", _fields())
+
+
+#: Keys that some queries ask for: books, pages and titles that may or may not exist.
+ASKED = [(b, p) for b in (3, 1, 2, 999_999) for p in (2, 1, 5000)]
+
+
+def fetched_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Asked pages in the asked order, found or not, with their texts."""
+    lib = Library(spark, d)
+    return pages.fetch(lib.page, lib.page_text, ASKED)
+
+
+def fetched_titles(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of asked titles in the asked order."""
+    return pages.fetch_titles(Library(spark, d).title, ASKED)
+
+
+def verse_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """The verse table: running number, sura, verse in the sura."""
+    return verses.aya_dim(spark).select("aya_id", "surah", "surah_name", "aya")
+
+
+def _asked_books(lib: Library) -> list[int]:
+    """Books to ask a verse of: those with most of its entries in another order than the books', some without any, one unknown."""
+    b = lib.service.where((F.col("service_name") == "tafseer") & F.col("book_id").isNotNull()).groupBy("book_id").agg(F.count_if(F.col("key_id") == AYA).alias("n")).orderBy(F.desc("n"), F.desc("book_id")).limit(6)
+    return [*[r.book_id for r in b.collect()], -1]
+
+
+def verse_texts_asked(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of one verse in asked books, in the asked order, two at most."""
+    lib = Library(spark, d)
+    return services.verse_texts(lib.service, lib.book, lib.author, lib.page_text, AYA, 2, book_ids=_asked_books(lib)).select("place", "book_id", "page_id", "n_chars", "status")
+
+
+def source_status(spark: SparkSession, d: str) -> DataFrame:
+    """For asked books whether they treat one verse, are indexed, are downloaded."""
+    lib = Library(spark, d)
+    return services.source_status(lib.service, lib.book, AYA, _asked_books(lib))
 
 
 QUERIES = {
@@ -327,7 +378,8 @@ QUERIES = {
         search_pages, search_pages_scoped, search_pages_window, search_pages_coverage, search_pages_wildcard, search_pages_snippets, search_titles, search_books, search_books_rollup, search_authors, search_phrase, search_near,
         search_exact, search_exact_snippets, search_exact_flags, search_boolean, search_boolean_report, root_stats, resolve_names, search_verses, page_cards, page_parts, page_chains, page_services, page_ranges, toc, book_sections,
         book_parts, book_cards, book_authors, author_cards, list_categories, downloaded_books, downloaded_tally, books_by_period, scope_books, scope_diagnostics, library_health, citations, verse_entries, tradition_entries,
-        verse_coverage, verse_coverage_totals, verse_texts, tradition_matches, tradition_sources, postings_search, postings_phrase,
+        verse_coverage, verse_coverage_totals, verse_texts, tradition_matches, tradition_sources, postings_search, postings_phrase, search_books_full, search_authors_full, fetched_pages, fetched_titles, verse_numbers,
+        verse_texts_asked, source_status,
     )
 }
 from quire.plans.reference_sql import ORACLE  # noqa: E402, F401

@@ -140,7 +140,20 @@ def _auto(term: str, src: str, key: str, name: str, kind: str) -> str:
     return f"(select '{kind}' as kind, {key} as id, {name} as name, round(cast({len(t)} as double) / length(array_to_string(tk, '')) + case when list_contains(tk, '{t}') then 1 else 0 end, 6) as score from (select *, {_tokens(name)} as tk from {src}) where len(list_filter(tk, lambda x: starts_with(x, '{t}'))) > 0 order by score desc, id limit 10)"
 
 
+_PAIRS = ", ".join(f"({i}, {b}, {p})" for i, (b, p) in enumerate((b, p) for b in (3, 1, 2, 999_999) for p in (2, 1, 5000)))
+_ASKED = f"""k as (select book_id, count(*) filter (key_id = {_AYA}) as n from sv where service_name = 'tafseer' and book_id is not null group by 1 order by n desc, book_id desc limit 6),
+ q as (select book_id, row_number() over (order by n desc, book_id desc) as i from k),
+ h as (select book_id, min(page_id) as page_id from sv where service_name = 'tafseer' and key_id = {_AYA} group by 1)"""
+
+
 ORACLE = {
+    "search_books_full": f"with {_VIEWS}, o as (select book_id, unnest(l) as author_id, generate_subscripts(l, 1) as i from ids), f as (select book_id, author_id, min(i) as i from o group by 1, 2), g as (select book_id, string_agg(author_name, ' ' order by i) as names from f join a using (author_id) group by 1), w as (select b.book_id, list_contains({_tokens('book_name')}, 'ابو') as x, list_contains({_tokens('names')}, 'ابو') as y, list_contains({_tokens("concat_ws(' ', meta_data.prefix, meta_data.suffix, meta_data.date)")}, 'ابو') as z from b left join g on g.book_id = b.book_id) select book_id, concat_ws(',', case when x then 'book_name' end, case when y then 'all_authors' end, case when z then 'bibliography' end) as matched_in from w where x or y or z",
+    "search_authors_full": f"with {_VIEWS}, t as (select author_id, death_text from (select *, row_number() over (partition by author_id order by loaded_at desc) as rn from author where deleted_at is null) where rn = 1), w as (select author_id, list_contains({_tokens('author_name')}, 'سنه') as x, list_contains({_tokens('death_text')}, 'سنه') as y from a join t using (author_id)) select author_id, concat_ws(',', case when x then 'author_name' end, case when y then 'death_text' end) as matched_in from w where x or y",
+    "fetched_pages": f"with {_VIEWS}, q(place, book_id, page_id) as (values {_PAIRS}) select place, q.book_id, q.page_id, {_LABEL} as printed_page, pg.book_id is not null as found, body, foot, comment from q left join pg on pg.book_id = q.book_id and pg.page_id = q.page_id left join pt on pt.book_id = q.book_id and pt.page_id = q.page_id",
+    "fetched_titles": f"with {_VIEWS}, q(place, book_id, title_id) as (values {_PAIRS}) select place, q.book_id, title_id, coalesce(body, '') as body from q left join ti on ti.book_id = q.book_id and ti.id = q.title_id",
+    "verse_numbers": f"with s as (select cast(unnest(range(1, {len(VERSES) + 1})) as integer) as surah, unnest({VERSES}) as ayat, unnest({NAMES}) as surah_name), e as (select *, sum(ayat) over (order by surah) - ayat as before from s), v as (select *, cast(unnest(range(1, ayat + 1)) as integer) as aya from e) select cast(before + aya as integer) as aya_id, surah, surah_name, aya from v",
+    "verse_texts_asked": f"with {_VIEWS}, {_ASKED}, r as (select h.book_id, h.page_id, i, cast(length(coalesce(body, '')) + length(coalesce(foot, '')) as integer) as n_chars from h join q using (book_id) join b using (book_id) left join pt on pt.book_id = h.book_id and pt.page_id = h.page_id where downloaded), w as (select *, coalesce(sum(n_chars) over (order by i rows between unbounded preceding and 1 preceding), 0) as before, cast(row_number() over (order by i) as integer) as place from r) select place, book_id, page_id, n_chars, case when (before < 12000 or place = 1) and place <= 2 then 'ok' else 'remaining' end as status from w",
+    "source_status": f"with {_VIEWS}, {_ASKED}, u as (select cast(i - 1 as integer) as place, book_id, true as taking from q union all select cast(count(*) as integer), -1, false from q) select place, u.book_id, h.page_id, case when h.page_id is null then case when taking then 'no_entry_for_this_aya' else 'not_indexed' end when coalesce(downloaded, false) then 'ok' else 'not_downloaded' end as status from u left join h on h.book_id = u.book_id left join b on b.book_id = u.book_id",
     "search_pages": f"with {_VIEWS}, {_TOK}, {_HITS} select hits.book_id, hits.page_id, {_in('inb', 'inf')} as matched_in, {_CAT.format('hits')}, bm.author_name, bm.book_category as category_id, bm.book_date, {_LABEL} as printed_page from hits left join bm using (book_id) left join pg using (book_id, page_id)",
     "search_pages_scoped": f"with {_VIEWS}, {_TOK}, {_HITS}, {_SCOPE} select book_id, page_id from hits join sc using (book_id)",
     "search_pages_window": f"with {_VIEWS}, {_TOK}, {_HITS} select book_id, page_id from hits order by book_id, page_id limit 20 offset 20",

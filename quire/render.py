@@ -4,10 +4,28 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame
 
+_format: ContextVar[str] = ContextVar("format", default="json")
+
+
+def current() -> str:
+    return _format.get()
+
+
+@contextmanager
+def formatted(how: str) -> Iterator[None]:
+    """The form of the texts rendered inside the block: json or markdown."""
+    token = _format.set(how)
+    try:
+        yield
+    finally:
+        _format.reset(token)
+
 #: The longest text, and what is kept of a longer one.
 TEXT_LIMIT = 25_000
 TEXT_KEPT = 24_800
@@ -36,19 +54,38 @@ def limited(text: str) -> tuple[str, str | None]:
 
 
 def render(payload: dict, markdown: Callable[[dict], str] | None = None) -> dict:
-    """text (markdown, or JSON without a renderer) and the payload, stamped if the text was cut."""
+    """text (markdown by the renderer given or asked for, else JSON) and the payload, stamped if the text was cut."""
+    if markdown is None and _format.get() == "markdown":
+        markdown = as_markdown
     text, notice = limited(markdown(payload) if markdown else json.dumps(payload, ensure_ascii=False, indent=2, default=str))
     return {"text": text, "data": payload if notice is None else payload | {"truncated": True, "truncation_message": notice}}
 
 
-def rows(df: DataFrame, limit: int = 100) -> list[dict]:
-    """A page of rows for display: never more than 100."""
-    return [r.asDict(recursive=True) for r in df.limit(min(limit, 100)).collect()]
+def rows(df: DataFrame) -> list[dict]:
+    """All rows, for results that belong to one book, page or key."""
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+def as_markdown(payload: dict) -> str:
+    """Any payload: a line of its single values, a section for each list or part, matches in bold."""
+    single = {k: v for k, v in payload.items() if not isinstance(v, (dict, list)) and "\n" not in str(v)}
+    out = [meta(**single)] if single else []
+    for k, v in payload.items():
+        if k in single or v is None:
+            continue
+        out.append(header(2, k.replace("_", " ")))
+        if isinstance(v, dict):
+            out.append(meta(**v))
+        elif isinstance(v, list):
+            out.append(markdown_table(v) if v and isinstance(v[0], dict) else "\n".join(f"- {x}" for x in v) or "_no rows_")
+        else:
+            out.append(str(v))
+    return bold_marks("\n\n".join(out))
 
 
 def markdown_table(items: list[dict]) -> str:
     if not items:
         return "_no rows_"
-    names = list(items[0])
+    names = list(dict.fromkeys(n for r in items for n in r))
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
-    return "\n".join(["| " + " | ".join(names) + " |", "|" + " --- |" * len(names), *["| " + " | ".join(cell(r[n]) for n in names) + " |" for r in items]])
+    return "\n".join(["| " + " | ".join(names) + " |", "|" + " --- |" * len(names), *["| " + " | ".join(cell(r.get(n)) for n in names) + " |" for r in items]])

@@ -57,6 +57,11 @@ def _drop(tables: list[tuple[SparkSession, str]]) -> None:
 atexit.register(lambda: [_drop(tables) for tables in _written])
 
 
+def register(spark: SparkSession, path: str) -> None:
+    """A table that lives until the interpreter ends."""
+    _written[0].append((spark, path))
+
+
 @contextmanager
 def dropping() -> Iterator[None]:
     """Drops the tables that are written inside the block when it ends: results must be collected or stored by then.

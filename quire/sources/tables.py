@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.arabic import id_list, known_year
-from quire.runtime import table
+from quire.runtime import register, shared_dir, table
 
 BOOK = (
     "book_id INT, book_name STRING, book_category INT, book_type INT, book_date INT, authors_csv STRING, main_author INT, printed INT, group_id INT, hidden INT, "
@@ -63,6 +63,10 @@ def page_texts(df: DataFrame) -> DataFrame:
     return df.groupBy("book_id", "page_id").agg(F.first(F.struct("body", "foot", "comment")).alias("t")).select("book_id", "page_id", "t.body", "t.foot", "t.comment")
 
 
+#: Indexes saved so far, by folder, table and the state of its files.
+_indexes: dict[tuple, object] = {}
+
+
 @dataclass
 class Library:
     """The views of a data folder."""
@@ -102,3 +106,25 @@ class Library:
     def service(self) -> DataFrame:
         """Distinct key entries of the three services."""
         return self._raw("service").select("service_name", "key_id", "book_id", "page_id").distinct()
+
+    def index(self, name: str):  # noqa: ANN201
+        """The search index of page_text or title, saved in the shared folder at its first use and again after its table's files changed.
+
+        For libraries that stay, build an Index at a path of your own and open it.
+        """
+        from quire.operators.postings import WORDS, Index
+
+        spark = self.spark
+        context = spark.sparkContext
+        p = context._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}.parquet")
+        store = p.getFileSystem(context._jsc.hadoopConfiguration())
+        state = store.getFileStatus(p)
+        files = store.listStatus(p) if state.isDirectory() else [state]
+        key = (context.applicationId, self.folder, name, max((f.getModificationTime() for f in files), default=0), sum(f.getLen() for f in files))
+        if key not in _indexes:
+            path = f"{shared_dir(spark)}/quire-index-{name}-{abs(hash(key)):x}"
+            register(spark, path)
+            # repeats of a text are harmless to the index, so no text is shuffled; of titles only the last counts
+            rows, keys, fields, kinds = (self.page_text_rows, ["book_id", "page_id"], ["body", "foot", "comment"], None) if name == "page_text" else (self.title, ["book_id", "id"], ["body"], (WORDS,))
+            _indexes[key] = Index.build(rows, keys, fields, path, *([kinds] if kinds else []))
+        return _indexes[key]

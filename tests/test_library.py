@@ -32,6 +32,25 @@ def test_search_tools(box):
     assert box.resolve("كتا")["data"]["query"] == "كتا"
 
 
+def test_searches_over_a_saved_index(box, tmp_path):
+    """The same pages, fields, excerpts and reports as a scan, in windows, with and without a scope."""
+    fast = box.build_index(f"{tmp_path}/index")
+    books = tuple(r.book_id for r in box.t.page_text.select("book_id").distinct().orderBy("book_id").limit(4).collect())
+    calls = [
+        lambda b: b.search_pages("في من", limit=4, offset=1), lambda b: b.search_pages("في", Scope(book_ids=books), ("foot", "comment")), lambda b: b.search_phrase("من هذا", limit=5),
+        lambda b: b.search_phrase("من على", "near", 6, Scope(book_ids=books)), lambda b: b.search_boolean(["في"], ["من", "على"], ["قبل"], limit=3), lambda b: b.search_boolean(any_of=["هذا"], none_of=["في"], scope=Scope(book_ids=books)),
+        lambda b: b.search_hadith("في"), lambda b: b.search_pages("لاشيءهنا"), lambda b: b.search_pages(" "),
+    ]
+    for call in calls:
+        got, want = call(fast)["data"], call(box)["data"]
+        if "subqueries" in got:
+            assert sorted(map(str, got.pop("subqueries"))) == sorted(map(str, want.pop("subqueries")))
+        assert {k: v for k, v in got.items() if k != "coverage"} == {k: v for k, v in want.items() if k != "coverage"}
+    hit = fast.search_phrase("من هذا", limit=1)["data"]["results"][0]
+    assert hit["book_name"] and "<mark>" in hit["snippet_body"] + hit["snippet_foot"]
+    assert "snippet_body" in box.search_exact("هذا", limit=1, search_in=("body",), hamza=True)["data"]["results"][0]
+
+
 def test_scope_errors(box):
     with pytest.raises(LibraryError, match="EMPTY_SCOPE") as e:
         box.search_pages("في", Scope(category_ids=(1,), book_ids=(999_999_999,)))
@@ -66,10 +85,16 @@ def test_catalogue_and_keys(box):
     assert box.books_by_period(composed=(1, 1500))["data"]["total_hits"] > 0
     assert box.health()["data"]["status"] == "ok"
     assert box.get_aya(surah=2, aya=255)["data"]["aya_id"] == 262
-    assert box.get_tafseer_of_aya(aya_id=1)["data"]["key"] == 1
+    entry = {r.service_name: r.key_id for r in box.t.service.join(box.t.book, "book_id").orderBy("key_id").collect()}
+    assert box.get_tafseer_of_aya(aya_id=entry["tafseer"], downloaded_only=False)["data"]["entries"]
+    assert box.get_books_for_hadith(entry["hadeeth"])["data"]["key"] == entry["hadeeth"]
+    for tool in (lambda: box.get_books_for_hadith(987_654_321), lambda: box.get_tafseer_of_aya(aya_id=6236 if entry["tafseer"] != 6236 else 6235)):
+        with pytest.raises(LibraryError, match="SERVICE_KEY_NOT_FOUND") as e:
+            tool()
+        assert e.value.details["key"]
     got = box.list_tafsirs_for_aya(aya_id=1)["data"]
     assert sum(got["totals"].values()) == len(got["books"])
-    assert "sources" in box.get_tafseer_texts(aya_id=1)["data"] and box.get_books_for_hadith(1)["data"]["key"] == 1
+    assert "sources" in box.get_tafseer_texts(aya_id=1)["data"]
     with pytest.raises(LibraryError, match="AYA_NOT_FOUND"):
         box.get_aya(surah=1, aya=8)
     assert box.guide("scope") == GUIDE["scope"] and box.guide("nothing") == GUIDE["start"]
@@ -87,6 +112,53 @@ def small(spark):
     return out
 
 
+@pytest.fixture(scope="module")
+def long_book(spark):
+    """A downloaded book of 40 pages with 1,000 characters each, titles 1 > 2 > 3 and 9, two authors of whom one is a co-author."""
+    out = object.__new__(Toolbox)
+    out.spark = spark
+    page = spark.createDataFrame([(1, i, None, i) for i in range(1, 41)], "book_id int, page_id int, part string, page int")
+    text = spark.createDataFrame([(1, i, f"<b>{i}</b>" + "x" * 999, "") for i in range(1, 41)], "book_id int, page_id int, body string, foot string")
+    title = spark.createDataFrame([(1, 1, 1, 0, "a"), (1, 2, 5, 1, "b"), (1, 3, 7, 2, "c"), (1, 40_000, 30, 3, "far"), (1, 50_000, 35, 60_000, "loop"), (1, 60_000, 36, 50_000, "loop")], "book_id int, id int, page int, parent int, body string")
+    book = spark.createDataFrame([(1, "one", 1, "2", 3, 700, True, ([], "edited", "by hand", None)), (2, "two", 2, None, 3, None, True, ([1], None, None, "1410"))], "book_id int, book_name string, main_author int, authors_csv string, book_category int, book_date int, downloaded boolean, meta_data struct<coauthor:array<int>,prefix:string,suffix:string,date:string>")
+    author = spark.createDataFrame([(1, "Zaid", 700, "born in Basra"), (2, "Amr", None, None)], "author_id int, author_name string, death_year int, death_text string")
+    out.t = SimpleNamespace(page=page, page_text=text, page_text_rows=text, title=title, book=book, author=author)
+    return out
+
+
+def test_section_stops_at_the_budget(long_book):
+    got = long_book.get_book_section(1, 1, max_pages=30)["data"]
+    assert [p["page_id"] for p in got["pages"]] == list(range(1, 12)) and got["truncated"] and got["next_start_page_id"] == 12 and "12000 characters" in got["notice"]
+    got = long_book.get_book_section(1, 1, max_pages=3)["data"]
+    assert len(got["pages"]) == 3 and got["next_start_page_id"] == 4 and "3 pages" in got["notice"]
+    got = long_book.get_book_section(1, 40_000)["data"]
+    assert got["total_pages"] == 11 and not got["truncated"] and got["next_start_page_id"] is None and got["notice"] is None
+
+
+def test_chain_of_titles_that_holds_a_page(long_book):
+    got = long_book.get_toc(1, containing_page_id=8)["data"]
+    assert got["mode"] == "ancestor_chain" and [t["body"] for t in got["ancestor_chain"]] == ["a", "b", "c"]
+    assert [t["body"] for t in long_book.get_toc(1, containing_page_id=33)["data"]["ancestor_chain"]] == ["a", "b", "c", "far"]  # over two cells of ids
+    assert long_book.get_toc(1, containing_page_id=38)["data"]["ancestor_chain"] == [] and long_book.get_toc(1)["data"]["mode"] == "subtree"
+    page = long_book.get_page(1, 8)["data"]
+    assert page["titles"] == [1, 2, 3] and (page["prev_page_id"], page["next_page_id"]) == (7, 9) and page["text"].startswith("8x") and long_book.get_page(1, 8, keep_html=True)["data"]["text"].startswith("<b>8</b>")
+    assert (long_book.get_page(1, 1)["data"]["prev_page_id"], long_book.get_page(1, 40)["data"]["next_page_id"]) == (None, None)
+
+
+def test_catalogue_search_looks_at_all_authors_bibliography_and_biography(long_book):
+    found = lambda q: [r["book_id"] for r in long_book.search_books(q)["data"]["results"]]
+    assert found("Zaid") == [1, 2] and found("Amr") == [1, 2] and found("hand") == [1] and found("1410") == [2] and found("edited Amr") == [1] and found("none") == []
+    assert [r["author_id"] for r in long_book.search_authors("Basra")["data"]["results"]] == [1]
+
+
+def test_markdown(long_book):
+    text = long_book.get_toc(1, depth=2, response_format="markdown")["text"]
+    assert "## titles" in text and "| title_id |" in text and "mode: subtree" in text
+    with pytest.raises(LibraryError, match="BAD_ARG"):
+        long_book.get_toc(1, response_format="xml")
+    assert render.as_markdown({"a": 1, "b": ["x"], "c": {"d": 2}, "e": "l\nm", "f": []}) == "a: 1\n\n## b\n\n- x\n\n## c\n\nd: 2\n\n## e\n\nl\nm\n\n## f\n\n_no rows_"
+
+
 def test_every_source_of_a_verse_can_be_asked_for(small):
     got = small.get_tafseer_texts(book_ids=[6], aya_id=1)["data"]
     assert [(r["book_id"], len(r["text"])) for r in got["sources"]] == [(6, 5000)] and got["remaining_book_ids"] == []
