@@ -108,10 +108,17 @@ def printed_label(part: Column, page: Column) -> Column:
     return F.when(page.isNotNull(), F.concat(F.coalesce(F.concat(clean_part(part), F.lit("/ ")), F.lit("")), page.cast("string")))
 
 
+_SEPARATOR = r"[,;،؛|/&\t\r\n\[\]]"
+#: Quotations in a packed field that open an entry and hold more than a number.
+_QUOTED = rf"(^|{_SEPARATOR})\s*(?:" + "|".join(rf"{a}(?!\s*[0-9]+\s*{b})(?:[^{b}]|{b}{b})*{b}" for a, b in ('""', "“”", "«»", "''")) + rf")(?=\s*(?:$|{_SEPARATOR}))"
+_NUMBER_ENTRY = rf"(?:^|{_SEPARATOR})\s*[\"'“«]?\s*([0-9]+)\s*[\"'”»]?\s*(?=$|{_SEPARATOR})"
+
+
 def id_list(csv: Column) -> Column:
-    """The numbers of a packed id field, in order, digits of any of the three kinds."""
+    """The entries of a packed id field that are numbers, in order, digits of any of the three kinds; numbers in names and beyond an INT are none."""
     plain = F.translate(F.coalesce(csv, F.lit("")), EASTERN_DIGITS + PERSIAN_DIGITS, "0123456789" * 2)
-    return F.transform(F.regexp_extract_all(plain, F.lit("([0-9]{1,9})"), 1), lambda x: x.cast("int"))
+    numbers = F.regexp_extract_all(F.regexp_replace(plain, _QUOTED, "$1x"), F.lit(_NUMBER_ENTRY), 1)
+    return F.filter(F.transform(numbers, lambda x: x.try_cast("int")), lambda x: x.isNotNull())
 
 
 #: Affixes of a published light stemmer.
@@ -193,15 +200,14 @@ def _spelled(word: str, kin: dict[str, str], drop: str) -> str:
     return f"(?:[{kin.get('ا', 'ا')}]{drop}*)?{out}" if word == "بن" else out
 
 
-def _tokens_pattern(words: list[str], kin: dict[str, str], drop: str, inside: str, between: str) -> str:
-    spelled = [_spelled(w, kin, drop) for w in words]
-    # the first word is looked at before the look-behind, which is then tried at few places
-    return f"(?={spelled[0]})(?<!{inside}{drop}{{0,64}})" + between.join(spelled) + f"(?!{drop}*{inside})"
+def _tokens_pattern(words: list[str], kin: dict[str, str], drop: str, token: str, between: str) -> str:
+    """token: what tokens are made of, as the inside of a class. Before the first word stands what ends a token, and any number of dropped marks."""
+    return f"(?:^|[^{token}{drop[1:-1]}]){drop}*" + between.join(_spelled(w, kin, drop) for w in words) + f"(?!{drop}*[{token}&&[^{drop[1:-1]}]])"
 
 
 def index_pattern(term: str) -> str:
     """Finds a folded term as a whole index token in unfolded text without mark-up."""
-    return _tokens_pattern([term], _kin(INDEX_LETTERS, INDEX_BECOME), f"[{INDEX_DROP}]", r"[\p{L}\p{N}&&[^ـ]]", "")
+    return _tokens_pattern([term], _kin(INDEX_LETTERS, INDEX_BECOME), f"[{INDEX_DROP}]", r"\p{L}\p{N}", "")
 
 
 def index_part_pattern(part: str) -> str:
@@ -216,7 +222,7 @@ def verify_pattern(words: list[str]) -> str:
     for pair, one in COMPOSE.items():
         kin.setdefault(one, one)
     block = r"؀-ۿ"
-    return _tokens_pattern(words, kin, drop, f"[{block}&&[^{drop[1:-1]}]]", f"[^{block}](?:[^{block}]|{drop})*")
+    return _tokens_pattern(words, kin, drop, block, f"[^{block}](?:[^{block}]|{drop})*")
 
 
 def exact_pattern(needle: str, diacritics: bool = False, hamza: bool = False, digits: bool = False) -> str:

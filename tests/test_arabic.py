@@ -109,3 +109,17 @@ def test_parts_cover_the_text(seed):
     assert all(len(p) <= 52 for p in parts)
     assert "".join("".join(parts).split()) == "".join(text.split())
     assert split_parts("", 50) == [""] and split_parts("abc", 0) == ["abc"]
+
+
+def test_whole_tokens_behind_any_number_of_marks(spark):
+    """A word at the end of a longer token is none, however many dropped marks stand between; marks alone before it are."""
+    rows = ["ب" + "ـ" * n + "هذا" for n in (0, 1, 65, 300)] + ["ـ" * 300 + "هذا", ".َهذا", "هذا", "هذا" + "ـ" * 99 + "ن"]
+    assert column(spark, rows, lambda c: c.rlike(A.index_pattern("هذا"))) == [False] * 4 + [True] * 3 + [False]
+    assert column(spark, rows, lambda c: c.rlike(A.verify_pattern(["هذا"]))) == [False] * 4 + [True] * 3 + [False]
+
+
+def test_ids_are_whole_entries(spark):
+    rows = ["12; ٣٤،۵|6/7&8\t9\n10", '"Smith 12, John";5', "«x 3، y» , “7”, '8', 'z, 9'", "O'Hara 4, 5", "[1, 2]", "1234567890,2147483647", "a1, 2b, 3", "", None, "4 5, 6", '"1", "2"']
+    want = [[12, 34, 5, 6, 7, 8, 9, 10], [5], [7, 8], [5], [1, 2], [1234567890, 2147483647], [3], [], [], [6], [1, 2]]
+    assert column(spark, rows, A.id_list) == want
+    assert column(spark, ["12345678901, 3"], A.id_list) == [[3]]
