@@ -1,19 +1,19 @@
 """Long exact spans shared between records, and how much of each record stands elsewhere too.
 
-Relative Lempel-Ziv parsing, with the reference in blocks. A block indexes the places of the anchors of
-one hash range; a record is factored against a block from the anchors that both hold: the match is
-extended to both sides as far as the texts agree, factors of at least LENGTH code points, checked at their
-boundaries on the stored characters, are shared spans. Factoring every record against every block would
-grow with the square of the collection, so records are sent only to the blocks in which a long factor can
-exist: anchors are the minima of hashed GRAM-grams over every window of LENGTH code points, and two records
-with a common span of LENGTH necessarily share the anchor of each window in it. Nothing is sampled and no
-factor is lost.
+Relative Lempel-Ziv parsing (`relative_lz`), with the reference in blocks. A block indexes what stands around the
+anchors of one hash range; the records' text there is factored greedily against the block, and the matches at factor
+boundaries and inside long factors, extended to both sides and checked on the stored characters, are shared spans if
+they have LENGTH code points. Factoring every record against every block would grow with the square of the
+collection, so records are sent only to the blocks in which a long factor can exist: anchors are the minima of
+hashed GRAM-grams over every window of LENGTH code points, and two records with a common span of LENGTH necessarily
+share the anchor of each window in it. Nothing is sampled and no factor is lost.
 
 Plan: one scan finds the anchors (vectorised); one shuffle of (hash, record, place) finds those of two
 records or more, after a map-side step that settles anchors repeated within a batch, so a passage in a
 third of all records sends one row per batch; only records with such anchors meet their text again; blocks
-are sorted partitions read as a stream. An anchor of more than GROUP_MAX places is not gathered: its
-places are split by the LENGTH-code-point window they stand in and joined window by window.
+are sorted partitions read as a stream. An anchor of more than DIRECT places would be compared with itself over and
+over: its places are told apart by the windows of LENGTH they stand in. One of more than GROUP_MAX places is not
+gathered: its windows are joined one by one.
 
 Defined results: null and short texts share nothing; spans lie within one field; a span repeated within
 one record only is not shared; repeated rows of a record are one record; lengths count code points; records
@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.relative_lz import Block
 from quire.runtime import materialize
 
 #: Code points of a shared span, at least, and of an anchor.
@@ -38,8 +39,9 @@ LENGTH = 120
 GRAM = 40
 #: Places of one anchor that a task compares at once; beyond, places are split by window.
 GROUP_MAX = 2000
-#: Places up to which all pairs of a group are compared as arrays.
+#: Places of an anchor up to which it is parsed with its block, and code points of a block.
 DIRECT = 24
+BLOCK = 1 << 18
 #: Code points that are hashed at once; longer texts are hashed in pieces that share a window less one.
 CHARS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -213,32 +215,23 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_()))], ["hash", "key", "place", "lead", "around", "hot"])
 
 
-def _direct(members: list[tuple], groups: list[tuple[int, int]], length: int, gram: int) -> tuple[set, list]:
-    """Factors of all pairs of each small group, as arrays over the whole batch."""
-    reach = length - gram
-    a = np.concatenate([np.repeat(np.arange(s, e), np.arange(e - s - 1, -1, -1)) for s, e in groups])
-    b = np.concatenate([np.concatenate([np.arange(i + 1, e) for i in range(s, e)]) for s, e in groups])
-    keys = np.array([m[1] for m in members], np.int64)
-    other = keys[a] != keys[b]
-    a, b = a[other], b[other]
-    if not len(a):
-        return set(), []
-    width = 2 * reach + gram
-    grid = np.empty((len(members), width), np.uint32)
-    for i, (_, _, _, lead, around) in enumerate(members):
-        grid[i] = 0x80000000 + i  # outside the text nothing agrees
-        s = reach - lead
-        grid[i, s : s + len(around)] = np.frombuffer(around.encode("utf-32-le", "surrogatepass"), np.uint32)
+def _parsed(members: list[tuple], groups: list[tuple[int, int]], length: int, gram: int) -> tuple[set, list]:
+    """Factors of small groups, parsed in blocks of about BLOCK code points."""
     pairs, spans = set(), []
-    for i in range(0, len(a), 4096):
-        x, y = a[i : i + 4096], b[i : i + 4096]
-        same = grid[x] == grid[y]
-        left = np.logical_and.accumulate(same[:, :reach][:, ::-1], axis=1).sum(axis=1)
-        right = np.logical_and.accumulate(same[:, reach + gram :], axis=1).sum(axis=1)
-        good = same[:, reach : reach + gram].all(axis=1) & (left + right + gram >= length)
-        for u, v, lf, rt in zip(x[good].tolist(), y[good].tolist(), left[good].tolist(), right[good].tolist()):
-            pairs.add((members[u][1], members[v][1]) if members[u][1] < members[v][1] else (members[v][1], members[u][1]))
-            spans += [(u, lf, rt), (v, lf, rt)]
+    held: list[int] = []
+    size = 0
+    for n, (s, e) in enumerate(groups, 1):
+        held += range(s, e)
+        size += sum(len(members[i][4]) for i in range(s, e))
+        if size < BLOCK and n < len(groups):
+            continue
+        block = Block([(members[i][1], members[i][4]) for i in held])
+        for i, j, start, end in block.shared(length):
+            x, y = members[held[i]][1], members[held[j]][1]
+            pairs.add((x, y) if x < y else (y, x))
+            lead = members[held[i]][3]
+            spans.append((held[i], lead - start, end - lead - gram))
+        held, size = [], 0
     return pairs, spans
 
 
@@ -282,7 +275,7 @@ def _factors(batches: Iterator[pa.RecordBatch], length: int, gram: int, want_spa
                     spans += [(i + s, x, y) for i, x, y in q]
                 s = e
         if small:
-            p, q = _direct(members, small, length, gram)
+            p, q = _parsed(members, small, length, gram)
             pairs |= p
             spans += q
         if want_spans:
