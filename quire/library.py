@@ -118,7 +118,10 @@ class Toolbox:
     def search_pages(self, query: str, scope: scopes.Scope | None = None, search_in: tuple[str, ...] = ("body", "foot"), limit: int = 20, offset: int = 0, **options: bool) -> dict:
         fields, terms, index = self._fields(search_in), arabic.fold_query(query), self._open()
         search.check_options(**options)
-        hits = self._scoped(index.search(fields, query), scope) if index and not any(options.values()) else search.search(self._scoped(self.t.page_text_rows, scope), fields, query, **options)
+        if index:
+            hits = self._scoped(index.matching(fields, query, **options) if any(options.values()) else index.search(fields, query), scope)
+        else:
+            hits = search.search(self._scoped(self.t.page_text_rows, scope), fields, query, **options)
         kept = self._kept(hits, "matched_in")
         spread = search.coverage(search.hits_per_book(kept), self.t.book, self.t.author)
         return render.render(self._pages(kept, limit, offset, {f"snippet_{f}": snippet_column(F.col(f), terms) for f in fields}, query=query, normalized_tokens=terms, coverage=render.rows(spread)))
@@ -185,7 +188,11 @@ class Toolbox:
         return render.render(self._page(matches, ["book_id", "page_id"], limit, offset, query=query, takhrij=takhrij.pop("results"), takhrij_window=takhrij))
 
     def root_stats(self, root: str, scope: scopes.Scope | None = None) -> dict:
-        spread = search.root_stats(self._scoped(self.t.page_text_rows, scope), ["body", "foot"], root, self.t.book, self.t.author)
+        index = self._open()
+        if index:
+            spread = search.coverage(search.hits_per_book(self._scoped(index.matching(["body", "foot"], root, morphology=True), scope)), self.t.book, self.t.author, 15)
+        else:
+            spread = search.root_stats(self._scoped(self.t.page_text_rows, scope), ["body", "foot"], root, self.t.book, self.t.author)
         return render.render({"root": root, "note": "stems are approximate", "distribution": render.rows(spread)})
 
     def resolve(self, query: str, kind: str = "any", limit: int = 10) -> dict:

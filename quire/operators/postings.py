@@ -22,7 +22,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.arabic import fold_query, index_tokens, query_tokens, verify_tokens
+from quire.functions.arabic import fold_query, glob_pattern, index_tokens, light_stem, query_tokens, stem_of, verify_tokens
 
 WORDS, RUNS = "words", "runs"
 TOKENS: dict[str, Callable[[Column], Column]] = {WORDS: index_tokens, RUNS: verify_tokens}
@@ -79,11 +79,22 @@ class Index:
         names = [s.getPath().getName() for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
         return Index(spark, path, keys, fields, next(int(n.split("-")[1]) for n in names if n.startswith(WORDS)))
 
-    def rows(self, kind: str, terms: list[str], fields: list[str]) -> DataFrame:
-        """The occurrences of the terms in the fields; only their buckets are read."""
+    def table(self, kind: str) -> DataFrame:
         if kind not in self.kinds:
             self.kinds[kind] = load(self.spark, f"{self.path}/{kind}-{self.buckets}")
-        return occurrences(self.kinds[kind], terms, fields, self.buckets)
+        return self.kinds[kind]
+
+    def rows(self, kind: str, terms: list[str], fields: list[str]) -> DataFrame:
+        """The occurrences of the terms in the fields; only their buckets are read."""
+        return occurrences(self.table(kind), terms, fields, self.buckets)
+
+    def matching(self, fields: list[str], query: str, wildcards: bool = False, morphology: bool = False) -> DataFrame:
+        """keys, matched_in: search() with wildcards or stems. No bucket holds these alone, so the tokens of all are read; text is not."""
+        terms = list(dict.fromkeys(fold_query(query)))
+        tests = [token_is(t, wildcards, morphology) for t in terms]
+        rows = self.table(WORDS).where(F.col("field").isin(*fields) & reduce(or_, tests, F.lit(False)))
+        held = rows.groupBy(*self.keys).agg(*[F.max(x).alias(f"c{i}") for i, x in enumerate(tests)], F.bit_or(_marks("field", fields)).alias("held"))
+        return held.where(reduce(and_, [F.col(f"c{i}") for i in range(len(tests))], F.lit(True))).select(*self.keys, _matched(fields))
 
     def search(self, fields: list[str], query: str) -> DataFrame:
         terms = list(dict.fromkeys(fold_query(query)))
@@ -119,6 +130,17 @@ class Index:
         return self.rows(WORDS, terms, fields).groupBy(*self.keys).agg(F.collect_set("token").alias("held"))
 
 
+def token_is(term: str, wildcards: bool, morphology: bool) -> Column:
+    """Whether the token is the term, has its stem, or fits its wildcards."""
+    token = F.col("token")
+    if morphology:
+        stem = stem_of(term)  # a part of every token that has it
+        return token.contains(stem) & (light_stem(token) == stem)
+    if wildcards and ("*" in term or "?" in term):
+        return token.contains(max(term.replace("?", "*").split("*"), key=len)) & token.rlike(glob_pattern(term))
+    return token == term
+
+
 def _has(query: str) -> Column:
     return F.size(F.array_except(F.array(*map(F.lit, fold_query(query))).cast("array<string>"), "held")) == 0
 
@@ -130,32 +152,47 @@ def occurrences(index: DataFrame, terms: list[str], fields: list[str], buckets:
     return index.where(F.col("bucket").isin(*[bucket_of(F.lit(t), buckets) for t in dict.fromkeys(terms)]) & F.col("token").isin(*terms) & F.col("field").isin(*fields))
 
 
+#: Terms or fields that one long can mark, a bit each.
+BITS = 62
+
+
+def _marks(column: str, values: list[str]) -> Column:
+    """A bit for each of the values, the first BITS of them."""
+    return reduce(lambda c, i: c.when(F.col(column) == values[i], F.lit(1 << i)), range(1, len(values)), F.when(F.col(column) == values[0], F.lit(1))).otherwise(F.lit(0)).cast("long")
+
+
 def _matched(fields: list[str]) -> Column:
-    return F.array_intersect(F.array(*map(F.lit, fields)), "held").alias("matched_in")
+    """The fields whose bits stand in `held`."""
+    return F.array_compact(F.array(*[F.when(F.col("held").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(f)) for i, f in enumerate(fields)])).alias("matched_in")
 
 
 def all_terms(rows: DataFrame, keys: list[str], fields: list[str], terms: list[str]) -> DataFrame:
-    """keys, matched_in: records that hold every term in some field, with the fields that hold any."""
-    hits = rows.groupBy(*keys).agg(F.count_distinct("token").alias("n"), F.collect_set("field").alias("held"))
-    return hits.where(F.col("n") == len(terms)).select(*keys, _matched(fields))
+    """keys, matched_in: records that hold every term in some field, with the fields that hold any. One aggregate of bits."""
+    groups = [terms[i : i + BITS] for i in range(0, len(terms), BITS)]
+    hits = rows.groupBy(*keys).agg(F.bit_or(_marks("field", fields)).alias("held"), *[F.bit_or(_marks("token", g)).alias(f"t{i}") for i, g in enumerate(groups)])
+    whole = reduce(and_, [F.col(f"t{i}") == F.lit((1 << len(g)) - 1).cast("long") for i, g in enumerate(groups)], F.lit(bool(terms)))
+    return hits.where(whole).select(*keys, _matched(fields))
 
 
 def in_order(rows: DataFrame, keys: list[str], fields: list[str], terms: list[str]) -> DataFrame:
     """keys, matched_in: records in which the terms follow each other in one field.
 
-    Every occurrence votes for the place at which the phrase would start; a start with all votes is a hit.
+    Every occurrence votes for the place at which the phrase would start; a start with all votes is a hit. Votes
+    are spread by record, which serves the starts and the records alike.
     """
     places = F.create_map(*[x for t in dict.fromkeys(terms) for x in (F.lit(t), F.array(*[F.lit(i) for i, u in enumerate(terms) if u == t]))]) if terms else F.lit(None).cast("map<string,array<int>>")
-    votes = rows.select(*keys, "field", "pos", F.explode(places[F.col("token")]).alias("i"))
-    starts = votes.groupBy(*keys, "field", (F.col("pos") - F.col("i")).alias("start")).agg(F.count_distinct("i").alias("n")).where(F.col("n") == len(terms))
-    return starts.groupBy(*keys).agg(F.collect_set("field").alias("held")).select(*keys, _matched(fields))
+    votes = rows.select(*keys, "field", "pos", F.explode(places[F.col("token")]).alias("i")).repartition(*keys)
+    n = F.count_distinct("i") if len(terms) > BITS else F.bit_count(F.bit_or(F.expr("shiftleft(1L, i)")))
+    starts = votes.groupBy(*keys, "field", (F.col("pos") - F.col("i")).alias("start")).agg(n.alias("n")).where(F.col("n") == len(terms))
+    return starts.groupBy(*keys).agg(F.bit_or(_marks("field", fields)).alias("held")).select(*keys, _matched(fields))
 
 
 def within(rows: DataFrame, keys: list[str], fields: list[str], terms: list[str], distance: int) -> DataFrame:
     """keys, matched_in: records in which all distinct terms stand within `distance` places of each other in one field."""
-    per = rows.groupBy(*keys, "field").agg(F.count_distinct("token").alias("n"), F.collect_set(F.struct("pos", "token")).alias("at")).where(F.col("n") == len(terms))
+    per = rows.repartition(*keys).groupBy(*keys, "field").agg(F.collect_set(F.struct("pos", "token")).alias("at"))
+    per = per.where(F.size(F.array_distinct(F.transform("at", lambda x: x["token"]))) == len(terms))
     together = F.exists("at", lambda s: F.size(F.array_distinct(F.transform(F.filter("at", lambda x: x["pos"].between(s["pos"], s["pos"] + distance)), lambda x: x["token"]))) == len(terms))
-    return per.where(together).groupBy(*keys).agg(F.collect_set("field").alias("held")).select(*keys, _matched(fields))
+    return per.where(together).groupBy(*keys).agg(F.bit_or(_marks("field", fields)).alias("held")).select(*keys, _matched(fields))
 
 
 def search(index: DataFrame, keys: list[str], fields: list[str], query: str) -> DataFrame:

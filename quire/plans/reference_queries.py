@@ -53,7 +53,7 @@ def search_pages_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def search_pages_wildcard(spark: SparkSession, d: str) -> DataFrame:
     """Pages with a word of a pattern."""
-    return _hits(search.search(Library(spark, d).page_text_rows, ["body", "foot", "comment"], "است*اح", wildcards=True), _fields())
+    return Library(spark, d).index("page_text").matching(["body", "foot", "comment"], "است*اح", wildcards=True).withColumn("matched_in", _fields())
 
 
 def search_pages_snippets(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +139,8 @@ def search_boolean_report(spark: SparkSession, d: str) -> DataFrame:
 def root_stats(spark: SparkSession, d: str) -> DataFrame:
     """Distribution of the pages with words of one (approximate) stem."""
     lib = Library(spark, d)
-    return search.root_stats(lib.page_text_rows, PAGE_FIELDS, "استفزاط", lib.book, lib.author)
+    hits = lib.index("page_text").matching(PAGE_FIELDS, "استفزاط", morphology=True)
+    return search.coverage(search.hits_per_book(hits), lib.book, lib.author, 15)
 
 
 def resolve_names(spark: SparkSession, d: str) -> DataFrame:

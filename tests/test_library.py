@@ -40,9 +40,12 @@ def test_searches_over_a_saved_index(box, tmp_path):
         lambda b: b.search_pages("في من", limit=4, offset=1), lambda b: b.search_pages("في", Scope(book_ids=books), ("foot", "comment")), lambda b: b.search_phrase("من هذا", limit=5),
         lambda b: b.search_phrase("من على", "near", 6, Scope(book_ids=books)), lambda b: b.search_boolean(["في"], ["من", "على"], ["قبل"], limit=3), lambda b: b.search_boolean(any_of=["هذا"], none_of=["في"], scope=Scope(book_ids=books)),
         lambda b: b.search_hadith("في"), lambda b: b.search_pages("لاشيءهنا"), lambda b: b.search_pages(" "),
+        lambda b: b.search_pages("ال* ?ن", limit=3, wildcards=True), lambda b: b.search_pages("كتاب في", limit=3, morphology=True), lambda b: b.root_stats("هذا"),
     ]
     for call in calls:
         got, want = call(fast)["data"], call(box)["data"]
+        if "distribution" in got:
+            assert got["distribution"] and sorted(map(str, got.pop("distribution"))) == sorted(map(str, want.pop("distribution")))
         if "subqueries" in got:
             assert sorted(map(str, got.pop("subqueries"))) == sorted(map(str, want.pop("subqueries")))
         assert {k: v for k, v in got.items() if k != "coverage"} == {k: v for k, v in want.items() if k != "coverage"}

@@ -57,3 +57,18 @@ def test_text_is_not_shuffled_by_a_search(spark, sf_dir):
     text = plan(search.search(lib._raw("page_text"), ["body"], "هذا").select("book_id", "page_id").distinct())
     below = text.split("Exchange", 1)[1]
     assert "Exchange" not in below and "body" not in text.split("Exchange", 1)[0]
+
+
+@pytest.mark.parametrize("name", ["search_pages", "search_pages_scoped", "search_pages_coverage", "search_phrase", "search_near", "search_boolean", "search_boolean_report", "tradition_sources"])
+def test_searches_read_buckets_and_no_text(spark, sf_dir, name):
+    """The saved index is pruned by the terms' buckets; no scan reads a text."""
+    text = plan(reference_queries.QUERIES[name](spark, sf_dir))
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (?:IN|=|INSET)", text) and re.search(r"PushedFilters: \[[^\]]*(?:In|EqualTo)\(token", text)
+    assert not any("body" in s or "foot" in s for s in re.findall(r"ReadSchema: struct<(\S*)>", text))
+
+
+def test_sizes_move_instead_of_texts(spark, sf_dir):
+    """Page texts are read for their lengths; nothing but keys and numbers is exchanged."""
+    for name in ("page_cards", "page_ranges"):
+        text = reference_queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "first(struct" not in text and not re.search(r"Aggregate \[[^\n]*body#\d+[,\]][^\n]*\n", text)
