@@ -332,7 +332,7 @@ def search_books_full(spark: SparkSession, d: str) -> DataFrame:
 
 def search_authors_full(spark: SparkSession, d: str) -> DataFrame:
     """Authors whose name or biography holds the word."""
-    return search.search(Library(spark, d).author, ["author_name", "death_text"], "سنة").select("author_id", _fields())
+    return search.search(Library(spark, d).author, ["author_name", "death_text"], "ت").select("author_id", _fields())
 
 
 #: Keys that some queries ask for: books, pages and titles that may or may not exist.

@@ -148,7 +148,7 @@ _ASKED = f"""k as (select book_id, count(*) filter (key_id = {_AYA}) as n from s
 
 ORACLE = {
     "search_books_full": f"with {_VIEWS}, o as (select book_id, unnest(l) as author_id, generate_subscripts(l, 1) as i from ids), f as (select book_id, author_id, min(i) as i from o group by 1, 2), g as (select book_id, string_agg(author_name, ' ' order by i) as names from f join a using (author_id) group by 1), w as (select b.book_id, list_contains({_tokens('book_name')}, 'ابو') as x, list_contains({_tokens('names')}, 'ابو') as y, list_contains({_tokens("concat_ws(' ', meta_data.prefix, meta_data.suffix, meta_data.date)")}, 'ابو') as z from b left join g on g.book_id = b.book_id) select book_id, concat_ws(',', case when x then 'book_name' end, case when y then 'all_authors' end, case when z then 'bibliography' end) as matched_in from w where x or y or z",
-    "search_authors_full": f"with {_VIEWS}, t as (select author_id, death_text from (select *, row_number() over (partition by author_id order by loaded_at desc) as rn from author where deleted_at is null) where rn = 1), w as (select author_id, list_contains({_tokens('author_name')}, 'سنه') as x, list_contains({_tokens('death_text')}, 'سنه') as y from a join t using (author_id)) select author_id, concat_ws(',', case when x then 'author_name' end, case when y then 'death_text' end) as matched_in from w where x or y",
+    "search_authors_full": f"with {_VIEWS}, t as (select author_id, death_text from (select *, row_number() over (partition by author_id order by loaded_at desc) as rn from author where deleted_at is null) where rn = 1), w as (select author_id, list_contains({_tokens('author_name')}, 'ت') as x, list_contains({_tokens('death_text')}, 'ت') as y from a join t using (author_id)) select author_id, concat_ws(',', case when x then 'author_name' end, case when y then 'death_text' end) as matched_in from w where x or y",
     "fetched_pages": f"with {_VIEWS}, q(place, book_id, page_id) as (values {_PAIRS}) select place, q.book_id, q.page_id, {_LABEL} as printed_page, pg.book_id is not null as found, body, foot, comment from q left join pg on pg.book_id = q.book_id and pg.page_id = q.page_id left join pt on pt.book_id = q.book_id and pt.page_id = q.page_id",
     "fetched_titles": f"with {_VIEWS}, q(place, book_id, title_id) as (values {_PAIRS}) select place, q.book_id, title_id, coalesce(body, '') as body from q left join ti on ti.book_id = q.book_id and ti.id = q.title_id",
     "verse_numbers": f"with s as (select cast(unnest(range(1, {len(VERSES) + 1})) as integer) as surah, unnest({VERSES}) as ayat, unnest({NAMES}) as surah_name), e as (select *, sum(ayat) over (order by surah) - ayat as before from s), v as (select *, cast(unnest(range(1, ayat + 1)) as integer) as aya from e) select cast(before + aya as integer) as aya_id, surah, surah_name, aya from v",
